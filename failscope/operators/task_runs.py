@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from failscope import constants as K
 from failscope.functions.text import contains_any
+from failscope.functions.times import moment
 
 
 def _seconds(start: Column, end: Column) -> Column:
@@ -41,7 +42,7 @@ def task_run_events(runs: DataFrame, as_of, extra: list[str] | None = None) -> D
     """One failure event per task run; ``as_of`` stands in for a missing end time."""
     log = F.coalesce(F.when(F.col("exception") != "", F.col("exception")),
                      F.lit(K.NO_EXCEPTION_TEXT))
-    seconds = _seconds(F.col("start_date"), F.coalesce(F.col("end_date"), F.lit(as_of)))
+    seconds = _seconds(F.col("start_date"), F.coalesce(F.col("end_date"), moment(runs, "end_date", as_of)))
     return failed_sibling(runs).select(
         *(extra or []),
         F.coalesce("dag_id", F.lit("unknown_dag")).alias("pipeline_name"),

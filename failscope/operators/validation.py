@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from failscope import constants as K
 from failscope.functions.text import stripped
+from failscope.functions.times import moment
 from failscope.schemas import REQUIRED_COLUMNS
 
 # Message texts.
@@ -138,7 +139,7 @@ def align_columns(df: DataFrame, ordered: list[str]) -> DataFrame:
 
 
 def with_default_time(df: DataFrame, as_of, ts: str = "timestamp") -> DataFrame:
-    return df.withColumn(ts, F.coalesce(F.col(ts), F.lit(as_of)))
+    return df.withColumn(ts, F.coalesce(F.col(ts), moment(df, ts, as_of)))
 
 
 def feature_quality(features: DataFrame, names: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "contracts"]
+MODULES = ["features", "contracts", "monitoring", "evaluation", "texts"]
 
 
 def load():
