@@ -15,7 +15,8 @@ def _micros(ts: Column) -> Column:
 
 
 def lag_table(
-    events: DataFrame, ts: str = "timestamp", key: str = "pipeline_name", id: str = "event_id"
+    events: DataFrame, ts: str = "timestamp", key: str = "pipeline_name", id: str = "event_id",
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """One row per distinct (key, time): the first event's id and the raw lag.
 
@@ -24,11 +25,17 @@ def lag_table(
     found in two windows of bounded size: over the microseconds of one minute, and
     over the minutes of one pipeline. Both bounds come from the calendar, not from
     the data. Events that share a time come after the first one with lag 0, so
-    they need no row here.
+    they need no row here. ``earlier`` (key, time) holds times already seen.
     """
+    seen = events.select(
+        F.col(key).alias("k"), _micros(F.col(ts)).alias("us"), F.col(id).alias("id"),
+        F.lit(False).alias("known"))
+    if earlier is not None:
+        seen = seen.unionByName(earlier.select(
+            F.col(key).alias("k"), _micros(F.col(ts)).alias("us"),
+            F.lit(None).cast(events.schema[id].dataType).alias("id"), F.lit(True).alias("known")))
     times = (
-        events.select(F.col(key).alias("k"), _micros(F.col(ts)).alias("us"), F.col(id).alias("id"))
-        .groupBy("k", "us").agg(F.min("id").alias("id"))
+        seen.groupBy("k", "us").agg(F.min("id").alias("id"), F.max("known").alias("known"))
         .withColumn("minute", F.floor(F.col("us") / F.lit(60_000_000)))
     )
     inner = Window.partitionBy("k", "minute").orderBy("us")
@@ -37,10 +44,9 @@ def lag_table(
     minutes = minutes.select(
         "k", "minute",
         F.lag("last").over(Window.partitionBy("k").orderBy("minute")).alias("before_minute"))
-    first = times.where(F.col("before").isNull()).drop("before").join(minutes, ["k", "minute"])
-    lagged = times.where(F.col("before").isNotNull()).select("id", "us", "before").union(
-        first.select("id", "us", "before_minute"))
-    return lagged.select(
+    lagged = times.join(minutes, ["k", "minute"]).withColumn(
+        "before", F.coalesce("before", "before_minute"))
+    return lagged.where(~F.col("known")).select(
         F.col("id").alias(id),
         ((F.col("us") - F.col("before")).cast("double") / F.lit(1e6)).alias("raw_lag"),
         F.lit(True).alias("first_at_time"))
@@ -56,9 +62,10 @@ def lag_columns() -> list[Column]:
 
 
 def with_lag(
-    events: DataFrame, ts: str = "timestamp", key: str = "pipeline_name", id: str = "event_id"
+    events: DataFrame, ts: str = "timestamp", key: str = "pipeline_name", id: str = "event_id",
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Add both features; events join their lag by the unique event id, so no key is hot."""
-    joined = events.join(lag_table(events, ts, key, id), id, "left")
+    joined = events.join(lag_table(events, ts, key, id, earlier), id, "left")
     return joined.select(*[events[c] if c != id else F.col(id) for c in events.columns],
                          *lag_columns())

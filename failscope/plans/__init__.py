@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "contracts", "monitoring", "evaluation", "texts"]
+MODULES = ["features", "contracts", "monitoring", "evaluation", "texts", "graphs"]
 
 
 def load():

@@ -51,3 +51,29 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Parts:
+    """Tables of one loop: written one after another, read together in one scan."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root = spark, new_path(spark, name)
+        self.paths: list[str] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        self.schema = df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_last(self) -> None:
+        self.paths.pop()
+
+    def part(self, at: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.paths[at])
+
+    def all(self) -> DataFrame:
+        if not self.paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
