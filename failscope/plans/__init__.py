@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["features", "contracts", "monitoring", "evaluation", "texts", "graphs"]
+MODULES = [
+    "features", "contracts", "monitoring", "evaluation", "texts", "graphs", "pods", "evidences",
+]
 
 
 def load():
