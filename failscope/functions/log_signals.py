@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failscope import constants as K
-from failscope.functions.text import LINE_BREAK, WS, clean_text, unicode_aware
+from failscope.functions.text import LINE_BREAK, SPACES, clean_text, unicode_aware
 
 SIGNALS = [
     "has_error_type", "error_type_hash", "has_http_error", "http_status_code",
@@ -18,73 +18,96 @@ SIGNALS = [
 ]
 
 
+_SCORES = {
+    "keyword_score_schema": K.SCHEMA_WORDS,
+    "keyword_score_resource": K.RESOURCE_WORDS,
+    "keyword_score_api": K.API_WORDS,
+    "keyword_score_data_quality": K.DATA_QUALITY_WORDS,
+    "keyword_score_dependency": K.DEPENDENCY_WORDS,
+}
+
+
+def _literals(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
 def _flag(condition: Column) -> Column:
     return condition.cast("int")
 
 
+def _number(digits: Column, kind: str) -> Column:
+    """Text to number; no match is null before the cast, which then has nothing to fail on."""
+    return F.nullif(digits, F.lit("")).try_cast(kind)
+
+
 def _bucket(text: Column) -> Column:
     """Stable bucket 0..999 of a text, the same in every process."""
     head = F.substring(F.md5(text), 1, 8)
     return (F.conv(head, 16, 10).cast("bigint") % 1000).cast("int")
 
 
-def signal_columns(error_log: Column) -> list[Column]:
-    """The 23 signals of one log column, in fixed order."""
-    text = clean_text(error_log)
-    lower = F.lower(text)
+def with_signals(df: DataFrame, error_log: str = "error_log") -> DataFrame:
+    """Add the 23 signals of a log column, in fixed order.
+
+    Texts, words and matches that several signals use get columns of their own first,
+    so each pattern runs over a log once.
+    """
+    text, lower, words = F.col("_text"), F.col("_lower"), F.col("_words")
+    every = sorted({w for vocabulary in _SCORES.values() for w in vocabulary})
+    rows = df.withColumn("_text", clean_text(F.col(error_log)))
+    rows = rows.withColumn("_lower", F.lower(text))
+    rows = rows.withColumns({
+        "_words": F.split(lower, SPACES),
+        "_type": F.regexp_extract(text, unicode_aware(K.P_ERROR_TYPE), 1),
+        "_status": F.coalesce(
+            _number(F.regexp_extract(text, unicode_aware(K.P_HTTP_STATUS), 1), "int"), F.lit(0)),
+        "_memory": F.regexp_extract(text, unicode_aware(K.P_MEMORY), 0),
+        "_timeout": F.regexp_extract(text, unicode_aware(K.P_TIMEOUT), 1),
+    })
+    rows = rows.withColumn("_hits", F.array_intersect(words, _literals(every)))
+
+    error_type, status = F.col("_type"), F.col("_status")
+    memory, timeout = F.col("_memory"), F.col("_timeout")
     empty = text == ""
-    words = F.split(lower, f"{WS}+")
-
-    error_type = F.regexp_extract(text, unicode_aware(K.P_ERROR_TYPE), 1)
-    status = F.coalesce(
-        F.regexp_extract(text, unicode_aware(K.P_HTTP_STATUS), 1).try_cast("int"), F.lit(0))
     path = unicode_aware(K.P_PATH)
-    memory = F.regexp_extract(text, unicode_aware(K.P_MEMORY), 0)
-    memory_number = F.regexp_extract(memory, r"^\d+(?:\.\d+)?", 0).try_cast("double")
-    memory_unit = F.upper(F.regexp_extract(memory, r"[A-Za-z]+$", 0))
+    paths = F.array_join(F.regexp_extract_all(text, F.lit(path), F.lit(0)), "\n")
+    s3 = F.lit("s3://")
+    number = F.regexp_extract(memory, r"^\d+(?:\.\d+)?", 0).try_cast("double")
+    unit = F.upper(F.regexp_extract(memory, r"[A-Za-z]+$", 0))
     factor = F.lit(None).cast("double")
-    for unit, mb in K.MEMORY_UNIT_MB.items():
-        factor = F.when(memory_unit == unit, F.lit(mb)).otherwise(factor)
-    timeout = F.regexp_extract(text, unicode_aware(K.P_TIMEOUT), 1)
-
-    def hits(vocabulary: list[str]) -> Column:
-        return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary])))
-
+    for name, mb in K.MEMORY_UNIT_MB.items():
+        factor = F.when(unit == name, F.lit(mb)).otherwise(factor)
     phrases = sum(
         (_flag(F.contains(lower, F.lit(p))) for p in K.MISSING_DATA_PHRASES), F.lit(0))
 
-    values = [
-        _flag(error_type != ""),
-        F.when(error_type != "", _bucket(error_type)).otherwise(0),
-        _flag(status >= 400),
-        status,
-        _flag((status >= 400) & (status < 500)),
-        _flag(status >= 500),
-        _flag(F.rlike(text, F.lit(path))),
-        _flag(
-            F.contains(text, F.lit("s3://"))
-            & F.exists(
-                F.regexp_extract_all(text, F.lit(path), F.lit(0)),
-                lambda m: F.contains(m, F.lit("s3://")))),
-        _flag(memory != ""),
-        F.coalesce(memory_number * factor, F.lit(0.0)),
-        _flag(timeout != ""),
-        F.coalesce(timeout.try_cast("bigint"), F.lit(0).cast("bigint")),
-        F.regexp_count(text, F.lit(unicode_aware(K.P_QUOTED))),
-        F.regexp_count(text, F.lit(unicode_aware(K.P_COUNTED))),
-        F.length(text),
-        F.when(empty, 0).otherwise(F.size(words)),
-        F.when(empty, 0).otherwise(F.regexp_count(text, F.lit(LINE_BREAK)) + 1),
-        hits(K.SCHEMA_WORDS),
-        hits(K.RESOURCE_WORDS),
-        hits(K.API_WORDS),
-        hits(K.DATA_QUALITY_WORDS),
-        hits(K.DEPENDENCY_WORDS),
-        phrases,
-    ]
-    return [value.alias(name) for value, name in zip(values, SIGNALS)]
-
-
-def log_signals(df: DataFrame, error_log: str = "error_log") -> list[Column]:
-    """Feature-group form: takes the events, returns the new columns."""
-    return signal_columns(df[error_log])
+    values = {
+        "has_error_type": _flag(error_type != ""),
+        "error_type_hash": F.when(error_type != "", _bucket(error_type)).otherwise(0),
+        "has_http_error": _flag(status >= 400),
+        "http_status_code": status,
+        "is_client_error": _flag((status >= 400) & (status < 500)),
+        "is_server_error": _flag(status >= 500),
+        "has_file_path": _flag(F.rlike(text, F.lit(path))),
+        "has_s3_path": _flag(F.contains(text, s3) & F.contains(paths, s3)),
+        "has_memory_ref": _flag(memory != ""),
+        "memory_value_mb": F.when(memory != "", F.coalesce(number * factor, F.lit(0.0)))
+        .otherwise(F.lit(0.0)),
+        "has_timeout": _flag(timeout != ""),
+        "timeout_seconds": F.coalesce(_number(timeout, "bigint"), F.lit(0).cast("bigint")),
+        "column_count": F.regexp_count(text, F.lit(unicode_aware(K.P_QUOTED))),
+        "numeric_count_in_log": F.regexp_count(text, F.lit(unicode_aware(K.P_COUNTED))),
+        "log_length": F.length(text),
+        "word_count": F.when(empty, 0).otherwise(F.size(words)),
+        "log_line_count": F.when(empty, 0).otherwise(
+            F.regexp_count(text, F.lit(LINE_BREAK)) + 1),
+        **{name: F.size(F.array_intersect(_literals(vocabulary), F.col("_hits")))
+           for name, vocabulary in _SCORES.items()},
+        "keyword_score_missing_data": phrases,
+    }
+    helpers = ["_text", "_lower", "_words", "_type", "_status", "_memory", "_timeout", "_hits"]
+    return rows.withColumns(values).drop(*helpers)
+
+
+def signals(df: DataFrame, *keep: str, error_log: str = "error_log") -> DataFrame:
+    """The kept columns and the 23 signals."""
+    return with_signals(df.select(*keep, F.col(error_log).alias("_log")), "_log").drop("_log")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failscope import constants as K
@@ -15,8 +15,15 @@ WS_INNER = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 WS = f"[{WS_INNER}]"
-NOT_WS = f"[^{WS_INNER}]"
-WORD_INNER = r"\p{L}\p{N}_"
+# The same classes for Java: printable ASCII is told apart by one comparison.
+_SPACE = f"[[^!-~]&&[{WS_INNER}]]"
+_NOT_SPACE = f"[!-~[^{WS_INNER}]]"
+SPACES = f"{_SPACE}+"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+WORD_INNER = r"0-9A-Za-z_\p{L}\p{N}"
 WORD = f"[{WORD_INNER}]"
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
@@ -27,19 +34,20 @@ def unicode_aware(pattern: str) -> str:
     if "|%|" in pattern:  # the text before the boundary may end in a non-word character
         boundary = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
     if pattern.startswith(r"\b"):
-        pattern = f"(?<!{WORD})" + pattern[2:]
+        # All of these go on with a digit: testing that first skips most positions.
+        pattern = rf"(?=\d)(?<!{WORD})" + pattern[2:]
     return (
         pattern.replace(r"\b", boundary)
         .replace(r"[\w", f"[{WORD_INNER}")
         .replace(r"\w", WORD)
-        .replace(r"\s", WS)
-        .replace(r"\S", NOT_WS)
+        .replace(r"\s", _SPACE)
+        .replace(r"\S", _NOT_SPACE)
     )
 
 
 def stripped(text: Column) -> Column:
     """Text without leading and trailing white space (null stays null)."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def clean_text(text: Column) -> Column:
@@ -73,7 +81,7 @@ def placeholder_text(text: Column) -> Column:
     out = F.lower(text)
     for pattern, name in K.PLACEHOLDERS:
         out = F.regexp_replace(out, unicode_aware(pattern), f" {name} ")
-    return stripped(F.regexp_replace(out, f"{WS}+", " "))
+    return stripped(F.regexp_replace(out, SPACES, " "))
 
 
 def vector_text(text: Column) -> Column:
@@ -97,6 +105,13 @@ def grams(token_array: Column) -> Column:
     return F.concat(token_array, pairs)
 
 
+def with_grams(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the grams of a text column. The tokens get a column of their own: they are
+    used several times, and this way they are found once."""
+    found = df.withColumn("_tokens", tokens(vector_text(F.col(text))))
+    return found.withColumn(out, grams(F.col("_tokens"))).drop("_tokens")
+
+
 def scenario_date(date_key: Column) -> Column:
     """Midnight UTC of a yyyyMMdd key; an unreadable key gives the default date."""
     return F.coalesce(

@@ -5,12 +5,11 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Estimator, Model
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from failscope import constants as K
 from failscope.functions import event_features as E
-from failscope.functions.log_signals import SIGNALS, signal_columns
+from failscope.functions.log_signals import SIGNALS, with_signals
 from failscope.operators.lag import with_lag
 from failscope.operators.validation import require_columns
 from failscope.operators.vectorize import Vocabulary, fit_vocabulary
@@ -18,9 +17,9 @@ from failscope.operators.vectorize import Vocabulary, fit_vocabulary
 FIXED = E.EXECUTION + E.SCHEMA + E.TEMPORAL + E.LAG + SIGNALS
 
 
-def log_columns(vocabulary: Vocabulary, log: Column) -> list[Column]:
-    """Combined log features: 23 signals, then the vocabulary weights in ``tfidf``."""
-    return signal_columns(log) + vocabulary.columns()
+def with_log_features(df: DataFrame, vocabulary: Vocabulary, log: str = "error_log") -> DataFrame:
+    """Combined log features: 23 signals and the array of vocabulary weights, ``tfidf``."""
+    return vocabulary.add_weights(with_signals(df, log), log)
 
 
 class FeatureEngineer(Estimator):
@@ -58,12 +57,12 @@ class FeatureModel(Model):
 
         Other event columns are kept in front of the features.
         """
-        rows = self.vocabulary.add_weights(events, "error_log")
+        rows = with_log_features(events, self.vocabulary)
         kept = [c for c in events.columns if c not in E.LAG]
         return rows.select(
             *kept, *E.execution_columns(rows), *E.schema_columns(rows),
             *E.temporal_columns(rows), *E.LAG,
-            *log_columns(self.vocabulary, F.col("error_log")))
+            *SIGNALS, *self.vocabulary.columns())
 
     def save(self, path: str) -> None:
         self.vocabulary.save(f"{path}/vocabulary")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from failscope import constants as K
-from failscope.functions.text import grams, tokens, vector_text
+from failscope.functions.text import with_grams
 from failscope.session import materialize
 
 VOCABULARY = "term string, df bigint, tf bigint, idf double, idx int"
@@ -16,17 +16,13 @@ VOCABULARY = "term string, df bigint, tf bigint, idf double, idx int"
 MAX_INLINE_TERMS = 1000
 
 
-def document_grams(text: Column) -> Column:
-    return grams(tokens(vector_text(text)))
-
-
 def term_counts(docs: DataFrame, text: str) -> DataFrame:
     """Corpus count and document count of every term in one shuffle.
 
     Each document contributes its terms once per use and once per distinct term;
     both counts are summed map-side, so no (term, document) pair is shuffled.
     """
-    listed = docs.select(document_grams(F.col(text)).alias("g"))
+    listed = with_grams(docs.select(text), text, "g").select("g")
     uses = F.transform("g", lambda t: F.struct(
         t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
     once = F.transform(F.array_distinct("g"), lambda t: F.struct(
@@ -78,21 +74,26 @@ class Vocabulary:
     def add_weights(self, docs: DataFrame, text: str, out: str = "tfidf") -> DataFrame:
         """Add an array of L2-normalised weights in column order, without a shuffle.
 
-        A document is reduced to its vocabulary terms first; the count of a term is
-        the number of entries its removal takes away. All-zero stays all-zero.
+        A document is reduced to its vocabulary terms first, then to one entry per
+        distinct term, then spread over the columns. All-zero stays all-zero.
         """
         terms = self.terms
         if not terms:
             return docs.withColumn(out, F.array().cast("array<double>"))
-        kept = F.filter(document_grams(F.col(text)), lambda g: g.isin([t for t, _ in terms]))
-        raw = F.array(*[
-            (F.size("_kept") - F.size(F.array_remove("_kept", term))).cast("double") * F.lit(idf)
-            for term, idf in terms])
-        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, x: total + x * x))
-        scale = F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(F.lit(1.0))
+        kept = F.filter("_grams", lambda g: g.isin([t for t, _ in terms]))
+        idf = F.create_map(*[F.lit(x) for pair in terms for x in pair])
+        count = lambda t: F.size("_kept") - F.size(F.array_remove("_kept", t))
+        raw = F.map_from_entries(F.transform(F.array_distinct("_kept"), lambda t: F.struct(
+            t, count(t).cast("double") * F.element_at(idf, t))))
+        norm = F.sqrt(F.aggregate(
+            F.map_values("_raw"), F.lit(0.0), lambda total, x: total + x * x))
+        dense = F.array(*[
+            F.coalesce(F.try_element_at("_raw", F.lit(t)) / F.col("_norm"), F.lit(0.0))
+            for t, _ in terms])
         return (
-            docs.withColumn("_kept", kept).withColumn("_raw", raw).withColumn("_norm", norm)
-            .withColumn(out, F.transform("_raw", lambda x: x / scale))
+            with_grams(docs, text, "_grams").withColumn("_kept", kept).drop("_grams")
+            .withColumn("_raw", raw)
+            .withColumn("_norm", F.nullif(norm, F.lit(0.0))).withColumn(out, dense)
             .drop("_kept", "_raw", "_norm"))
 
     def columns(self, weights: str = "tfidf") -> list[Column]:
@@ -107,7 +108,8 @@ class Vocabulary:
                 id, F.arrays_zip(names.alias("term"), F.col("tfidf").alias("weight")).alias("w"))
             return rows.select(id, F.inline_outer("w")).toDF(id, "term", "weight").where(
                 "weight <> 0")
-        used = docs.select(id, F.explode_outer(document_grams(F.col(text))).alias("term"))
+        used = with_grams(docs.select(id, text), text, "g").select(
+            id, F.explode_outer("g").alias("term"))
         raw = used.groupBy(id, "term").agg(F.count("*").alias("n")).join(
             self.table.select("term", "idf"), "term")
         raw = raw.withColumn("weight", F.col("n") * F.col("idf"))

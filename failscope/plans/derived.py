@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from failscope.session import spread
+
 PIPELINES = (
     "analytics_pipeline,autoscale_pipeline,billing_pipeline,clickstream_pipeline,"
     "cloud_infra_pipeline,cluster_ops_pipeline,container_orchestration_pipeline,"
@@ -142,8 +144,10 @@ def with_tables(tables: str, *ctes: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select.strip()
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` spreads a small one over all cores."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
 def _over(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
@@ -157,13 +161,13 @@ def failure_events_from(events: DataFrame) -> DataFrame:
     return _over(events.sparkSession, FAILURE_EVENTS, events=events)
 
 
-def failure_events(spark: SparkSession, folder: str) -> DataFrame:
-    return failure_events_from(table(spark, folder, "events"))
+def failure_events(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    return failure_events_from(table(spark, folder, "events", heavy))
 
 
-def timed_events(spark: SparkSession, folder: str) -> DataFrame:
+def timed_events(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """Failure events with the event time under the contract's name."""
-    return failure_events(spark, folder).withColumnRenamed("event_timestamp", "timestamp")
+    return failure_events(spark, folder, heavy).withColumnRenamed("event_timestamp", "timestamp")
 
 
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failscope.functions import event_features as E
-from failscope.functions.log_signals import SIGNALS, signal_columns
+from failscope.functions.log_signals import SIGNALS, signals, with_signals
 from failscope.operators.lag import with_lag
 from failscope.plans import oracle_text as O
 from failscope.plans.derived import failure_events, timed_events, with_tables
@@ -29,8 +29,8 @@ def q_failure_events(spark: SparkSession, folder: str) -> DataFrame:
 @query("log_signals", with_tables(
     "failure_events", select=O.log_signal_select("event_id", "failure_events")))
 def q_log_signals(spark: SparkSession, folder: str) -> DataFrame:
-    events = failure_events(spark, folder)
-    return _rounded(events.select("event_id", *signal_columns(F.col("error_log"))))
+    events = failure_events(spark, folder, heavy=True)
+    return _rounded(signals(events, "event_id"))
 
 
 @query("execution_features", with_tables(
@@ -63,11 +63,11 @@ def q_lag(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """The 53 feature columns that need no fitted vocabulary, in fixed order."""
-    events = with_lag(timed_events(spark, folder))
+    events = with_signals(with_lag(timed_events(spark, folder, heavy=True)))
     return events.select(
         "event_id",
         *E.execution_columns(events), *E.schema_columns(events), *E.temporal_columns(events),
-        *E.LAG, *signal_columns(F.col("error_log")))
+        *E.LAG, *SIGNALS)
 
 
 MATRIX = E.EXECUTION + E.SCHEMA + E.TEMPORAL + E.LAG + SIGNALS

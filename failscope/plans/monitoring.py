@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failscope import constants as K
-from failscope.functions.log_signals import SIGNALS, signal_columns
+from failscope.functions.log_signals import SIGNALS, signals
 from failscope.functions.text import stripped
 from failscope.operators import rollups as R
 from failscope.plans import oracle_text as O
@@ -36,9 +36,8 @@ SELECT e.root_cause, count(*) AS count,
 FROM ({O.log_signal_select("event_id", "failure_events")}) s
 JOIN failure_events e ON e.event_id = s.event_id GROUP BY e.root_cause"""))
 def q_profile(spark: SparkSession, folder: str) -> DataFrame:
-    signals = failure_events(spark, folder).select(
-        "root_cause", *signal_columns(F.col("error_log")))
-    return _rounded(R.cause_signal_profile(signals, "root_cause", SIGNALS))
+    rows = signals(failure_events(spark, folder, heavy=True), "root_cause")
+    return _rounded(R.cause_signal_profile(rows, "root_cause", SIGNALS))
 
 
 @query("time_window_filter", with_tables("predictions", select=f"""

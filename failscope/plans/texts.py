@@ -42,7 +42,7 @@ _DOCS = docs_cte("documents", "doc_id", "text")
 SELECT event_id, {O.placeholder_sql('error_log')} AS normal,
   lower({O.placeholder_sql('error_log')}) AS vector FROM failure_events"""))
 def q_normalise(spark: SparkSession, folder: str) -> DataFrame:
-    return failure_events(spark, folder).select(
+    return failure_events(spark, folder, heavy=True).select(
         "event_id", placeholder_text(F.col("error_log")).alias("normal"),
         vector_text(F.col("error_log")).alias("vector"))
 
@@ -50,7 +50,7 @@ def q_normalise(spark: SparkSession, folder: str) -> DataFrame:
 @query("text_normalise", f"""
 SELECT doc_id, lower({O.placeholder_sql('text')}) AS vector FROM documents""")
 def q_text_normalise(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", heavy=True).select(
         "doc_id", vector_text(F.col("text")).alias("vector"))
 
 
@@ -60,7 +60,7 @@ SELECT id AS doc_id, count(*) AS n_grams, count(*) FILTER (contains(term, ' '))
   count(DISTINCT term) AS n_distinct, min(encode(term)) = min(encode(term)) AS ok
 FROM grams GROUP BY id""")
 def q_grams(spark: SparkSession, folder: str) -> DataFrame:
-    listed = table(spark, folder, "documents").select(
+    listed = table(spark, folder, "documents", heavy=True).select(
         "doc_id", tokens(vector_text(F.col("text"))).alias("t"))
     both = listed.select("doc_id", F.size("t").alias("n"), grams(F.col("t")).alias("g"))
     return both.where("n > 0").select(
@@ -73,7 +73,7 @@ def q_grams(spark: SparkSession, folder: str) -> DataFrame:
 WITH {_DOCS}, {TOKENS}
 SELECT id AS doc_id, array_to_string(ts, ' ') AS tokens FROM toks""")
 def q_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", heavy=True).select(
         "doc_id", F.array_join(tokens(vector_text(F.col("text"))), " ").alias("tokens"))
 
 
@@ -89,12 +89,12 @@ def _vocab_rows(vocabulary: Vocabulary) -> DataFrame:
 @query("tfidf_vocabulary", with_tables(
     "failure_events", _LOGS, TOKENS, GRAMS, VOCAB, select=_VOCAB_SELECT))
 def q_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return _vocab_rows(fit_vocabulary(failure_events(spark, folder), "error_log"))
+    return _vocab_rows(fit_vocabulary(failure_events(spark, folder, heavy=True), "error_log"))
 
 
 @query("tfidf_vocabulary_documents", f"WITH {_DOCS}, {TOKENS}, {GRAMS}, {VOCAB} {_VOCAB_SELECT}")
 def q_vocabulary_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _vocab_rows(fit_vocabulary(table(spark, folder, "documents"), "text"))
+    return _vocab_rows(fit_vocabulary(table(spark, folder, "documents", heavy=True), "text"))
 
 
 @query("tfidf_matrix", with_tables(
@@ -102,7 +102,7 @@ def q_vocabulary_documents(spark: SparkSession, folder: str) -> DataFrame:
     select="SELECT id AS event_id, term, round(weight, 6) AS weight FROM weights"))
 def q_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     """The vocabulary is saved and loaded again before it is used."""
-    events = failure_events(spark, folder)
+    events = failure_events(spark, folder, heavy=True)
     path = new_path(spark, "saved-vocabulary")
     fit_vocabulary(events, "error_log").save(path)
     vocabulary = Vocabulary.load(spark, path)
@@ -113,5 +113,5 @@ def q_tfidf(spark: SparkSession, folder: str) -> DataFrame:
 WITH {_DOCS}, {TOKENS}, {GRAMS}, {VOCAB}, {WEIGHTS}
 SELECT id AS doc_id, term, round(weight, 6) AS weight FROM weights""")
 def q_tfidf_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", heavy=True)
     return _rounded(fit_vocabulary(docs, "text").long_weights(docs, "doc_id", "text"))
