@@ -13,3 +13,8 @@ def moment(df: DataFrame, column: str, value: datetime) -> Column:
     if isinstance(df.schema[column].dataType, T.TimestampNTZType):
         return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
     return F.lit(value)
+
+
+def as_instant(ts: Column) -> Column:
+    """A timestamp without a zone read as UTC (the pinned session zone)."""
+    return ts.cast("timestamp")

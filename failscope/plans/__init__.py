@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = [
     "features", "contracts", "monitoring", "evaluation", "texts", "graphs", "pods", "evidences",
+    "streams", "learning",
 ]
 
 
