@@ -29,7 +29,7 @@ LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
 def unicode_aware(pattern: str) -> str:
-    r"""Spell out \w, \s, \S and \b so that they cover all of Unicode on any JDK."""
+    r"""Spell out \w, \d, \s, \S and \b so that they cover all of Unicode on any JDK."""
     boundary = f"(?!{WORD})"
     if "|%|" in pattern:  # the text before the boundary may end in a non-word character
         boundary = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
@@ -40,6 +40,7 @@ def unicode_aware(pattern: str) -> str:
         pattern.replace(r"\b", boundary)
         .replace(r"[\w", f"[{WORD_INNER}")
         .replace(r"\w", WORD)
+        .replace(r"\d", r"[0-9\p{Nd}]")
         .replace(r"\s", _SPACE)
         .replace(r"\S", _NOT_SPACE)
     )

@@ -155,7 +155,7 @@ def q_stream_scored(spark: SparkSession, folder: str) -> DataFrame:
     events = events.withColumnRenamed("event_timestamp", "timestamp")
     base = new_path(spark, "stream-score")
     S.score_stream(
-        events, engineer, model, f"{base}/failures", f"{base}/predictions",
+        events, engineer, model, f"{base}/failures", f"{base}/predictions", f"{base}/state",
         f"{base}/checkpoint").awaitTermination()
     schema = spark.read.parquet(f"{base}/predictions").drop("batch").schema
     return S.read_sink(spark, f"{base}/predictions", schema).drop("batch")

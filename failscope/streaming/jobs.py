@@ -54,15 +54,35 @@ def validate_stream(
     return _start(events.writeStream.foreachBatch(write), checkpoint)
 
 
+def _lagged_batch(
+    batch: DataFrame, n: int, state: str, ts: str, key: str, id: str
+) -> DataFrame:
+    """The batch with its lag columns; writes the last time of each key as state ``n``.
+
+    A batch reads the state its predecessor wrote. Inside a batch the skew-free batch
+    operator runs, so one busy key is spread over tasks like any other. An event that
+    is older than the state has no earlier time to refer to and counts as a first event.
+    """
+    spark = batch.sparkSession
+    schema = T.StructType([batch.schema[key], batch.schema[ts]])
+    last, earlier = batch.select(key, ts), None
+    if n > 0:
+        earlier = spark.read.schema(schema).parquet(f"{state}/batch={n - 1}")
+        last = last.unionByName(earlier)
+    _write_batch(last.groupBy(key).agg(F.max(ts).alias(ts)), state, n)
+    return with_lag(batch, ts, key, id, earlier)
+
+
 def score_stream(
-    events: DataFrame, features, model, failures: str, predictions: str, checkpoint: str,
-    id: str = "event_id",
+    events: DataFrame, features, model, failures: str, predictions: str, state: str,
+    checkpoint: str, ts: str = "timestamp", key: str = "pipeline_name", id: str = "event_id",
 ) -> StreamingQuery:
-    """Store each event, then score it and store its prediction."""
+    """Store each event, then score it with its lag over all batches, store its prediction."""
     def write(batch: DataFrame, n: int) -> None:
         _write_batch(batch, failures, n)
         stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{failures}/batch={n}")
-        scored = model.score(features.transform(stored)).select(
+        lagged = _lagged_batch(stored, n, state, ts, key, id)
+        scored = model.score(features.with_features(lagged)).select(
             F.col(id).alias("failure_id"), "pipeline_name", "predicted_root_cause",
             "confidence", "model_version")
         _write_batch(scored, predictions, n)
@@ -74,26 +94,10 @@ def lag_stream(
     events: DataFrame, out: str, state: str, checkpoint: str, ts: str = "timestamp",
     key: str = "pipeline_name", id: str = "event_id",
 ) -> StreamingQuery:
-    """Lag and burst against all earlier batches.
-
-    The state is the last time of each key, one small table per batch; a batch reads
-    the state its predecessor wrote. Inside a batch the skew-free batch operator runs,
-    so one busy key is spread over tasks like any other. An event that is older than
-    the state has no earlier time to refer to and counts as a first event.
-    """
-    schema = T.StructType([events.schema[key], events.schema[ts]])
-
+    """Lag and burst of every event against its own and all earlier batches."""
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        earlier = None
-        if n > 0:
-            earlier = spark.read.schema(schema).parquet(f"{state}/batch={n - 1}")
-        _write_batch(with_lag(batch, ts, key, id, earlier).select(
+        _write_batch(_lagged_batch(batch, n, state, ts, key, id).select(
             id, "feat_lag_seconds", "feat_is_burst"), out, n)
-        last = batch.select(key, ts)
-        if earlier is not None:
-            last = last.unionByName(earlier.select(key, ts))
-        _write_batch(last.groupBy(key).agg(F.max(ts).alias(ts)), state, n)
 
     return _start(events.writeStream.foreachBatch(write), checkpoint)
 
