@@ -74,7 +74,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame | None = None) -> Parts:
     levels = Parts(edges.sparkSession, "levels")
     while True:
         level = levels.add(level)
-        if level.isEmpty():
+        if levels.seen["rows"] == 0:
             levels.drop_last()
             return levels
         known = levels.all().select("source", "node")
@@ -109,18 +109,19 @@ def depths(edges: DataFrame) -> DataFrame:
     degree = materialize(degrees(edges).select("node", "in_degree"), "degree")
     total = degree.count()
     rounds = Parts(edges.sparkSession, "rounds")
-    done = rounds.add(degree.where("in_degree = 0").select("node", F.lit(0).alias("depth"))).count()
+    rounds.add(degree.where("in_degree = 0").select("node", F.lit(0).alias("depth")))
+    done = rounds.seen["rows"]
     while done < total:
         got = (
             edges.join(rounds.all(), F.col("upstream") == F.col("node"))
             .groupBy(F.col("downstream").alias("node"))
             .agg(F.count("*").alias("got"), F.max("depth").alias("last"))
             .where(F.col("last") == len(rounds.paths) - 1))
-        n = rounds.add(got.join(degree, "node").where("got = in_degree").select(
-            "node", (F.col("last") + 1).alias("depth"))).count()
-        if n == 0:
+        rounds.add(got.join(degree, "node").where("got = in_degree").select(
+            "node", (F.col("last") + 1).alias("depth")))
+        if rounds.seen["rows"] == 0:
             raise ValueError("the graph has a cycle: depth is not defined")
-        done += n
+        done += rounds.seen["rows"]
     return rounds.all()
 
 
@@ -164,7 +165,7 @@ def pagerank(
     """PageRank by power iteration; the mass of nodes without out-edges is spread evenly.
 
     Stops when the summed change is below n * tolerance; if it never is, every rank
-    is 0. A round is one join and one aggregate; the stop test reads the written ranks.
+    is 0. A round is one join and one aggregate; the stop test comes out of the same job.
     """
     edges = edges.select("upstream", "downstream").distinct()
     degree = materialize(degrees(edges).select("node", "out_degree"), "degree")
@@ -175,20 +176,21 @@ def pagerank(
     n, loose = start[0], start[1] / max(start[0], 1)
     ranks = degree.select(
         "node", F.lit(1.0 / max(n, 1)).alias("rank"), (F.col("out_degree") == 0).alias("loose"))
+    rounds = Parts(edges.sparkSession, "ranks")
     for _ in range(max_rounds):
         sent = links.join(ranks, F.col("upstream") == F.col("node")).select(
             F.col("downstream").alias("node"), (F.col("rank") * F.col("share")).alias("got"),
             F.lit(0.0).alias("old"), F.lit(False).alias("loose"))
         kept = ranks.select("node", F.lit(0.0).alias("got"), F.col("rank").alias("old"), "loose")
         base = (1 - alpha) / n + alpha * loose / n
-        ranks = materialize(
+        ranks = rounds.add(
             sent.union(kept).groupBy("node").agg(
                 (F.lit(base) + F.lit(alpha) * F.sum("got")).alias("rank"),
-                F.sum("old").alias("old"), F.max("loose").alias("loose")), "ranks")
-        change, loose = ranks.agg(
-            F.sum(F.abs(F.col("rank") - F.col("old"))),
-            F.coalesce(F.sum(F.when(F.col("loose"), F.col("rank"))), F.lit(0.0))).first()
-        if change < n * tolerance:
+                F.sum("old").alias("old"), F.max("loose").alias("loose")),
+            change=F.sum(F.abs(F.col("rank") - F.col("old"))),
+            loose=F.coalesce(F.sum(F.when(F.col("loose"), F.col("rank"))), F.lit(0.0)))
+        loose = rounds.seen["loose"]
+        if rounds.seen["change"] < n * tolerance:
             return ranks.select("node", F.col("rank").alias("pagerank"))
     return degree.select("node", F.lit(0.0).alias("pagerank"))
 
@@ -203,7 +205,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("upstream <> downstream").select(
             F.greatest("upstream", "downstream").alias("a"),
             F.least("upstream", "downstream").alias("b")).distinct(), "stars")
-    before = None
+    before, rounds = None, Parts(edges.sparkSession, "stars")
     while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -213,13 +215,12 @@ def components(edges: DataFrame) -> DataFrame:
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "stars")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = materialize(
-            hung.where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
-        state = pairs.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        pairs = rounds.add(
+            hung.where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct(),
+            content=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        if rounds.seen == before:
             break
-        before = state
+        before = rounds.seen
     return nodes(edges).join(pairs, F.col("node") == F.col("a"), "left").select(
         "node", F.coalesce("b", "node").alias("component"))
 

@@ -143,21 +143,22 @@ def with_default_time(df: DataFrame, as_of, ts: str = "timestamp") -> DataFrame:
 
 
 def feature_quality(features: DataFrame, names: list[str]) -> DataFrame:
-    """Nulls, infinities and variance per feature: one pass, then one row per feature."""
-    inf = F.lit(float("inf"))
-    per = []
-    for name in names:
-        value = F.col(f"`{name}`").cast("double")
-        per.append(F.struct(
-            F.lit(name).alias("feature"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count_if(value.isNull() | F.isnan(value)).alias("n_missing"),
-            F.count_if(F.abs(value) == inf).alias("n_infinite"),
-            F.coalesce(F.var_samp(value), F.lit(0.0)).alias("variance"),
-        ))
-    one = features.agg(F.array(*per).alias("stats"))
-    stats = one.select(F.inline("stats"))
-    return stats.withColumn("is_constant", F.col("variance") == 0)
+    """Nulls, infinities and variance per feature, one row each, in one pass.
+
+    Rows turn into (position, value) pairs that are aggregated before the shuffle: the
+    aggregate keeps five numbers per feature however many features there are.
+    """
+    values = F.array(*[F.col(f"`{name}`").cast("double") for name in names])
+    value = F.col("value")
+    stats = features.select(F.posexplode(values).alias("at", "value")).groupBy("at").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(value.isNull() | F.isnan(value)).alias("n_missing"),
+        F.count_if(F.abs(value) == F.lit(float("inf"))).alias("n_infinite"),
+        F.coalesce(F.var_samp(value), F.lit(0.0)).alias("variance"))
+    listed = F.array(*[F.lit(name) for name in names])
+    return stats.select(
+        F.get(listed, F.col("at")).alias("feature"), "n_rows", "n_missing", "n_infinite",
+        "variance", (F.col("variance") == 0).alias("is_constant"))
 
 
 def low_variance(quality: DataFrame, threshold: float = K.LOW_VARIANCE) -> DataFrame:

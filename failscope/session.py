@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -57,6 +58,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_observed(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write parquet and return aggregates of the written rows from the same job."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[
+        c.alias(n) for n, c in metrics.items()]).write.parquet(path)
+    return seen.get
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -77,12 +86,13 @@ class Parts:
         self.spark, self.root = spark, new_path(spark, name)
         self.paths: list[str] = []
 
-    def add(self, df: DataFrame) -> DataFrame:
+    def add(self, df: DataFrame, **metrics: Column) -> DataFrame:
+        """Write the next table; its row count and ``metrics`` are in ``self.seen``."""
         path = f"{self.root}/{len(self.paths)}"
-        df.write.parquet(path)
-        self.paths.append(path)
         self.schema = df.schema
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.seen = write_observed(df, path, **metrics)
+        self.paths.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
 
     def drop_last(self) -> None:
         self.paths.pop()
