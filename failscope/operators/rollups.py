@@ -133,13 +133,14 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
             F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"),
             F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("low"),
             F.max(c).cast("double").alias("high"))
-        quartiles = (
-            int_percentiles(df, c, [0.25, 0.5, 0.75]).withColumn("column", F.lit(c))
-            .groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
-            .toDF("column", "q1", "median", "q3"))
-        row = basic.join(quartiles, "column", "left")
-        out = row if out is None else out.unionByName(row)
-    return out
+        at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
+        quartiles = int_percentiles(df, c, [0.25, 0.5, 0.75]).agg(
+            F.lit(c).alias("column"), at(0.25).alias("q1"), at(0.5).alias("median"),
+            at(0.75).alias("q3"))
+        rows = basic.unionByName(quartiles, allowMissingColumns=True)
+        out = rows if out is None else out.unionByName(rows)
+    names = ["n", "mean", "std", "low", "high", "q1", "median", "q3"]
+    return out.groupBy("column").agg(*[F.max(n).alias(n) for n in names])
 
 
 def flag_rates(df: DataFrame) -> DataFrame:

@@ -92,6 +92,43 @@ def q_train(spark: SparkSession, folder: str) -> DataFrame:
           for c in K.ROOT_CAUSES])
 
 
+_HELD = f"""held AS (SELECT event_id, root_cause FROM (
+SELECT event_id, root_cause, row_number() OVER (PARTITION BY root_cause
+    ORDER BY md5(concat(event_id, ':42')), event_id)
+  <= round({K.TEST_FRACTION} * count(*) OVER (PARTITION BY root_cause)) AS is_test
+FROM failure_events) s WHERE is_test)"""
+
+
+@query("holdout_contract", D.with_tables("failure_events", _HELD, select="""
+SELECT event_id, root_cause AS actual_root_cause, true AS sums_to_one, true AS confidence_is_best,
+  true AS best_class_is_predicted, 6 AS n_classes FROM held"""))
+def q_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for every scored holdout event, whatever trees were fitted."""
+    p = F.map_values("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return _fitted(spark, folder)[3].select(
+        "event_id", "actual_root_cause", (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.round(F.array_max(p), 4) == F.col("confidence")).alias("confidence_is_best"),
+        (F.element_at("probabilities", F.col("predicted_root_cause")) == F.array_max(p))
+        .alias("best_class_is_predicted"), F.size(p).alias("n_classes"))
+
+
+@query("attribution_additivity", D.with_tables("failure_events", _HELD, f"""
+classes AS (SELECT unnest([{', '.join(repr(c) for c in K.ROOT_CAUSES)}]) AS c)""", select="""
+SELECT event_id, c AS root_cause, true AS adds_up FROM held JOIN classes ON true"""))
+def q_additivity(spark: SparkSession, folder: str) -> DataFrame:
+    """Base value and contributions give the class probability, for every class."""
+    features, _, model, scored = _fitted(spark, folder)
+    held = features.join(scored.select("event_id"), "event_id", "left_semi")
+    explained = A.attributions(model, held, all_classes=True)
+    truth = scored.select("event_id", "probabilities")
+    total = F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x)
+    return explained.join(truth, "event_id").select(
+        "event_id", "root_cause",
+        (F.abs(total - F.element_at("probabilities", F.col("root_cause"))) < 1e-9)
+        .alias("adds_up"))
+
+
 @query("holdout_metrics")
 def q_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return M.overall_metrics(M.class_report(M.confusion_matrix(_fitted(spark, folder)[3])))
@@ -147,6 +184,19 @@ def q_explained(spark: SparkSession, folder: str) -> DataFrame:
         "evidence", "counter_evidence")
 
 
+@query("stream_score_parity", D.with_tables("failure_events", select="""
+SELECT event_id AS failure_id, true AS same_class, true AS same_confidence FROM failure_events"""))
+def q_parity(spark: SparkSession, folder: str) -> DataFrame:
+    """Streamed predictions equal batch predictions, event by event."""
+    features, _, model, _ = _fitted(spark, folder)
+    batch = model.score(features).select(
+        F.col("event_id").alias("failure_id"), F.col("predicted_root_cause").alias("cause"),
+        F.col("confidence").alias("sure"))
+    return q_stream_scored(spark, folder).join(batch, "failure_id").select(
+        "failure_id", (F.col("cause") == F.col("predicted_root_cause")).alias("same_class"),
+        (F.col("sure") == F.col("confidence")).alias("same_confidence"))
+
+
 @query("stream_scored")
 def q_stream_scored(spark: SparkSession, folder: str) -> DataFrame:
     """Events stream through features and scoring; predictions are read from the sink."""
