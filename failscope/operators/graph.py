@@ -7,6 +7,8 @@ so lineage stays flat and every step is as parallel as its rows.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,16 +233,24 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 
 def node_features(edges: DataFrame) -> DataFrame:
-    """The eleven graph features of every node, in fixed order."""
+    """The eleven graph features of every node, in fixed order.
+
+    The four loops do not depend on each other, so their jobs run side by side: the
+    short rounds of one fill the cores that the others leave idle.
+    """
     edges = materialize(build_graph(edges).select("upstream", "downstream"), "edges")
-    levels = shortest_paths(edges)
+
+    def paths() -> tuple[DataFrame, DataFrame]:
+        levels = shortest_paths(edges)
+        return betweenness(edges, levels), reach_counts(closure(levels))
+
+    with ThreadPoolExecutor(4) as pool:
+        loops = [pool.submit(paths)] + [
+            pool.submit(loop, edges) for loop in (pagerank, depths, components)]
+        (between, reach), rank, depth, component = [loop.result() for loop in loops]
     out = (
-        degrees(edges)
-        .join(betweenness(edges, levels), "node")
-        .join(pagerank(edges), "node")
-        .join(reach_counts(closure(levels)), "node", "left")
-        .join(depths(edges), "node")
-        .join(component_sizes(components(edges)), "node"))
+        degrees(edges).join(between, "node").join(rank, "node").join(reach, "node", "left")
+        .join(depth, "node").join(component_sizes(component), "node"))
     return out.select(
         "node",
         *[F.col(c).alias(f"graph_{c}") for c in (
