@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +19,7 @@ from failscope import constants as K
 from failscope.operators.split import balanced_weights, stratified_split
 
 FOREST, BOOSTED = "forest", "boosted"
+ROWS_PER_PARTITION = 500_000
 
 
 def assemble(df: DataFrame, names: list[str]) -> DataFrame:
@@ -93,13 +95,16 @@ def _active():
 def train(
     features: DataFrame, names: list[str], label: str = "root_cause", id: str = "event_id",
     kind: str = FOREST, n_trees: int = K.TREE_PARAMS["n_estimators"],
-    seed: int = K.TREE_PARAMS["seed"], version: str = "v1", partitions: int = 64,
+    seed: int = K.TREE_PARAMS["seed"], version: str = "v1", partitions: int | None = None,
 ) -> RootCauseModel:
     """Fit on all given rows, weighted so that every class counts the same.
 
-    Rows are placed by id hash and sorted, so a seed gives the same trees each time
-    for the same ``partitions``; trees draw their samples per partition.
+    Rows are placed by id hash and sorted, and trees draw their samples per partition,
+    so a seed gives the same trees each time. The number of partitions follows the
+    number of rows, not the cluster.
     """
+    partitions = partitions or max(8, math.ceil(features.count() / ROWS_PER_PARTITION))
+
     classes = [r[0] for r in features.select(label).distinct().orderBy(label).collect()]
     rows = balanced_weights(features, label).withColumn("_label", _index(F.col(label), classes))
     rows = assemble(rows, names).select(id, "features", "_label", "class_weight")

@@ -42,7 +42,7 @@ def _fitted(spark: SparkSession, folder: str):
         engineer = FeatureEngineer().fit(parts.where("NOT is_test").drop("is_test"))
         features = materialize(engineer.transform(events), "features")
         model, scored = split_train_evaluate(
-            features, engineer.feature_names, n_trees=TREES, partitions=8)
+            features, engineer.feature_names, n_trees=TREES)
         _FITTED[key] = (features, engineer, model, materialize(
             scored.drop("features"), "scored"))
     return _FITTED[key]

@@ -40,7 +40,7 @@ def save_model(
         raise ValueError(
             f"macro F1 {metrics['macro_f1']:.4f} is below {threshold:.2f}: not saved")
     spark = SparkSession.getActiveSession()
-    name = f"rca_model_{model.version}"
+    name = f"root_cause_model_{model.version}"
     trees = [model.trees] if model.kind == FOREST else model.trees
     for i, part in enumerate(trees):
         part.write().overwrite().save(f"{folder}/{name}/{i}")
@@ -61,7 +61,7 @@ def save_model(
 
 
 def read_metadata(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
-    place = "model_metadata" if version is None else f"rca_model_{version}/metadata_row"
+    place = "model_metadata" if version is None else f"root_cause_model_{version}/metadata_row"
     try:
         return spark.read.schema(METADATA).json(f"{folder}/{place}")
     except Exception as error:
