@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,10 +58,11 @@ class Vocabulary:
 
     table: DataFrame
 
-    def __post_init__(self) -> None:
-        self.size = self.table.count()
+    @cached_property
+    def size(self) -> int:
+        return self.table.count()
 
-    @property
+    @cached_property
     def terms(self) -> list[tuple[str, float]]:
         """Terms with their weights, in column order; only for inline sizes."""
         if self.size > MAX_INLINE_TERMS:
