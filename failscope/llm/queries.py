@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from failscope.llm.common import table
 from failscope.llm.decontaminate import decontaminate
+from failscope.llm.near_duplicates import near_duplicates
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,6 +36,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN nh USING (rid) LEFT JOIN its USING (rid)"""
 
 
-QUERIES = {"op6_decontaminate": op6_decontaminate}
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
-ORACLES = {"op6_decontaminate": OP6_SQL}
+
+OP9_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS sh FROM starts),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b
+  ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+  WHERE 100 * i >= 85 * (a.n + b.n - i)),
+e2 AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach AS (SELECT x, y FROM e2 UNION SELECT r.x, e2.y FROM reach r JOIN e2 ON r.y = e2.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id,
+  doc_id = least(doc_id, coalesce(y, doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = doc_id"""
+
+
+QUERIES = {"op6_decontaminate": op6_decontaminate, "op9_near_duplicates": op9_near_duplicates}
+
+ORACLES = {"op6_decontaminate": OP6_SQL, "op9_near_duplicates": OP9_SQL}
