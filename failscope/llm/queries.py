@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from failscope.llm.common import table
 from failscope.llm.decontaminate import decontaminate
 from failscope.llm.near_duplicates import near_duplicates
+from failscope.llm.token_files import token_files
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,6 +59,14 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = doc_id"""
 
 
-QUERIES = {"op6_decontaminate": op6_decontaminate, "op9_near_duplicates": op9_near_duplicates}
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op6_decontaminate": op6_decontaminate,
+    "op9_near_duplicates": op9_near_duplicates,
+}
 
 ORACLES = {"op6_decontaminate": OP6_SQL, "op9_near_duplicates": OP9_SQL}
