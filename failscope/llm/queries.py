@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from failscope.llm.common import table
 from failscope.llm.decontaminate import decontaminate
 from failscope.llm.near_duplicates import near_duplicates
+from failscope.llm.token_counts import token_counts
 from failscope.llm.token_files import token_files
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,8 +64,13 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op4_token_counts": op4_token_counts,
     "op6_decontaminate": op6_decontaminate,
     "op9_near_duplicates": op9_near_duplicates,
 }
