@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from failscope.llm.common import table
 from failscope.llm.decontaminate import decontaminate
+from failscope.llm.exact_search import exact_top_k
 from failscope.llm.near_duplicates import near_duplicates
 from failscope.llm.token_counts import token_counts
 from failscope.llm.token_files import token_files
@@ -38,6 +39,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN nh USING (rid) LEFT JOIN its USING (rid)"""
 
 
+def op7_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_top_k(table(spark, folder, "embeddings"))
+
+
+OP7_SQL = """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+  CAST(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM u q JOIN u c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+  AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
@@ -72,7 +89,12 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_token_counts": op4_token_counts,
     "op6_decontaminate": op6_decontaminate,
+    "op7_exact_top_k": op7_exact_top_k,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
-ORACLES = {"op6_decontaminate": OP6_SQL, "op9_near_duplicates": OP9_SQL}
+ORACLES = {
+    "op6_decontaminate": OP6_SQL,
+    "op7_exact_top_k": OP7_SQL,
+    "op9_near_duplicates": OP9_SQL,
+}
