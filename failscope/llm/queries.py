@@ -8,6 +8,7 @@ from failscope.llm.common import table
 from failscope.llm.decontaminate import decontaminate
 from failscope.llm.exact_search import exact_top_k
 from failscope.llm.near_duplicates import near_duplicates
+from failscope.llm.pieces import segmentations
 from failscope.llm.token_counts import token_counts
 from failscope.llm.token_files import token_files
 
@@ -77,6 +78,10 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = doc_id"""
 
 
+def op1_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return segmentations(table(spark, folder, "documents"))
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"))
 
@@ -86,6 +91,7 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentence_pieces": op1_sentence_pieces,
     "op2_token_files": op2_token_files,
     "op4_token_counts": op4_token_counts,
     "op6_decontaminate": op6_decontaminate,
