@@ -9,12 +9,18 @@ from failscope.llm.decontaminate import decontaminate
 from failscope.llm.exact_search import exact_top_k
 from failscope.llm.near_duplicates import near_duplicates
 from failscope.llm.pieces import segmentations
+from failscope.llm.quality import fit, quality
 from failscope.llm.token_counts import token_counts
 from failscope.llm.token_files import token_files
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality(docs, fit(docs))
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_token_files": op2_token_files,
     "op4_token_counts": op4_token_counts,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_top_k": op7_exact_top_k,
     "op9_near_duplicates": op9_near_duplicates,
