@@ -9,6 +9,7 @@ from failscope.llm.decontaminate import decontaminate
 from failscope.llm.exact_search import exact_top_k
 from failscope.llm.near_duplicates import near_duplicates
 from failscope.llm.pieces import segmentations
+from failscope.llm.pseudonyms import findings
 from failscope.llm.quality import fit, quality
 from failscope.llm.token_counts import token_counts
 from failscope.llm.token_files import token_files
@@ -96,6 +97,10 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"))
 
 
+def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return findings(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_token_files": op2_token_files,
@@ -104,6 +109,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_top_k": op7_exact_top_k,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 ORACLES = {
