@@ -7,12 +7,13 @@ is branched by the next token; a smaller one is compared exhaustively. Two sets
 J share a node of depth D with probability J^D, so independent trees are repeated until a pair
 at the threshold is found with the target recall.
 
-What a node compares are 128-bit sketches (one bit of the least hash in each of 128 bins): a
-pair is dropped only if more bits differ than a linked pair shows in six standard deviations.
+What a node compares are 256-bit sketches (one bit of the least hash in each of 256 bins): a
+pair is dropped only if more bits differ than a linked pair shows in five standard deviations.
 The rest is confirmed on full sets, best pair of each class first and only between classes
 that are not yet connected, so a large group of near copies costs a forest, not all its pairs.
-Nodes that are still large at the last depth are compared with a few pivots first, then only
-across components.
+A node that is still large at the last depth holds near copies: all its members are compared
+with its pivots first, the members nearest to the majority of its sketches (copies of one text
+differ more from each other than from it), and then only across components.
 
 Links join classes into components by contraction in rounds, each one written to the shared
 folder. Nothing of the corpus goes to the driver but counts.
@@ -25,7 +26,9 @@ a row. A set is compared by 64-bit hashes of its shingles.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from failscope.llm.common import counted, saved, small
 from failscope.llm.shingles import mix, seeds, shingle_sets
 
-BINS = 128
+BINS = 256
+#: Sketch columns, of 64 bins each.
+SKETCH = ["s1", "s2", "s3", "s4"]
 _U = np.uint64
 
 
@@ -45,9 +50,9 @@ def trees_for(threshold: float, depth: int, recall: float) -> int:
 
 
 def most_differing(threshold: float) -> int:
-    """Sketch bits that may differ: mean of a linked pair plus six standard deviations."""
+    """Sketch bits that may differ: mean of a linked pair plus five standard deviations."""
     p = (1 - threshold) / 2
-    return math.ceil(BINS * p + 6 * math.sqrt(BINS * p * (1 - p)))
+    return math.ceil(BINS * p + 5 * math.sqrt(BINS * p * (1 - p)))
 
 
 def _paths(items: np.ndarray, factors: np.ndarray, trees: int, depth: int) -> np.ndarray:
@@ -70,19 +75,18 @@ def mix_rows(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def _sketch(items: np.ndarray) -> np.ndarray:
-    """Two words of one bit for each bin's least member; an empty bin gives 0."""
-    edges = np.arange(BINS, dtype=_U) << _U(57)
+    """Words of one bit for each bin's least member; an empty bin gives 0."""
+    edges = np.arange(BINS, dtype=_U) << _U(64 - (BINS - 1).bit_length())
     first = np.searchsorted(items, edges)
     after = np.append(first[1:], len(items))
     bits = np.zeros(BINS, _U)
     full = first < after
     bits[full] = mix(items[first[full]]) & _U(1)
-    places = np.arange(64, dtype=_U)
-    return np.array([(bits[:64] << places).sum(dtype=_U), (bits[64:] << places).sum(dtype=_U)], _U)
+    return (bits.reshape(-1, 64) << np.arange(64, dtype=_U)).sum(axis=1, dtype=_U)
 
 
 def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, n, h1, h2, s1, s2, paths) of every row; h1 and h2 identify the set."""
+    """(doc_id, n, h1, h2, s1 to s4, paths) of every row; h1 and h2 identify the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = seeds(trees * depth, 3)
@@ -97,19 +101,20 @@ def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame
                     paths.append(_paths(items, factors, trees, depth).ravel())
                     lengths.append(trees * depth)
                 else:
-                    marks.append(np.zeros(4, _U))
+                    marks.append(np.zeros(2 + len(SKETCH), _U))
                     lengths.append(0)
-            four = np.array(marks, _U).reshape(-1, 4).view(np.int64)
+            columns = np.array(marks, _U).reshape(-1, 2 + len(SKETCH)).view(np.int64)
             flat = (np.concatenate(paths) if paths else np.empty(0, _U)).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()),
-                *[pa.array(np.ascontiguousarray(four[:, i])) for i in range(4)],
+                *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(2 + len(SKETCH))],
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "n", "h1", "h2", "s1", "s2", "paths"])
+                names=["doc_id", "n", "h1", "h2", *SKETCH, "paths"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, h1 long, h2 long, s1 long, s2 long, paths array<long>")
+        run, "doc_id long, n long, h1 long, h2 long, "
+             + "".join(f"{c} long, " for c in SKETCH) + "paths array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -131,32 +136,33 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
         run, "doc_id long, h1 long, h2 long, items array<long>").where(F.size("items") > 0)
 
 
+def _differing() -> Column:
+    return reduce(operator.add, [
+        F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH])
+
+
 def _near(most: int, percent: int) -> Column:
     """Sizes and sketches of a and b allow a link."""
-    differ = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(
-        F.col("a.s2").bitwiseXOR(F.col("b.s2")))
-    return (
-        (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (differ <= most))
+    return (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (
+        _differing() <= most)
 
 
 def _as_pairs(joined: DataFrame) -> DataFrame:
-    differ = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(
-        F.col("a.s2").bitwiseXOR(F.col("b.s2")))
     return joined.select(
         F.least("a.cid", "b.cid").alias("x"), F.greatest("a.cid", "b.cid").alias("y"),
-        differ.alias("differ"))
+        _differing().alias("differ"))
 
 
 def _leaf_rows(classes: DataFrame, trees: int, depth: int, leaf: int):
-    """Rows (node, cid, n, s1, s2) of small nodes, and of nodes still large at the end."""
+    """Rows (node, cid, n, sketch) of small nodes, and of nodes still large at the end."""
     leaves, large = [], None
     for level in range(depth):
         steps = [F.struct(
             F.get("paths", F.lit(t * depth + level)).alias("node"),
             F.get("paths", F.lit(t * depth + max(level - 1, 0))).alias("parent"))
             for t in range(trees)]
-        rows = classes.select("cid", "n", "s1", "s2", F.explode(F.array(*steps)).alias("at"))
-        rows = rows.select("at.*", "cid", "n", "s1", "s2")
+        rows = classes.select("cid", "n", *SKETCH, F.explode(F.array(*steps)).alias("at"))
+        rows = rows.select("at.*", "cid", "n", *SKETCH)
         if large is not None:
             rows = rows.join(large.withColumnRenamed("node", "parent"), "parent", "left_semi")
         rows = rows.drop("parent")
@@ -171,10 +177,27 @@ def _leaf_rows(classes: DataFrame, trees: int, depth: int, leaf: int):
     return leaves, saved(rows.join(large, "node", "left_semi"), "large-leaves")
 
 
+def _majority(large: DataFrame) -> DataFrame:
+    """(node, m_s1 to m_s4): each bin's more frequent bit among a node's members."""
+    sums = [F.sum(F.getbit(c, F.lit(i)).cast("int")).alias(f"{c}_{i}")
+            for c in SKETCH for i in range(64)]
+    total = large.groupBy("node").agg(F.count(F.lit(1)).alias("members"), *sums)
+
+    def bits(c: str) -> Column:
+        ones = [F.shiftleft(F.when(F.col(f"{c}_{i}") * 2 > F.col("members"), F.lit(1)).otherwise(
+            F.lit(0)).cast("long"), i) for i in range(64)]
+        return reduce(lambda a, b: a.bitwiseOR(b), ones).alias(f"m_{c}")
+
+    return total.select("node", *[bits(c) for c in SKETCH])
+
+
 def _pivot_pairs(large: DataFrame, most: int, percent: int, pivots: int) -> DataFrame:
-    """Every member of a large node against a few pivots of it."""
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("cid"), "cid"))
-    chosen = large.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank")
+    """Every member of a large node against its pivots."""
+    far = reduce(operator.add, [
+        F.bit_count(F.col(c).bitwiseXOR(F.col(f"m_{c}"))) for c in SKETCH])
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("far", "cid"))
+    chosen = large.join(_majority(large), "node").withColumn("far", far).withColumn(
+        "rank", rank).where(F.col("rank") <= pivots).select(*large.columns)
     return _as_pairs(large.alias("a").join(chosen.alias("b"), "node").where(
         (F.col("a.cid") != F.col("b.cid")) & _near(most, percent)))
 

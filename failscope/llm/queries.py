@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from failscope.llm.common import table
 from failscope.llm.decontaminate import decontaminate
 from failscope.llm.exact_search import exact_top_k
+from failscope.llm.line_dedup import line_report
 from failscope.llm.near_duplicates import near_duplicates
 from failscope.llm.pieces import segmentations
 from failscope.llm.pseudonyms import findings
@@ -63,6 +64,10 @@ r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(table(spark, folder, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
@@ -108,6 +113,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_top_k": op7_exact_top_k,
+    "op8_line_dedup": op8_line_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pseudonyms": op10_pseudonyms,
 }
