@@ -34,6 +34,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """Up to ``rows`` of ``docs``, chosen by a hash of doc_id: ids are picked before texts move."""
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(rows)
+    ids = saved(ids.distinct().withColumnRenamed("doc_id", "sampled_id"), "sample-ids")
+    chosen = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("sampled_id")), "left_semi")
+    return chosen.limit(rows)
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Place of a public tokenizer's file: ``folder``, or the installed package's.
 

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from failscope.llm.common import sampled
+
 #: Frequent words of the languages of the corpus.
 STOP_WORDS = frozenset(
     "the of and to in is that it for as with was on be by are this from or an at "
@@ -246,9 +248,7 @@ def fit(docs: DataFrame, sample_docs: int = 4_000) -> QualityModel:
                 "buckets": pa.array([b for _, b, _ in found], pa.list_(pa.int64())),
                 "weights": pa.array([w for _, _, w in found], pa.list_(pa.float64()))})
 
-    mixed = F.xxhash64("doc_id", F.lit("sample"))
-    sample = docs.select("doc_id", "text").orderBy(mixed, "doc_id").limit(sample_docs)
-    rows = sample.select("text").mapInArrow(
+    rows = sampled(docs.select("doc_id", "text"), sample_docs).select("text").mapInArrow(
         features, "pattern long, buckets array<long>, weights array<double>").collect()
     rows = [r for r in rows if r["pattern"]]  # 0: no votes
     target = labels.posterior(np.array([_votes(r["pattern"]) for r in rows]).reshape(

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from failscope.llm.common import counted, saved, small, tokenizer_path
+from failscope.llm.common import counted, sampled, saved, small, tokenizer_path
 from failscope.session import new_path
 
 CACHED_WORDS = 400_000
@@ -196,9 +196,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     ``sample_docs`` documents, chosen by a hash of the id; everything else covers all rows.
     """
     spark = docs.sparkSession
-    sample = docs.where("text IS NOT NULL").select(
-        "doc_id", F.substring("text", 1, sample_bytes).alias("text")).orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    sample = sampled(docs.select(
+        "doc_id", F.substring("text", 1, sample_bytes).alias("text")), sample_docs)
     plain = _frames(sample, tokenizer, tokenizer_folder, end_id, kind, None)
     dictionary = train_dictionary([r[0][:sample_bytes] for r in plain.select("frame").collect()])
     number = dictionary_hash(dictionary)
