@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from failscope.llm.common import table
 from failscope.llm.decontaminate import decontaminate
 from failscope.llm.exact_search import exact_top_k
+from failscope.llm.licences import document_licences, known_table
 from failscope.llm.line_dedup import line_report
 from failscope.llm.near_duplicates import near_duplicates
 from failscope.llm.pieces import segmentations
@@ -98,6 +99,10 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"))
 
 
+def op3_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return document_licences(table(spark, folder, "documents"), known_table(spark))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"))
 
@@ -109,6 +114,7 @@ def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_token_files": op2_token_files,
+    "op3_licence_scan": op3_licence_scan,
     "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
