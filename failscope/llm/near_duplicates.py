@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=["doc_id", "n", "h1", "h2", *SKETCH, "paths"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n long, h1 long, h2 long, "
              + "".join(f"{c} long, " for c in SKETCH) + "paths array<long>")
 
@@ -300,6 +300,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: i
 
     ``words`` per shingle; a link needs a similarity of at least ``percent`` / 100.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trees = trees_for(percent / 100, depth, recall)
     most = most_differing(percent / 100)
     marks = saved(signatures(docs, words, trees, depth), "signatures")

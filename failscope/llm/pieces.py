@@ -153,16 +153,23 @@ class Pieces:
     def n_best(self, link: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations (score, ids): backward A* over the lattice."""
         score, ending = self.lattice(link)
-        queue: list[tuple] = [(0.0, len(link), ())]
+        # a suffix is (ids of its first piece, the rest of it), so long links cost no copies
+        queue: list[tuple] = [(0.0, len(link), 0, None)]
         found: list[tuple[float, tuple[int, ...]]] = []
+        pushed = 0
         while queue and len(found) < n:
-            lost, at, ids = heapq.heappop(queue)
+            lost, at, _, suffix = heapq.heappop(queue)
             if at == 0:
-                found.append((score[-1] - lost, ids))
+                ids: list[int] = []
+                while suffix is not None:
+                    ids += suffix[0]
+                    suffix = suffix[1]
+                found.append((score[-1] - lost, tuple(ids)))
                 continue
             for begin, gain, piece in ending[at]:
                 loss = score[at] - (score[begin] + gain)
-                heapq.heappush(queue, (lost + loss, begin, piece + ids))
+                pushed += 1
+                heapq.heappush(queue, (lost + loss, begin, pushed, (piece, suffix)))
         return found
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> str:
@@ -298,7 +305,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | No
                           for s, p in found]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([doc.as_py()], pa.int64()), pa.array([ids], pa.list_(pa.int32())),
-                    pa.array([score]), pa.array([listed], best)],
+                    pa.array([float(score)]), pa.array([listed], best)],
                     names=["doc_id", "ids", "score", "n_best"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
