@@ -16,7 +16,7 @@ HEADLINE = [
     "prediction_stats", "failure_trend", "pipeline_heatmap", "confidence_box", "dataset_profile",
     "recent_predictions", "failure_prediction_join", "confusion_matrix", "evaluation_summary",
     "class_weights", "stratified_split", "text_normalise", "tfidf_vocabulary", "tfidf_matrix",
-    "tfidf_vocabulary_documents", "tfidf_matrix_documents", "error_pool", "log_context",
+    "tfidf_vocabulary_documents", "tfidf_matrix_documents", "error_pool",
     "top_contributions", "evidence", "closure", "depth", "betweenness", "pagerank", "components",
     "cascade_risk", "stream_lag", "stream_trend", "train_score", "attributions",
     "explained_predictions",

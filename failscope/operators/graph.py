@@ -102,29 +102,35 @@ def reach_counts(pairs: DataFrame) -> DataFrame:
         F.sum("d").alias("downstream_count"), F.sum("u").alias("upstream_count"))
 
 
-def depths(edges: DataFrame) -> DataFrame:
+def depths(edges: DataFrame, detached: int | None = None) -> DataFrame:
     """Longest path from any root, by peeling nodes whose upstreams are all peeled.
 
-    A node's round is its depth. A cycle can never be peeled: it raises ValueError.
+    A node's round is its depth. Every round joins only the newest layer with its outgoing
+    edges and subtracts what arrives from the open in-degrees, in one job; peeled nodes leave
+    the table. A cycle can never be peeled: it raises ValueError, unless no root reaches it
+    and ``detached`` names the depth of such nodes.
     """
     edges = materialize(edges.select("upstream", "downstream").distinct(), "edges")
-    degree = materialize(degrees(edges).select("node", "in_degree"), "degree")
-    total = degree.count()
     rounds = Parts(edges.sparkSession, "rounds")
-    rounds.add(degree.where("in_degree = 0").select("node", F.lit(0).alias("depth")))
-    done = rounds.seen["rows"]
-    while done < total:
-        got = (
-            edges.join(rounds.all(), F.col("upstream") == F.col("node"))
-            .groupBy(F.col("downstream").alias("node"))
-            .agg(F.count("*").alias("got"), F.max("depth").alias("last"))
-            .where(F.col("last") == len(rounds.paths) - 1))
-        rounds.add(got.join(degree, "node").where("got = in_degree").select(
-            "node", (F.col("last") + 1).alias("depth")))
-        if rounds.seen["rows"] == 0:
-            raise ValueError("the graph has a cycle: depth is not defined")
-        done += rounds.seen["rows"]
-    return rounds.all()
+    is_open = F.col("open") > 0
+    counts = {"peeled": F.count(F.when(~is_open, 1)), "left": F.count(F.when(is_open, 1))}
+    now = rounds.add(degrees(edges).select(
+        "node", "in_degree", F.col("in_degree").cast("bigint").alias("open"),
+        F.lit(0).alias("depth")), **counts)
+    while rounds.seen["left"] and rounds.seen["peeled"]:
+        arrived = edges.join(
+            now.where(~is_open).select(F.col("node").alias("upstream")), "upstream"
+        ).groupBy(F.col("downstream").alias("node")).agg(F.count(F.lit(1)).alias("arrived"))
+        now = rounds.add(now.where(is_open).join(arrived, "node", "left").select(
+            "node", "in_degree", (F.col("open") - F.coalesce("arrived", F.lit(0))).alias("open"),
+            F.lit(len(rounds.paths)).alias("depth")), **counts)
+    peeled = rounds.all().where(~is_open).select("node", "depth")
+    if not rounds.seen["left"]:
+        return peeled
+    stuck = now.where(is_open)
+    if detached is None or not stuck.where("open < in_degree").isEmpty():
+        raise ValueError("the graph has a cycle: depth is not defined")
+    return peeled.union(stuck.select("node", F.lit(detached)))
 
 
 def betweenness(edges: DataFrame, levels: Parts) -> DataFrame:
@@ -318,8 +324,11 @@ def node_groups(edges: DataFrame, failed: str, compare: str | None = None) -> Da
 
 
 def layout(edges: DataFrame) -> DataFrame:
-    """Layered positions: y by depth from the roots, x by name order inside a layer."""
-    placed = materialize(depths(edges), "depths")
+    """Layered positions: y by depth from the roots, x by name order inside a layer.
+
+    Nodes that no root reaches are on layer 0.
+    """
+    placed = materialize(depths(edges, detached=0), "depths")
     sizes = placed.groupBy("depth").agg(F.count("*").alias("n"))
     sizes = materialize(sizes.withColumn(
         "deepest", F.max("depth").over(Window.partitionBy(F.lit(1)))), "layers")

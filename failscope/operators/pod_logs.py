@@ -1,11 +1,10 @@
-"""Scenario pod logs: faulty pods, error lines, error pool, composed log context."""
+"""Scenario pod logs: faulty pods, error lines, error pool."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from failscope import constants as K
 from failscope.functions.text import is_error_line, stripped
 from failscope.session import materialize
 
@@ -79,43 +78,3 @@ def error_pool(lines: DataFrame, scenarios: DataFrame) -> DataFrame:
     return (
         marked.join(best, "date_key").join(needed, POD, "left").where(chosen)
         .select(*POD, "line_id", "content", "source"))
-
-
-def _pick(seed: Column, n: int) -> Column:
-    """Repeatable number 0..n-1 from a text."""
-    return (F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("bigint") % n).cast("int")
-
-
-def _header(cause: Column, seed: Column, pod: Column) -> Column:
-    text = F.lit(K.LOG_HEADER_OTHER)
-    for name, templates in K.LOG_HEADERS.items():
-        listed = F.array(*[F.lit(t) for t in templates])
-        text = F.when(
-            cause == name, F.get(listed, _pick(seed, len(templates)))).otherwise(text)
-    tenths = F.lit(20) + _pick(F.concat(seed, F.lit("m")), 141)  # 2.0 to 16.0 GiB
-    memory = F.concat_ws(".", F.floor(tenths / 10).cast("string"), (tenths % 10).cast("string"))
-    return F.replace(F.replace(text, F.lit("{pod}"), pod), F.lit("{mem}"), memory)
-
-
-def log_context(lines: DataFrame, scenarios: DataFrame, limit: int = 500) -> DataFrame:
-    """One composed error log per scenario: header, then up to three pool lines."""
-    pool = error_pool(lines, scenarios)
-    rank = F.row_number().over(Window.partitionBy("date_key").orderBy("pod_name", "line_id"))
-    body = (
-        pool.withColumn("rank", rank).where(F.col("rank") <= 3)
-        .groupBy("date_key").agg(F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct(
-                "rank", F.substring("content", 1, 150).alias("text")))),
-            lambda line: line["text"]), " | ").alias("body")))
-    labels = with_faulty_flag(
-        first_lines(lines, 1).select(*POD), scenarios).groupBy("date_key").agg(
-        F.min(F.when(F.col("is_faulty_pod"), F.col("pod_name"))).alias("faulty_pod"))
-    rows = scenarios.join(labels, "date_key", "left").join(body, "date_key", "left")
-    pod = F.coalesce("faulty_pod", "faulty_pod_pattern")
-    header = _header(F.col("root_cause"), F.col("date_key"), pod)
-    full = F.when(F.col("body").isNull(), header).otherwise(
-        F.concat(header, F.lit(" Context: "), F.col("body")))
-    cut = F.when(F.length("full") > limit, F.concat(
-        F.substring("full", 1, limit - 3), F.lit("..."))).otherwise(F.col("full"))
-    return rows.withColumn("full", full).select(
-        "date_key", "root_cause", pod.alias("faulty_pod"), cut.alias("error_log"))

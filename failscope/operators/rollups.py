@@ -11,6 +11,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from failscope.session import materialize
+
 from failscope import constants as K
 from failscope.functions.numbers import percent_text
 from failscope.functions.times import moment
@@ -89,58 +91,64 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("count"))
 
 
-def int_percentiles(df: DataFrame, column: str, probs: list[float]) -> DataFrame:
-    """Exact interpolated percentiles of an integer column: (prob, value).
+def _counted_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, v, n, seen): uses of each value, and of all values up to it in its column.
 
-    Values are counted, then ranked in two digits of 16 bits: the upper digit picks
-    the slices that hold the wanted ranks, the lower digit finds the values inside.
-    Each ranking sees at most 65,536 rows, whatever the size of the table.
+    All columns are turned into pairs in one scan and counted before the shuffle. The counted
+    values are range-sorted, so a column spans many partitions; what lies before a partition
+    is one small row per column and partition.
     """
-    counted = (
-        df.select(F.col(column).cast("int").alias("v")).where("v IS NOT NULL")
-        .groupBy("v").agg(F.count("*").alias("n"))
-        .withColumn("upper", F.shiftright("v", 16)))
-    slices = counted.groupBy("upper").agg(F.sum("n").alias("n"))
-    upto = Window.orderBy("upper")
-    place = F.struct(
-        F.col("p"), (F.col("p") * (F.col("total") - 1)).alias("at"))
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    slices = (
-        slices.select(
-            "upper", "n", (F.sum("n").over(upto) - F.col("n")).alias("before"),
-            F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-        .select("upper", "n", "before", "total", F.explode(wanted).alias("p"))
-        .select("upper", "n", "before", place.alias("t"))
-        .select("upper", "n", "before", "t.p", "t.at",
-                F.explode(F.array(F.floor("t.at"), F.ceil("t.at"))).alias("rank"))
-        .distinct()
-        .where("rank >= before AND rank < before + n"))
-    inside = Window.partitionBy("p", "rank").orderBy("v")
-    found = (
-        counted.join(slices.select("upper", "before", "p", "at", "rank"), "upper")
-        .withColumn("seen", F.col("before") + F.sum("n").over(inside))
-        .where("rank >= seen - n AND rank < seen"))
-    return found.groupBy("p").agg(
-        (F.min("v") + (F.max("v") - F.min("v")) * (F.first("at") - F.min("rank"))).alias("value")
-    ).select(F.col("p").alias("prob"), F.col("value").cast("double").alias("value"))
+    kinds = dict(df.dtypes)
+    for c in columns:
+        if kinds[c] not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+            raise TypeError(f"{c} is {kinds[c]}: percentiles need whole numbers or doubles")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                      for c in columns])
+    counts = df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("column", "v").agg(
+        F.count(F.lit(1)).alias("n"))
+    ordered = materialize(counts.orderBy("column", "v").withColumn(
+        "part", F.shiftright(F.monotonically_increasing_id(), 33)), "values")
+    parts = ordered.groupBy("column", "part").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("column").orderBy("part")
+    parts = materialize(parts.select(
+        "column", "part", (F.sum("n").over(upto) - F.col("n")).alias("before")), "value-parts")
+    inside = Window.partitionBy("column", "part").orderBy("v")
+    return ordered.join(parts, ["column", "part"]).select(
+        "column", "v", "n", (F.col("before") + F.sum("n").over(inside)).alias("seen"))
+
+
+def _quantiles(values: DataFrame, probs: list[float]) -> DataFrame:
+    """(column, prob, value) from counted values: exact, interpolated between neighbours."""
+    totals = values.groupBy("column").agg(F.sum("n").alias("total"))
+    wanted = totals.select("column", "total", F.explode(F.array(*[
+        F.lit(float(p)) for p in probs])).alias("prob"))
+    wanted = wanted.withColumn("at", F.col("prob") * (F.col("total") - 1)).select(
+        "column", "prob", "at", F.explode(F.array_distinct(F.array(
+            F.floor("at"), F.ceil("at")))).alias("rank"))
+    found = values.join(wanted, "column").where("rank >= seen - n AND rank < seen")
+    return found.groupBy("column", "prob").agg((
+        F.min("v") + (F.max("v") - F.min("v")) * (F.first("at") - F.min("rank"))).alias("value"))
+
+
+def percentiles(df: DataFrame, column: str, probs: list[float]) -> DataFrame:
+    """Exact interpolated percentiles of a column of whole numbers or doubles: (prob, value)."""
+    return _quantiles(_counted_values(df, [column]), probs).select("prob", "value")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, range and quartiles of integer columns, one row each."""
-    out = None
-    for c in columns:
-        basic = df.agg(
-            F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("low"),
-            F.max(c).cast("double").alias("high"))
-        at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
-        quartiles = int_percentiles(df, c, [0.25, 0.5, 0.75]).agg(
-            F.lit(c).alias("column"), at(0.25).alias("q1"), at(0.5).alias("median"),
-            at(0.75).alias("q3"))
-        rows = basic.unionByName(quartiles, allowMissingColumns=True)
-        out = rows if out is None else out.unionByName(rows)
-    names = ["n", "mean", "std", "low", "high", "q1", "median", "q3"]
-    return out.groupBy("column").agg(*[F.max(n).alias(n) for n in names])
+    """Count, mean, deviation, range and quartiles of numeric columns, one row each."""
+    values = materialize(_counted_values(df, columns), "counted-values")
+    n, v = F.col("n"), F.col("v")
+    means = values.groupBy("column").agg((F.sum(v * n) / F.sum("n")).alias("mean"))
+    basic = values.join(means, "column").groupBy("column", "mean").agg(
+        F.sum("n").alias("n"), F.sum(n * (v - F.col("mean")) ** 2).alias("squares"),
+        F.min("v").alias("low"), F.max("v").alias("high"))
+    at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
+    quartiles = _quantiles(values, [0.25, 0.5, 0.75]).groupBy("column").agg(
+        at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+    deviation = F.sqrt(F.col("squares") / F.nullif(F.col("n") - 1, F.lit(0)))
+    return basic.join(quartiles, "column").select(
+        "column", "n", "mean", deviation.alias("std"), "low", "high", "q1", "median", "q3")
 
 
 def flag_rates(df: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +16,6 @@ from failscope.functions.text import with_grams
 from failscope.session import materialize
 
 VOCABULARY = "term string, df bigint, tf bigint, idf double, idx int"
-# Above this many terms the weights come from a join instead of one expression per term.
-MAX_INLINE_TERMS = 1000
 
 
 def term_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -64,39 +65,34 @@ class Vocabulary:
 
     @cached_property
     def terms(self) -> list[tuple[str, float]]:
-        """Terms with their weights, in column order; only for inline sizes."""
-        if self.size > MAX_INLINE_TERMS:
-            raise ValueError(f"{self.size} terms: use long_weights")
+        """Terms with their weights, in column order (at most ``max_features``)."""
         return [(r["term"], r["idf"]) for r in self.table.orderBy("idx").collect()]
 
     @property
     def names(self) -> list[str]:
         return [f"tfidf_{term}" for term, _ in self.terms]
 
-    def add_weights(self, docs: DataFrame, text: str, out: str = "tfidf") -> DataFrame:
-        """Add an array of L2-normalised weights in column order, without a shuffle.
+    def vectors(self, docs: DataFrame, text: str, out: str) -> DataFrame:
+        """Add a sparse vector of L2-normalised weights, without a shuffle.
 
-        A document is reduced to its vocabulary terms first, then to one entry per
-        distinct term, then spread over the columns. All-zero stays all-zero.
+        Linear in a document's terms, whatever the vocabulary's size.
         """
-        terms = self.terms
-        if not terms:
+        counts = CountVectorizerModel.from_vocabulary(
+            [t for t, _ in self.terms], inputCol="_grams", outputCol="_counts")
+        idf = ElementwiseProduct(
+            scalingVec=Vectors.dense([w for _, w in self.terms]), inputCol="_counts",
+            outputCol="_weights")
+        unit = Normalizer(p=2.0, inputCol="_weights", outputCol=out)
+        rows = with_grams(docs, text, "_grams").withColumn(
+            "_grams", F.coalesce("_grams", F.array().cast("array<string>")))
+        return unit.transform(idf.transform(counts.transform(rows))).drop(
+            "_grams", "_counts", "_weights")
+
+    def add_weights(self, docs: DataFrame, text: str, out: str = "tfidf") -> DataFrame:
+        """Add an array of L2-normalised weights in column order; all-zero stays all-zero."""
+        if not self.terms:
             return docs.withColumn(out, F.array().cast("array<double>"))
-        kept = F.filter("_grams", lambda g: g.isin([t for t, _ in terms]))
-        idf = F.create_map(*[F.lit(x) for pair in terms for x in pair])
-        count = lambda t: F.size("_kept") - F.size(F.array_remove("_kept", t))
-        raw = F.map_from_entries(F.transform(F.array_distinct("_kept"), lambda t: F.struct(
-            t, count(t).cast("double") * F.element_at(idf, t))))
-        norm = F.sqrt(F.aggregate(
-            F.map_values("_raw"), F.lit(0.0), lambda total, x: total + x * x))
-        dense = F.array(*[
-            F.coalesce(F.try_element_at("_raw", F.lit(t)) / F.col("_norm"), F.lit(0.0))
-            for t, _ in terms])
-        return (
-            with_grams(docs, text, "_grams").withColumn("_kept", kept).drop("_grams")
-            .withColumn("_raw", raw)
-            .withColumn("_norm", F.nullif(norm, F.lit(0.0))).withColumn(out, dense)
-            .drop("_kept", "_raw", "_norm"))
+        return self.vectors(docs, text, "_unit").withColumn(out, vector_to_array("_unit")).drop("_unit")
 
     def columns(self, weights: str = "tfidf") -> list[Column]:
         """One ``tfidf_<term>`` column per term, from the array of ``add_weights``."""
@@ -104,19 +100,15 @@ class Vocabulary:
 
     def long_weights(self, docs: DataFrame, id: str, text: str) -> DataFrame:
         """Non-zero weights as rows (id, term, weight)."""
-        if self.size <= MAX_INLINE_TERMS:
-            names = F.array(*[F.lit(t) for t, _ in self.terms]).cast("array<string>")
-            rows = self.add_weights(docs.select(id, text), text).select(
-                id, F.arrays_zip(names.alias("term"), F.col("tfidf").alias("weight")).alias("w"))
-            return rows.select(id, F.inline_outer("w")).toDF(id, "term", "weight").where(
-                "weight <> 0")
-        used = with_grams(docs.select(id, text), text, "g").select(
-            id, F.explode_outer("g").alias("term"))
-        raw = used.groupBy(id, "term").agg(F.count("*").alias("n")).join(
-            self.table.select("term", "idf"), "term")
-        raw = raw.withColumn("weight", F.col("n") * F.col("idf"))
-        norm = raw.groupBy(id).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-        return raw.join(norm, id).select(id, "term", (F.col("weight") / F.col("norm")).alias("weight"))
+        if not self.terms:
+            return docs.select(id, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+        parts = F.unwrap_udt("_unit")
+        rows = self.vectors(docs.select(id, text), text, "_unit").select(
+            id, F.inline(F.arrays_zip(
+                parts["indices"].alias("idx"), parts["values"].alias("weight"))))
+        names = self.table.select("idx", "term")
+        return rows.toDF(id, "idx", "weight").where("weight <> 0").join(names, "idx").select(
+            id, "term", "weight")
 
     def save(self, path: str) -> None:
         self.table.coalesce(1).write.mode("overwrite").parquet(path)

@@ -11,22 +11,63 @@ from pyspark.sql import functions as F
 
 from failscope.session import spread
 
-PIPELINES = (
-    "analytics_pipeline,autoscale_pipeline,billing_pipeline,clickstream_pipeline,"
-    "cloud_infra_pipeline,cluster_ops_pipeline,container_orchestration_pipeline,"
-    "cost_tracking_pipeline,customer_360_pipeline,data_quality_pipeline,deployment_pipeline,"
-    "error_tracking_pipeline,fraud_detection_pipeline,inventory_sync,k8s_monitoring_pipeline,"
-    "latency_monitoring_pipeline,load_balancer_pipeline,marketing_pipeline,"
-    "microservice_health_pipeline,ml_training_pipeline,network_monitor_pipeline,"
-    "notification_pipeline,order_etl_pipeline,payment_pipeline,recommendation_pipeline,"
-    "resource_mgmt_pipeline,search_index_pipeline,security_scan_pipeline,"
-    "service_mesh_pipeline,user_etl_pipeline"
-)
-TASKS = (
-    "check_pod_health,analyze_metrics,process_logs,validate_deployment,monitor_latency,"
-    "aggregate_kpi,detect_anomaly,evaluate_sli,scan_containers,audit_resources,"
-    "check_endpoints,sync_config,run_diagnostics,collect_traces,parse_events"
-)
+PIPELINES = [
+    "atlas_tiles", "barge_manifest", "beacon_reads", "cellar_stock", "cinema_listing",
+    "coral_survey", "dairy_yield", "dock_schedule", "ferry_tickets", "forest_census",
+    "glacier_melt", "harbour_tides", "hive_counts", "kiln_firing", "lagoon_sonar",
+    "lantern_sales", "library_loans", "market_stalls", "meadow_pollen", "mill_output",
+    "museum_entry", "orchard_picking", "parcel_rounds", "quarry_loads", "quay_cranes",
+    "reef_imaging", "river_gauges", "saddle_orders", "timber_grading", "tram_delays",
+]
+TASKS = [
+    "weigh", "sort", "grade", "count_in", "count_out", "measure", "stamp", "unpack", "label",
+    "compare", "tally", "inspect", "dispatch", "archive", "settle",
+]
+#: Log texts by kind; {pod}, {n} and {q} (a quote) are filled in for each event.
+LOGS = {
+    "resource": [
+        "MemoryError: no room for {n}.25 GiB, the OOM killer ended the worker",
+        "ResourceError: cgroup limit of {pod} reached, CPU throttled for {n} s",
+        "Killed: {pod} went over its memory limit of {n}Mi and was evicted",
+        "DiskFullError: volume of {pod} at 100% capacity, could not write /scratch/{n}.csv",
+    ],
+    "api": [
+        "HTTPError: 503 Service Unavailable from {pod} after {n} tries",
+        "ConnectionError: max retries exceeded for {pod}:9200",
+        "TimeoutError: call to {pod} timed out after {n}s",
+        "HTTPError: 429 Too Many Requests, {pod} asks to wait, rate limit exceeded",
+    ],
+    "dependency": [
+        "DependencyError: upstream {pod} not responding, network delay of {n} ms",
+        "ConnectionTimeout: packet loss towards {pod}, service unreachable",
+        "UpstreamFailure: {pod} ended with status=FAILED, nothing to read",
+        "DependencyError: sensor gave up on {pod}, timed out after {n} seconds",
+    ],
+    "schema": [
+        "KeyError: column {q}berth{q} not found, expected schema does not match",
+        "SchemaValidationError: expected {n} columns but received 7, missing: [berth, tide]",
+        "ValidationError: field mapping of {pod} changed",
+        "SchemaError: column dtype mismatch on {pod}, int64 read as text",
+    ],
+    "quality": [
+        "DataQualityError: {n}% of rows failed null checks on {q}weight_kg{q}",
+        "ValueError: {n} rows hold a negative {q}weight_kg{q}",
+        "DataQualityError: {n} duplicate keys in berths",
+        "DataQualityError: stale partition, invalid format in range check",
+    ],
+    "missing": [
+        "FileNotFoundError: s3://quay/{pod}/{n}.parquet does not exist",
+        "EmptyDataError: 0 rows, partition not ready",
+        "FileNotFoundError: /var/quay/{pod}.csv missing",
+        "SourceUnavailable: 0 bytes read, no partition found",
+    ],
+}
+
+
+def _pick(texts: list[str], separator: str, number: str) -> str:
+    """SQL: the text of a 1-based number."""
+    return f"split_part('{separator.join(texts)}', '{separator}', {number})"
+
 
 FAILURE_EVENTS = f"""
 WITH b AS (
@@ -35,20 +76,20 @@ WITH b AS (
          CAST(event_id % 4 + 1 AS INT) AS t
   FROM events)
 SELECT event_id,
-  split_part('{PIPELINES}', ',', CAST(user_id % 30 + 1 AS INT)) AS pipeline_name,
-  split_part('{TASKS}', ',', CAST(event_id % 15 + 1 AS INT)) AS task_name,
+  {_pick(PIPELINES, ',', f'CAST(user_id % {len(PIPELINES)} + 1 AS INT)')} AS pipeline_name,
+  {_pick(TASKS, ',', f'CAST(event_id % {len(TASKS)} + 1 AS INT)')} AS task_name,
   CAST(floor(value * 20) AS INT) AS runtime,
   CAST(event_id % 11 AS INT) AS retry_count,
   CASE WHEN k < 30 THEN 0 ELSE k * 1000 END AS rows_processed,
   (event_type = 'signup' OR k % 17 = 0) AS schema_change,
   (event_type = 'view' OR k % 13 = 0) AS upstream_failed,
   replace(replace(replace(CASE
-    WHEN event_type = 'error' THEN split_part('MemoryError: unable to allocate {{n}}.5 GiB. Worker OOM killed by kernel.|ResourceError: CPU throttled. Container exceeds cgroup limit on pod {{pod}}.|KilledWorker: task exceeded memory limit and was killed by orchestrator on {{pod}}.|DiskFullError: /tmp/part-{{n}}.csv is at 100% capacity on pod {{pod}}. Cannot write results.', '|', t)
-    WHEN event_type = 'click' THEN split_part('HTTPError: 503 Service Unavailable from pod {{pod}}.|ConnectionError: max retries exceeded connecting to {{pod}}:8080.|TimeoutError: API call to {{pod}} timed out after {{n}}s. DDoS suspected.|HTTPError: 429 Too Many Requests from {{pod}}. Rate limit exceeded.', '|', t)
-    WHEN event_type = 'view' THEN split_part('DependencyError: upstream service {{pod}} not responding. Network delay detected.|ConnectionTimeout: packet loss to {{pod}}. Service unreachable.|UpstreamFailure: dependency {{pod}} has status=FAILED. Cannot proceed.|DependencyError: sensor timed out after 600 seconds waiting for DAG {{pod}}', '|', t)
-    WHEN event_type = 'signup' THEN split_part('KeyError: column {{q}}age{{q}} not found in dataframe. Expected schema does not match.|SchemaValidationError: expected 12 columns but received 11. Missing: [discount_applied].|ValidationError: field mapping changed after config update on {{pod}}.|SchemaError: column dtype mismatch in migration on {{pod}}', '|', t)
-    WHEN k % 2 = 0 THEN split_part('DataQualityError: {{n}}% of records failed null checks on field {{q}}transaction_amount{{q}}.|ValueError: {{n}} rows have negative {{q}}order_amount{{q}}|DataQualityError: {{n}} duplicate keys in users|DataQualityError: stale partition, freshness range invalid format', '|', t)
-    ELSE split_part('FileNotFoundError: s3://data-lake/{{pod}}/part-{{n}}.parquet does not exist|EmptyDataError: 0 rows, partition not ready|FileNotFoundError: /var/data/{{pod}}/events.csv missing|SourceUnavailable: 0 bytes read, no partition found', '|', t)
+    WHEN event_type = 'error' THEN {_pick(LOGS['resource'], '|', 't')}
+    WHEN event_type = 'click' THEN {_pick(LOGS['api'], '|', 't')}
+    WHEN event_type = 'view' THEN {_pick(LOGS['dependency'], '|', 't')}
+    WHEN event_type = 'signup' THEN {_pick(LOGS['schema'], '|', 't')}
+    WHEN k % 2 = 0 THEN {_pick(LOGS['quality'], '|', 't')}
+    ELSE {_pick(LOGS['missing'], '|', 't')}
   END, '{{pod}}', concat('pod-', CAST(user_id AS VARCHAR(20)))), '{{n}}', CAST(k AS VARCHAR(20))), '{{q}}', chr(39)) AS error_log,
   CASE WHEN event_type = 'error' THEN 'Resource Exhaustion' WHEN event_type = 'click' THEN 'API Failure'
        WHEN event_type = 'view' THEN 'Dependency Failure' WHEN event_type = 'signup' THEN 'Schema Change'
@@ -100,7 +141,7 @@ FROM failure_events
 
 POD_LOGS = """
 SELECT split_part('20231207,20231221,20240115,20240124,20240207,20240215', ',', CAST(event_id % 6 + 1 AS INT)) AS date_key,
-  split_part('productpage-v1-a,ratings-v1-b,Malware-bot-c,web-ap-d,details-v1-e,reviews-v1-f,ip-10-1-100-109,mongodb-v1-h', ',', CAST(floor(event_id / 6) % 8 + 1 AS INT)) AS pod_name,
+  split_part('productpage-x,ratings-y,Malware-z,web-ap-q,details-x,reviews-y,ip-10-1-100-109,ledger-x', ',', CAST(floor(event_id / 6) % 8 + 1 AS INT)) AS pod_name,
   event_id AS line_id,
   CASE WHEN event_id % 5 = 0 THEN '   ' WHEN event_id % 3 = 0 THEN error_log ELSE concat('INFO request processed rows=', CAST(rows_processed AS VARCHAR(20))) END AS content
 FROM failure_events

@@ -114,14 +114,19 @@ SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 4) AS mean,
   CAST(max({c}) AS DOUBLE) AS high,
   round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS q1,
   round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median,
-  round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS q3 FROM failure_events"""
+  round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS q3 FROM measured"""
 
 
-@query("dataset_profile", with_tables(
-    "failure_events",
-    select=_describe_sql("runtime") + " UNION ALL " + _describe_sql("rows_processed")))
+@query("dataset_profile", with_tables("failure_events", """
+measured AS (SELECT runtime, rows_processed, CAST(rows_processed AS DOUBLE) / (runtime + 1) AS pace,
+  CAST(runtime AS BIGINT) * 3000000000 AS nanos FROM failure_events)""",
+    select=" UNION ALL ".join(map(_describe_sql, ("runtime", "rows_processed", "pace", "nanos")))))
 def q_describe(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(R.describe(failure_events(spark, folder), ["runtime", "rows_processed"]), 4)
+    events = failure_events(spark, folder).select(
+        "runtime", "rows_processed",
+        (F.col("rows_processed").cast("double") / (F.col("runtime") + 1)).alias("pace"),
+        (F.col("runtime").cast("bigint") * 3_000_000_000).alias("nanos"))
+    return _rounded(R.describe(events, events.columns), 4)
 
 
 @query("flag_rates", with_tables("failure_events", select="""

@@ -12,7 +12,7 @@ from failscope.plans.registry import query
 from failscope.sources.files import scenarios
 
 SCENARIOS = "scen AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({O.text(s[0])}, {O.text(s[2])}, {O.text(s[3])})" for s in K.SCENARIOS
+    f"({O.text(s[0])}, {O.text(s[1])}, {O.text(s[2])})" for s in K.SCENARIOS
 ) + ") v(date_key, root_cause, pattern))"
 FIRST = f"""first AS (
 SELECT date_key, pod_name, line_id, content, line_rank FROM (
@@ -61,32 +61,3 @@ def q_first_errors(spark: SparkSession, folder: str) -> DataFrame:
 SELECT date_key, pod_name, line_id, content, source FROM pool"""))
 def q_pool(spark: SparkSession, folder: str) -> DataFrame:
     return P.error_pool(pod_logs(spark, folder), scenarios(spark))
-
-
-def _pick(seed: str, n: int) -> str:
-    return f"CAST(concat('0x', substr(md5({seed}), 1, 8)) AS BIGINT) % {n}"
-
-
-_HEADER = "CASE " + " ".join(
-    f"WHEN root_cause = {O.text(c)} THEN ([{', '.join(O.text(t) for t in ts)}])"
-    f"[{_pick('date_key', len(ts))} + 1]" for c, ts in K.LOG_HEADERS.items()
-) + f" ELSE {O.text(K.LOG_HEADER_OTHER)} END"
-_MEM = f"(20 + {_pick(chr(39).join(['concat(date_key, ', 'm', ')']), 141)})"
-
-
-@query("log_context", with_tables("pod_logs", SCENARIOS, FIRST, ERRORS, POOL, f"""
-body AS (SELECT date_key, string_agg(substr(content, 1, 150), ' | ' ORDER BY r) AS body FROM (
-  SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY pod_name, line_id) AS r FROM pool) s
-  WHERE r <= 3 GROUP BY date_key),
-labels AS (SELECT date_key, min(pod_name) FILTER (is_faulty_pod) AS faulty FROM flagged GROUP BY date_key),
-whole AS (SELECT s.date_key, s.root_cause, coalesce(faulty, pattern) AS faulty_pod,
-  concat(replace(replace({_HEADER.replace('root_cause', 's.root_cause').replace('date_key', 's.date_key')},
-    '{{pod}}', coalesce(faulty, pattern)), '{{mem}}',
-    concat({_MEM.replace('date_key', 's.date_key')} // 10, '.', {_MEM.replace('date_key', 's.date_key')} % 10)),
-    CASE WHEN body IS NULL THEN '' ELSE concat(' Context: ', body) END) AS t
-FROM scen s LEFT JOIN labels l ON l.date_key = s.date_key LEFT JOIN body b ON b.date_key = s.date_key)""",
-    select="""
-SELECT date_key, root_cause, faulty_pod,
-  CASE WHEN length(t) > 500 THEN concat(substr(t, 1, 497), '...') ELSE t END AS error_log FROM whole"""))
-def q_context(spark: SparkSession, folder: str) -> DataFrame:
-    return P.log_context(pod_logs(spark, folder), scenarios(spark))

@@ -29,9 +29,7 @@ POD_LINE = _struct(
     "LineId:int Time:string Content:string EventId:string EventTemplate:string "
     "ParameterList:string")
 
-SCENARIO = _struct(
-    "date_key:string fault_description:string root_cause:string faulty_pod_pattern:string "
-    "microservice:string schema_change:bool upstream_failed:bool")
+SCENARIO = _struct("date_key:string root_cause:string faulty_pod_pattern:string")
 
 FAILURE = T.StructType(
     [T.StructField("id", T.StringType())] + REQUEST.fields[:-1]

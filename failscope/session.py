@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +18,34 @@ def prepare(spark: SparkSession) -> SparkSession:
     projections run faster split by operator. Lower-casing goes through the JDK, which
     has a fast path for ASCII.
     """
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.icu.caseMappings.enabled", "false")
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in workers are pickled by name, and a worker may start in any folder
+    and on any machine. Where the package is installed on all of them this does no harm.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="package-")) / "failscope.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
 _LOCAL_FOLDER: dict[str, str] = {}
 
 
@@ -34,13 +58,13 @@ def work_folder(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if folder:
-        return folder.rstrip("/") + "/failscope"
+        return folder.rstrip("/") + "/failscope-work"
     master = conf.get("spark.master", "")
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDER:
-        _LOCAL_FOLDER[app] = tempfile.mkdtemp(prefix="failscope-")
+        _LOCAL_FOLDER[app] = tempfile.mkdtemp(prefix="failscope-work-")
     return _LOCAL_FOLDER[app]
 
 

@@ -111,3 +111,13 @@ def test_duplicate_edges_overwrite(spark):
         [("A", "B", "data"), ("A", "B", "sensor")],
         "upstream string, downstream string, dependency_type string")
     assert G.build_graph(edges).count() == 1
+
+
+def test_depth_of_detached_cycles(spark):
+    df = spark.createDataFrame([("a", "b"), ("c", "d"), ("d", "c")], "upstream string, downstream string")
+    with pytest.raises(ValueError):
+        G.depths(df).count()
+    assert {(r.node, r.depth) for r in G.layout(df).collect()} == {("a", 0), ("b", 1), ("c", 0), ("d", 0)}
+    reached = spark.createDataFrame([("a", "c"), ("c", "d"), ("d", "c")], df.schema)
+    with pytest.raises(ValueError):
+        G.layout(reached).count()

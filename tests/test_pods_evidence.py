@@ -58,16 +58,6 @@ def test_pool_falls_back_to_first_lines_until_thirty(spark):
     assert len(got) == 34
 
 
-def test_context(spark):
-    rows = [(DAY, "productpage-a", i, f"ERROR {i} " + "y" * 300) for i in range(5)]
-    got = {r["date_key"]: r for r in P.log_context(_lines(spark, rows), scenarios(spark)).collect()}
-    one = got[DAY]
-    assert one["faulty_pod"] == "productpage-a" and " Context: ERROR 0 y" in one["error_log"]
-    assert len(one["error_log"]) == 500 and one["error_log"].endswith("...")
-    assert one["error_log"].count(" | ") == 2
-    assert "Context" not in got["20240215"]["error_log"]
-
-
 def _contributions(spark, rows):
     return spark.createDataFrame(
         rows, "failure_id int, feature string, shap_value double, feature_value double")

@@ -27,13 +27,13 @@ def test_number_texts_equal_python(spark):
         assert r["p"] == f"{r['v'] / 100:.1%}", r["v"]
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 400])
-def test_int_percentiles(spark, n):
+@pytest.mark.parametrize("kind, n", [("int", 1), ("int", 2), ("bigint", 7), ("int", 400)])
+def test_percentiles(spark, kind, n):
     rng = random.Random(n)
     values = [rng.choice([-70_000, 3, 65_536, rng.randint(-10**9, 10**9)]) for _ in range(n)]
-    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int")
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], f"v {kind}")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {r["prob"]: r["value"] for r in R.int_percentiles(df, "v", probs).collect()}
+    got = {r["prob"]: r["value"] for r in R.percentiles(df, "v", probs).collect()}
     ordered = sorted(values)
     for p in probs:
         at = p * (n - 1)
@@ -41,6 +41,14 @@ def test_int_percentiles(spark, n):
         assert got[p] == pytest.approx(low + (high - low) * (at - int(at))), p
 
 
+def test_percentiles_of_doubles_and_large_numbers(spark):
+    df = spark.createDataFrame([(0.2, 4_000_000_000), (0.9, 5), (1.7, 6)], "d double, b bigint")
+    assert R.percentiles(df, "d", [0.5]).first()["value"] == 0.9
+    assert R.percentiles(df, "b", [1.0]).first()["value"] == 4e9
+    with pytest.raises(TypeError):
+        R.percentiles(df.select(df.d.cast("string").alias("d")), "d", [0.5])
+
+
 def test_describe(spark):
     values = [1, 2, 2, 10]
     df = spark.createDataFrame([(v,) for v in values], "v int")

@@ -41,8 +41,7 @@ def _plain_tfidf(docs, limit):
     return vocabulary, weights
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_tfidf_equals_definition(spark, monkeypatch, tmp_path, inline):
+def test_tfidf_equals_definition(spark, tmp_path):
     docs = _docs()
     df = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
     vocabulary, weights = _plain_tfidf(docs, 20)
@@ -51,8 +50,6 @@ def test_tfidf_equals_definition(spark, monkeypatch, tmp_path, inline):
     assert fitted.names == [f"tfidf_{t}" for t in vocabulary]
     fitted.save(str(tmp_path / "v"))
     loaded = X.Vocabulary.load(spark, str(tmp_path / "v"))
-    if not inline:
-        monkeypatch.setattr(X, "MAX_INLINE_TERMS", 1)
     got = {}
     for r in loaded.long_weights(df, "id", "text").collect():
         got.setdefault(r["id"], {})[r["term"]] = r["weight"]
@@ -76,3 +73,17 @@ def test_empty_corpus(spark):
     df = spark.createDataFrame([(1, "")], "id int, text string")
     fitted = X.fit_vocabulary(df, "text")
     assert fitted.names == [] and fitted.long_weights(df, "id", "text").count() == 0
+
+
+def test_large_vocabularies_take_the_same_path(spark):
+    docs = [" ".join(f"word{(i * 7 + j) % 3_000}" for j in range(40)) for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
+    fitted = X.fit_vocabulary(df, "text", max_features=5_000, min_df=1, max_df=1.0)
+    assert fitted.size == 5_000
+    rows = fitted.add_weights(df.limit(3), "text").collect()
+    long = {}
+    for r in fitted.long_weights(df.limit(3), "id", "text").collect():
+        long.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    for r in rows:
+        dense = {t: w for (t, _), w in zip(fitted.terms, r["tfidf"]) if w}
+        assert dense == pytest.approx(long[r["id"]])
