@@ -7,13 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.session import new_path, write_observed
+from failscope.session import new_path, ship, write_observed
 
 #: Rows of a broadcast side at most; its rows are a few dozen bytes each.
 BROADCAST_ROWS = 300_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failscope.llm.common import sampled
+from failscope.session import ship
 
 #: Frequent words of the languages of the corpus.
 STOP_WORDS = frozenset(
@@ -235,6 +236,7 @@ def fit(docs: DataFrame, sample_docs: int = 4_000) -> QualityModel:
         yield pa.RecordBatch.from_pydict(
             {"pattern": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
+    ship(docs.sparkSession)
     counted = docs.select("text").mapInArrow(patterns, "pattern long, n long").groupBy(
         "pattern").agg(F.sum("n").alias("n"))
     labels = fit_labels({r["pattern"]: r["n"] for r in counted.collect()})
