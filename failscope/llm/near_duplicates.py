@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from failscope.llm.common import counted, saved, small
 from failscope.llm.shingles import mix, seeds, shingle_sets
+from failscope.session import new_path, write_observed
 
 BINS = 256
 #: Sketch columns, of 64 bins each.
@@ -166,14 +167,16 @@ def _leaf_rows(classes: DataFrame, trees: int, depth: int, leaf: int):
         if large is not None:
             rows = rows.join(large.withColumnRenamed("node", "parent"), "parent", "left_semi")
         rows = rows.drop("parent")
-        sizes = saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(
-            "size > 1"), "node-sizes")
-        few, n_few = counted(sizes.where(F.col("size") <= leaf).select("node"), "leaf-nodes")
-        big, n_big = counted(sizes.where(F.col("size") > leaf).select("node"), "large-nodes")
-        leaves.append(saved(rows.join(small(few, n_few), "node", "left_semi"), "leaves"))
+        path = new_path(rows.sparkSession, "node-sizes")
+        is_big = F.col("size") > leaf
+        seen = write_observed(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(
+            "size > 1"), path, big=F.count(F.when(is_big, 1)))
+        sizes = rows.sparkSession.read.schema("node long, size long").parquet(path)
+        few, n_big = sizes.where(~is_big).select("node"), seen["big"]
+        leaves.append(saved(rows.join(small(few, seen["rows"] - n_big), "node", "left_semi"), "leaves"))
         if not n_big:
             return leaves, None
-        large = small(big, n_big)
+        large = small(sizes.where(is_big).select("node"), n_big)
     return leaves, saved(rows.join(large, "node", "left_semi"), "large-leaves")
 
 
@@ -221,20 +224,20 @@ def contract(edges: DataFrame) -> DataFrame:
     Every round hooks each node to its least neighbour and renames the edges' ends, so an
     edge list shrinks until it is empty; a hub's rows are pre-aggregated before the shuffle.
     """
-    nodes = saved(edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct(), "nodes")
+    nodes = edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct()
     roots = nodes.select("node", F.col("node").alias("root"))
     rows = 1
     while rows:
         both = edges.select("x", "y").union(edges.select("y", "x"))
         least = saved(both.groupBy("x").agg(F.min("y").alias("y")).select(
             F.col("x").alias("node"), F.least("x", "y").alias("to")), "hooks")
-        roots = saved(roots.join(least.select(F.col("node").alias("root"), "to"), "root", "left").select(
-            "node", F.coalesce("to", "root").alias("root")), "roots")
+        roots = roots.join(least.select(F.col("node").alias("root"), "to"), "root", "left").select(
+            "node", F.coalesce("to", "root").alias("root"))
         moved = edges.join(least.select(F.col("node").alias("x"), F.col("to").alias("x2")), "x").join(
             least.select(F.col("node").alias("y"), F.col("to").alias("y2")), "y")
         edges, rows = counted(moved.where("x2 != y2").select(
             F.least("x2", "y2").alias("x"), F.greatest("x2", "y2").alias("y")).distinct(), "edges")
-    return roots
+    return saved(roots, "roots")
 
 
 class _Forest:
@@ -275,11 +278,12 @@ def _confirm(forest: _Forest, pairs: DataFrame, docs: DataFrame, classes: DataFr
     sets = saved(full_sets(docs.join(wanted, F.col("doc_id") == F.col("cid"), "left_semi"), words)
                  .join(keys, ["doc_id", "h1", "h2"], "left_semi").select(
         F.col("doc_id").alias("cid"), "items"), "sets")
-    todo, rows = counted(forest.open(pairs).select("x", "y", "differ"), "pending")
-    share = 1
-    while rows:
+    todo, share = pairs, 1
+    while True:
         rank = F.row_number().over(Window.partitionBy("y").orderBy("differ", "x"))
-        ranked = saved(forest.open(todo).withColumn("rank", rank), "ranked")
+        ranked, rows = counted(forest.open(todo).withColumn("rank", rank), "ranked")
+        if not rows:
+            return
         now = ranked.where(F.col("rank") <= share)
         inter = F.size(F.array_intersect("a.items", "b.items"))
         union = F.size("a.items") + F.size("b.items") - inter
@@ -289,8 +293,7 @@ def _confirm(forest: _Forest, pairs: DataFrame, docs: DataFrame, classes: DataFr
             .where(inter * 100 >= union * percent).select("x", "y", "lx", "ly"), "linked")
         if found:
             forest.add(linked)
-        rest = ranked.where(F.col("rank") > share).select("x", "y", "differ")
-        todo, rows = counted(forest.open(rest).select("x", "y", "differ"), "pending")
+        todo = ranked.where(F.col("rank") > share).select("x", "y", "differ")
         share *= 4
 
 

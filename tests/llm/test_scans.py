@@ -55,9 +55,9 @@ def natural(seed):
 
 
 def test_quality_tells_junk_from_text(spark):
-    data = [(i, junk(i) if i % 6 == 0 else natural(i)) for i in range(300)]
+    data = [(i, junk(i // 6) if i % 6 == 0 else natural(i)) for i in range(1_200)]
     docs = cases.table(spark, data)
-    model = Q.fit(docs, sample_docs=200)
+    model = Q.fit(docs, sample_docs=800)
     got = {r.doc_id: r.kept for r in Q.quality(docs, model).collect()}
     assert sum(got[i] == (i % 6 != 0) for i in got) >= 0.97 * len(data)
     assert min(model.labels.accuracies()[x] for x in ("repeats", "symbols", "exclaims")) > 0.9
