@@ -13,7 +13,9 @@ The rest is confirmed on full sets, best pair of each class first and only betwe
 that are not yet connected, so a large group of near copies costs a forest, not all its pairs.
 A node that is still large at the last depth holds near copies: all its members are compared
 with its pivots first, the members nearest to the majority of its sketches (copies of one text
-differ more from each other than from it), and then only across components.
+differ more from each other than from it), and then only across components, by sketches of
+eight bits a bin. How many bins may differ follows from both sizes: no more than the members
+that are in one set only, which the threshold bounds.
 
 Links join classes into components by contraction in rounds, each one written to the shared
 folder. Nothing of the corpus goes to the driver but counts.
@@ -42,6 +44,9 @@ from failscope.session import new_path, write_observed
 BINS = 256
 #: Sketch columns, of 64 bins each.
 SKETCH = ["s1", "s2", "s3", "s4"]
+#: Bits of a bin, and columns, of the sketches for large nodes.
+PLANES = 8
+FINE = [f"f{i}" for i in range(BINS * PLANES // 64)]
 _U = np.uint64
 
 
@@ -51,8 +56,8 @@ def trees_for(threshold: float, depth: int, recall: float) -> int:
 
 
 def most_differing(threshold: float) -> int:
-    """Sketch bits that may differ: mean of a linked pair plus five standard deviations."""
-    p = (1 - threshold) / 2
+    """Bins that may differ: mean of a linked pair plus five standard deviations."""
+    p = 1 - threshold
     return math.ceil(BINS * p + 5 * math.sqrt(BINS * p * (1 - p)))
 
 
@@ -75,14 +80,15 @@ def mix_rows(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return ((items[None, :] ^ (factors >> _U(7))[:, None]) * factors[:, None]).min(axis=1)
 
 
-def _sketch(items: np.ndarray) -> np.ndarray:
-    """Words of one bit for each bin's least member; an empty bin gives 0."""
+def _sketch(items: np.ndarray, planes: int = 1) -> np.ndarray:
+    """Words of ``planes`` bits for each bin's least member; an empty bin gives 0."""
     edges = np.arange(BINS, dtype=_U) << _U(64 - (BINS - 1).bit_length())
     first = np.searchsorted(items, edges)
     after = np.append(first[1:], len(items))
-    bits = np.zeros(BINS, _U)
+    hashes = np.zeros(BINS, _U)
     full = first < after
-    bits[full] = mix(items[first[full]]) & _U(1)
+    hashes[full] = mix(items[first[full]])
+    bits = hashes[None, :] >> np.arange(planes, dtype=_U)[:, None] & _U(1)
     return (bits.reshape(-1, 64) << np.arange(64, dtype=_U)).sum(axis=1, dtype=_U)
 
 
@@ -137,15 +143,39 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
         run, "doc_id long, h1 long, h2 long, items array<long>").where(F.size("items") > 0)
 
 
-def _differing() -> Column:
+def fine_sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, h1, h2, f0 to f31): sketches of ``PLANES`` bits for each bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.concatenate([
+                [s.sum(dtype=_U), mix(s + _U(len(s))).sum(dtype=_U)], _sketch(s, PLANES)])
+                for s in shingle_sets(batch.column(1), words)]
+            columns = np.array(rows, _U).reshape(-1, 2 + len(FINE)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in columns.T]],
+                names=["doc_id", "h1", "h2", *FINE])
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in FINE))
+
+
+def _differing(columns: list[str] = SKETCH) -> Column:
     return reduce(operator.add, [
-        F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH])
+        F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in columns])
 
 
-def _near(most: int, percent: int) -> Column:
-    """Sizes and sketches of a and b allow a link."""
+def _near(most: int, percent: int, planes: int = 1) -> Column:
+    """Sizes and sketches of a and b allow a link.
+
+    Of two linked sets at most ``apart`` members are in one only, and no more bins differ; nor
+    do more than ``most`` allows. A bin that differs does so in each plane with chance 1/2.
+    """
+    apart = (F.col("a.n") + F.col("b.n")) * ((100 - percent) / (100 + percent))
+    bins = F.least(apart, F.lit(float(most)))
+    limit = bins * (planes / 2) + F.sqrt(bins * planes) * 2.5 + 1
     return (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (
-        _differing() <= most)
+        _differing(SKETCH if planes == 1 else FINE) <= limit)
 
 
 def _as_pairs(joined: DataFrame) -> DataFrame:
@@ -205,17 +235,20 @@ def _pivot_pairs(large: DataFrame, most: int, percent: int, pivots: int) -> Data
         (F.col("a.cid") != F.col("b.cid")) & _near(most, percent)))
 
 
-def _across_pairs(large: DataFrame, labels: DataFrame, most: int, percent: int) -> DataFrame:
+def _across_pairs(large: DataFrame, labels: DataFrame, fine: DataFrame, most: int,
+                  percent: int) -> DataFrame:
     """Members of a large node outside its main component against all the others."""
-    rows = large.join(labels, "cid", "left").withColumn(
+    rows = large.select("node", "cid", "n").join(labels, "cid", "left").withColumn(
         "label", F.coalesce("label", "cid"))
     sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("node").agg(
         F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
     main = main.where("parts > 1").select("node", F.col("top.label").alias("main"))
-    rows = saved(rows.join(main, "node"), "across")
-    return _as_pairs(rows.where("label != main").alias("a").join(rows.alias("b"), "node").where(
-        (F.col("a.label") != F.col("b.label")) & _near(most, percent)))
+    rows = saved(rows.join(main, "node").join(fine, "cid"), "across")
+    met = rows.where("label != main").alias("a").join(rows.alias("b"), "node").where(
+        (F.col("a.label") != F.col("b.label")) & _near(most, percent, PLANES))
+    return met.select(F.least("a.cid", "b.cid").alias("x"), F.greatest("a.cid", "b.cid").alias("y"),
+                      _differing(FINE).alias("differ"))
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -330,8 +363,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: i
         labels = forest.labels
         if labels is None:
             labels = full.select("cid", F.col("cid").alias("label")).limit(0)
+        members = saved(large.select("cid").distinct().join(
+            full.select("cid", "h1", "h2"), "cid"), "large-members")
+        fine = fine_sketches(docs.join(
+            members.select("cid").distinct(), F.col("doc_id") == F.col("cid"), "left_semi"), words)
+        fine = saved(fine.withColumnRenamed("doc_id", "cid").join(
+            members, ["cid", "h1", "h2"], "left_semi").drop("h1", "h2").dropDuplicates(["cid"]), "fine-sketches")
         across, rows = counted(
-            _across_pairs(large, labels, most, percent).where("x != y").distinct().join(
+            _across_pairs(large, labels, fine, most, percent).where("x != y").distinct().join(
                 pairs.select("x", "y"), ["x", "y"], "left_anti"), "across-pairs")
         if rows:
             _confirm(forest, across, docs, full, words, percent)
