@@ -42,6 +42,35 @@ def read_sink(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(whole).parquet(path)
 
 
+def _held(write):
+    """``write(batch, n)`` with the batch kept while several jobs read it."""
+    def run(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        try:
+            write(batch, n)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def _stored_before(spark: SparkSession, path: str, n: int, schema: T.StructType) -> DataFrame | None:
+    """Rows that earlier micro-batches than ``n`` stored in a sink; None for the first."""
+    return read_sink(spark, path, schema).where(F.col("batch") < n).drop("batch") if n else None
+
+
+def _unseen(batch: DataFrame, id: str, sink: str, n: int, stored_id: str | None = None) -> DataFrame:
+    """One row per id of the batch, without ids that earlier batches stored in ``sink``."""
+    stored_id = stored_id or id
+    new = batch.dropDuplicates([id])
+    ids = T.StructType([T.StructField(stored_id, batch.schema[id].dataType)])
+    before = _stored_before(batch.sparkSession, sink, n, ids)
+    if before is None:
+        return new
+    return new.join(before.select(F.col(stored_id).alias(id)).distinct(), id, "left_anti").select(
+        batch.columns)
+
+
 def validate_stream(
     events: DataFrame, rules: list[Column], valid: str, invalid: str, checkpoint: str
 ) -> StreamingQuery:
@@ -51,7 +80,7 @@ def validate_stream(
         _write_batch(good, valid, n)
         _write_batch(bad, invalid, n)
 
-    return _start(events.writeStream.foreachBatch(write), checkpoint)
+    return _start(events.writeStream.foreachBatch(_held(write)), checkpoint)
 
 
 def _lagged_batch(
@@ -77,9 +106,12 @@ def score_stream(
     events: DataFrame, features, model, failures: str, predictions: str, state: str,
     checkpoint: str, ts: str = "timestamp", key: str = "pipeline_name", id: str = "event_id",
 ) -> StreamingQuery:
-    """Store each event, then score it with its lag over all batches, store its prediction."""
+    """Store each event once, score it with its lag over all batches, store its prediction.
+
+    An event that is sent again, in this batch or a later one, gets no second prediction.
+    """
     def write(batch: DataFrame, n: int) -> None:
-        _write_batch(batch, failures, n)
+        _write_batch(_unseen(batch, id, failures, n), failures, n)
         stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{failures}/batch={n}")
         lagged = _lagged_batch(stored, n, state, ts, key, id)
         scored = model.score(features.with_features(lagged)).select(
@@ -99,17 +131,17 @@ def lag_stream(
         _write_batch(_lagged_batch(batch, n, state, ts, key, id).select(
             id, "feat_lag_seconds", "feat_is_burst"), out, n)
 
-    return _start(events.writeStream.foreachBatch(write), checkpoint)
+    return _start(events.writeStream.foreachBatch(_held(write)), checkpoint)
 
 
 def once_per_failure(
-    predictions: DataFrame, out: str, checkpoint: str, ts: str = "created_at",
-    late: str = "1 hour", id: str = "failure_id",
+    predictions: DataFrame, out: str, checkpoint: str, id: str = "failure_id",
 ) -> StreamingQuery:
-    """At most one prediction per failure among those that arrive within ``late``."""
-    kept = predictions.withWatermark(ts, late).dropDuplicatesWithinWatermark([id])
-    return _start(
-        kept.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    """At most one prediction per failure, whenever it is sent again: the store decides."""
+    def write(batch: DataFrame, n: int) -> None:
+        _write_batch(_unseen(batch, id, out, n), out, n)
+
+    return _start(predictions.writeStream.foreachBatch(write), checkpoint)
 
 
 def trend_stream(

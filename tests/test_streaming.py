@@ -68,6 +68,18 @@ def test_one_prediction_per_failure(spark, arriving, tmp_path):
     assert got.count() == got.select("failure_id").distinct().count() == events.count()
 
 
+def test_once_per_failure_also_in_later_batches(spark, tmp_path):
+    schema = "failure_id int, created_at timestamp"
+    base = str(tmp_path)
+    for k, ids in enumerate([(1, 2), (2, 3), (3, 1, 4)]):
+        spark.createDataFrame([(i, None) for i in ids], schema).coalesce(1).write.parquet(f"{base}/in/{k}")
+    stream = S.read_stream(spark, f"{base}/in/*", spark.read.parquet(f"{base}/in/0").schema, files_per_batch=1)
+    S.once_per_failure(stream, f"{base}/out", f"{base}/c").awaitTermination()
+    got = spark.read.parquet(f"{base}/out")
+    assert sorted(r.failure_id for r in got.collect()) == [1, 2, 3, 4]
+    assert got.select("batch").distinct().count() == 3
+
+
 def test_scores_equal_batch(spark, arriving, tmp_path):
     from failscope.operators.feature_engineer import FeatureEngineer
     from failscope.operators.model import train
