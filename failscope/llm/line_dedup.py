@@ -209,14 +209,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, edits: int = 2, least: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (ha, hb, used, first) and the links (xa, xb, ya, yb) between near ones."""
+    """Distinct lines (ha, hb, used) and the links (xa, xb, ya, yb) between near ones."""
     if least < 4 * (edits + 1):
         raise ValueError("lines this short have no segments to share")
     lines = _line_rows(docs).where(F.char_length(F.trim("line")) >= least)
     keyed = lines.select("doc_id", "line_no", "line", *_hashes(F.col("line")))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     distinct = saved(keyed.groupBy("ha", "hb").agg(
-        F.count(F.lit(1)).alias("used"), F.min(place).alias("first")), "distinct-lines")
+        F.count(F.lit(1)).alias("used")), "distinct-lines")
     pairs = saved(candidates(keyed.select("ha", "hb", "line"), edits), "line-candidates")
     wanted, n = counted(pairs.select(F.col("xa").alias("ha"), F.col("xb").alias("hb")).union(
         pairs.select("ya", "yb")).distinct(), "candidate-lines")
@@ -225,26 +224,31 @@ def near_lines(docs: DataFrame, edits: int = 2, least: int = 20) -> tuple[DataFr
     return distinct, saved(_verified(pairs, texts, edits), "near-lines")
 
 
-def dropped_places(docs: DataFrame, edits: int = 2, least: int = 20,
-                   allowed: int = 6) -> DataFrame:
-    """(ha, hb, keep) of the lines that are used too often, ``keep`` the place that stays."""
-    distinct, links = near_lines(docs, edits, least)
-    both = links.union(links.select("ya", "yb", "xa", "xb"))
-    others = distinct.select(F.col("ha").alias("ya"), F.col("hb").alias("yb"), "used", "first")
-    around = both.join(others, ["ya", "yb"]).select(
-        F.col("xa").alias("ha"), F.col("xb").alias("hb"), "used", "first").union(
-        distinct.select("ha", "hb", "used", "first"))
-    total = around.groupBy("ha", "hb").agg(
-        F.sum("used").alias("used"), F.min("first").alias("keep"))
-    return total.where(F.col("used") > allowed).select("ha", "hb", "keep")
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
 
 
 def _decided(docs: DataFrame, edits: int, least: int, allowed: int) -> DataFrame:
     """(doc_id, drop): sorted numbers of the lines that each document loses."""
-    often, n = counted(dropped_places(docs, edits, least, allowed), "frequent-lines")
-    lines = _line_rows(docs).select("doc_id", "line_no", *_hashes(F.col("line")))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    lost = lines.join(small(often, n), ["ha", "hb"]).where(~place.eqNullSafe(F.col("keep")))
+    distinct, links = near_lines(docs, edits, least)
+    both = links.union(links.select("ya", "yb", "xa", "xb"))
+    near = distinct.select(F.col("ha").alias("ya"), F.col("hb").alias("yb"), "used")
+    more = both.join(near, ["ya", "yb"]).groupBy(
+        F.col("xa").alias("ha"), F.col("xb").alias("hb")).agg(F.sum("used").alias("more"))
+    often = saved(distinct.join(more, ["ha", "hb"], "left").where(
+        F.col("used") + F.coalesce("more", F.lit(0)) > allowed).select("ha", "hb"), "frequent-lines")
+    # each of them with itself and its near lines, and where all of these stand
+    around = often.select("ha", "hb", F.col("ha").alias("ya"), F.col("hb").alias("yb")).union(
+        often.join(both.toDF("ha", "hb", "ya", "yb"), ["ha", "hb"]))
+    involved, n = counted(around.select(F.col("ya").alias("ha"), F.col("yb").alias("hb")).distinct(),
+                          "involved-lines")
+    places = saved(_line_rows(docs).select("doc_id", "line_no", *_hashes(F.col("line"))).join(
+        small(involved, n), ["ha", "hb"], "left_semi"), "line-places")
+    first = places.groupBy(F.col("ha").alias("ya"), F.col("hb").alias("yb")).agg(
+        F.min(_place()).alias("first"))
+    keep, n = counted(around.join(first, ["ya", "yb"]).groupBy("ha", "hb").agg(
+        F.min("first").alias("keep")), "kept-places")
+    lost = places.join(small(keep, n), ["ha", "hb"]).where(~_place().eqNullSafe(F.col("keep")))
     return saved(lost.groupBy("doc_id").agg(
         F.sort_array(F.collect_set("line_no")).alias("drop")), "lost-lines")
 
