@@ -29,16 +29,19 @@ without an id come last. Repeated rows hold the same places, so they lose the sa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failscope.llm.common import counted, saved, small
 
 #: Pairs of lines under one key beyond which the key is refined instead of paired.
-PAIRS_PER_KEY = 4_096
+PAIRS_PER_KEY = 256
+#: Keys (one number each) of a broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def bounded_distance(a: str, b: str, most: int) -> int:
@@ -93,48 +96,98 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("ha"), F.xxhash64(F.lit(1), line).alias("hb")]
 
 
-def _cuts(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(begin from 1, size) of even segments; the later ones take the remainder."""
-    size = F.floor(length / parts).cast("int")
-    long_ones = length.cast("int") - size * parts
-    out, begin = [], F.lit(1)
+#: Seeds that give the same 64-bit hashes of a line in a task as ``_hashes`` gives.
+_SEEDS = (42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed=42))
+#: Lines whose keys a task remembers having sent, so that a frequent line is sent once.
+_SENT_LINES = 200_000
+
+
+def cut(length: int, parts: int) -> list[tuple[int, int]]:
+    """(begin, size) of even segments; the later ones take the remainder."""
+    size, longer = divmod(length, parts)
+    out, begin = [], 0
     for i in range(parts):
-        own = size + F.when(F.lit(parts - i) <= long_ones, 1).otherwise(0)
+        own = size + (i >= parts - longer)
         out.append((begin, own))
-        begin = begin + own
+        begin += own
     return out
 
 
-def _keys(edits: int, checked: bool) -> Column:
-    """Array of (key, probe, begin, size): a line's own segments and its probes.
+@lru_cache(100_000)
+def _spans(length: int, edits: int) -> list[tuple[int, bool, int, int]]:
+    """(head, probe, begin, end) of a line's own segments and of its probes.
 
     A probe for the indexes of lines shorter by ``less`` starts a segment where at most as many
-    edits lie left of it as it has segments before it, and the like to the right. ``checked``
-    leaves out what does not fit in a line of few characters.
+    edits lie left of it as it has segments before it, and the like to the right. The head is
+    what a key holds besides the segment: its number and the indexed line's length.
+    """
+    out = []
+    for less in range(min(edits, length - 1) + 1):
+        for i, (begin, size) in enumerate(cut(length - less, edits + 1)):
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                at = begin + shift
+                if size and at >= 0 and at + size <= length:
+                    out.append((i << 40 | (length - less), less > 0 or shift != 0, at, at + size))
+    return out
+
+
+_KEYS = "ha long, hb long, old long, key long, probe boolean, begin int, size int"
+
+
+def _cut_rows(lines: DataFrame, edits: int, least: int | None = None) -> DataFrame:
+    """(ha, hb, old, key, probe, begin, size) of all segments and probes.
+
+    Of (text) rows with ``least``: of their lines of at least so many characters. Else of rows
+    (ha, hb, old, line), under the key ``old``.
     """
-    found = []
-    length = F.col("length")
-    for less in range(edits + 1):
-        shorter = length - less
-        for i, (begin, size) in enumerate(_cuts(shorter, edits + 1)):
-            first = max(-i, less - (edits - i))
-            last = min(i, less + (edits - i))
-            for shift in range(first, last + 1):
-                part = F.struct(
-                    F.xxhash64("old", F.lit(i), shorter, F.substr(
-                        F.col("line"), begin + shift, size)).alias("key"),
-                    F.lit(less > 0 or shift != 0).alias("probe"),
-                    (begin + shift).cast("int").alias("begin"), size.alias("size"))
-                fits = (size > 0) & (begin + shift >= 1) & (begin + shift + size - 1 <= length)
-                found.append(F.when(fits, part) if checked else part)
-    return F.array(*found)
-
-
-def _cut_rows(lines: DataFrame, edits: int, checked: bool) -> DataFrame:
-    """(ha, hb, old, key, probe, begin, size) of all segments and probes of (ha, hb, old, line)."""
-    sized = lines.select("ha", "hb", "old", "line", F.char_length("line").alias("length"))
-    rows = sized.select("ha", "hb", "old", F.explode(_keys(edits, checked)).alias("k"))
-    return rows.where("k IS NOT NULL").select("ha", "hb", "old", "k.*")
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
+
+    def batch_of(found: list[list]) -> pa.RecordBatch:
+        kinds = (pa.int64(),) * 4 + (pa.bool_(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(found, kinds)],
+            names=["ha", "hb", "old", "key", "probe", "begin", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            found: list[list] = [[] for _ in range(7)]
+            if least is None:
+                source = zip(*[c.to_pylist() for c in batch.columns])
+            else:
+                source = ((None, None, 0, line) for text in batch.column(0).to_pylist() if text
+                          for line in text.split("\n") if len(line) >= least and len(line.strip(" ")) >= least)
+            for ha, hb, old, line in source:
+                if ha is None:
+                    raw = line.encode("utf-8", "surrogatepass")
+                    ha = digest(raw, seed=_SEEDS[0])
+                    if ha in sent:
+                        continue
+                    if len(sent) >= _SENT_LINES:
+                        sent.clear()
+                    sent.add(ha)
+                    ha, hb = signed(ha), signed(digest(raw, seed=_SEEDS[1]))
+                spans = _spans(len(line), edits)
+                seed = old & 0xFFFFFFFFFFFFFFFF
+                found[3] += [signed(digest(line[b:e], seed=(seed ^ head * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+                             for head, _, b, e in spans]
+                found[4] += [probe for _, probe, _, _ in spans]
+                found[5] += [b for _, _, b, _ in spans]
+                found[6] += [e - b for _, _, b, e in spans]
+                n = len(spans)
+                found[0] += [ha] * n
+                found[1] += [hb] * n
+                found[2] += [old] * n
+                if len(found[0]) >= 100_000:
+                    yield batch_of(found)
+                    found = [[] for _ in range(7)]
+            yield batch_of(found)
+
+    rows = lines.select("ha", "hb", "old", "line") if least is None else lines.select("text")
+    return rows.mapInArrow(run, _KEYS)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -142,7 +195,8 @@ def _shared(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("key").agg(
         F.min("ha").alias("low"), F.max("ha").alias("high"), F.min("probe").alias("probe"))
     keys, n = counted(per.where("low != high AND NOT probe").select("key"), "shared-keys")
-    return saved(rows.join(small(keys, n), "key", "left_semi").distinct(), "shared-rows")
+    return saved(rows.join(
+        F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi").distinct(), "shared-rows")
 
 
 def _paired(rows: DataFrame) -> DataFrame:
@@ -157,14 +211,15 @@ def _paired(rows: DataFrame) -> DataFrame:
                        high.getField("ha").alias("ya"), high.getField("hb").alias("yb"))
 
 
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
+def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> DataFrame:
     """Distinct pairs (xa, xb, ya, yb) of hashes of lines that share a segment.
 
-    ``lines``: (ha, hb, line), where a line may stand more than once.
+    ``lines``: (ha, hb, line) of the same documents, where a line may stand more than once.
     """
-    source, checked, found = lines.withColumn("old", F.lit(0).cast("long")), False, []
+    source, found = lines.withColumn("old", F.lit(0).cast("long")), []
+    cut_rows = _cut_rows(docs, edits, least)
     while True:
-        rows = _shared(_cut_rows(source, edits, checked))
+        rows = _shared(cut_rows)
         bare = rows.select("key", "ha", "hb", "probe").distinct()
         hot, n_hot = counted(bare.groupBy("key").agg(
             F.count(F.when(~F.col("probe"), 1)).alias("indexed"), F.count(F.lit(1)).alias("all")
@@ -179,17 +234,17 @@ def candidates(lines: DataFrame, edits: int) -> DataFrame:
             "ha", "hb", "old"], "left_semi").dropDuplicates(["ha", "hb", "old"])
         rest = saved(again.join(texts, ["ha", "hb", "old"]).select(
             "ha", "hb", F.col("key").alias("old"), "probe", F.concat(
-                F.substr("line", F.lit(1), F.col("begin") - 1),
-                F.substr("line", F.col("begin") + F.col("size"))).alias("line")), "refined")
+                F.substr("line", F.lit(1), F.col("begin")),
+                F.substr("line", F.col("begin") + F.col("size") + 1)).alias("line")), "refined")
         ends = rest.where(F.char_length("line") <= edits)  # nothing left to tell lines apart by
         found.append(saved(_paired(ends.select(
             F.col("old").alias("key"), "ha", "hb", F.lit(False).alias("probe")).distinct()
         ).distinct(), "line-pairs"))
         source, n = counted(rest.where(F.char_length("line") > edits).select(
             "ha", "hb", "old", "line").distinct(), "refined-lines")
-        checked = True
         if not n:
             break
+        cut_rows = _cut_rows(source, edits)
     return reduce(DataFrame.union, found).distinct()
 
 
@@ -216,7 +271,7 @@ def near_lines(docs: DataFrame, edits: int = 2, least: int = 20) -> tuple[DataFr
     keyed = lines.select("doc_id", "line_no", "line", *_hashes(F.col("line")))
     distinct = saved(keyed.groupBy("ha", "hb").agg(
         F.count(F.lit(1)).alias("used")), "distinct-lines")
-    pairs = saved(candidates(keyed.select("ha", "hb", "line"), edits), "line-candidates")
+    pairs = saved(candidates(docs, keyed.select("ha", "hb", "line"), edits, least), "line-candidates")
     wanted, n = counted(pairs.select(F.col("xa").alias("ha"), F.col("xb").alias("hb")).union(
         pairs.select("ya", "yb")).distinct(), "candidate-lines")
     texts = saved(keyed.select("ha", "hb", "line").join(
