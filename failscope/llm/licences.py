@@ -16,6 +16,8 @@ their rows. Equal paragraphs of a document count once each.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,21 @@ def canonical(text: Column) -> Column:
         F.split(words, " "), lambda w: F.coalesce(F.element_at(same, w), w)), " ")
 
 
+def may_match(text: Column, longest: int) -> Column:
+    """Whether the canonical form can be as short as the ``longest`` known one (in characters).
+
+    Exact as a filter: ASCII letters and digits stay in the form, but for those of copyright
+    lines (texts with a sign of one always pass), up to three of a comment sign on each line,
+    and less than a quarter of a word where a spelling is replaced.
+    """
+    alphabet = string.ascii_letters + string.digits
+    kept = F.char_length(text) - F.char_length(F.translate(text, alphabet, ""))
+    lines = F.char_length(text) - F.char_length(F.translate(text, "\n\r", "")) + 1
+    lower = F.lower(text)
+    stated = lower.contains("copyright") | lower.contains("(c)") | lower.contains("©")
+    return stated | (kept * 0.75 - lines * 3 <= longest)
+
+
 def digest(text: Column) -> Column:
     """Digest of a text's canonical form; null without words."""
     form = canonical(text)
@@ -100,9 +117,10 @@ def known_table(spark: SparkSession, known: list[tuple[str, str]] | None = None)
 
 
 def known_digests(known: DataFrame) -> DataFrame:
-    """(digest, licence): one row per canonical text, the least licence of equal ones."""
+    """(digest, licence, n_chars): one row per canonical text, the least licence of equal ones."""
     forms = known.select("licence", canonical(F.col("text")).alias("form")).where("form != ''")
-    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(
+        F.min("licence").alias("licence"), F.max(F.char_length("form")).alias("n_chars"))
 
 
 def _units(docs: DataFrame) -> DataFrame:
@@ -128,9 +146,11 @@ def licence_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``unit`` is document, paragraph or line, ``at`` its number from 0.
     """
     digests, n = counted(known_digests(known), "licence-digests")
-    rows = _units(docs).select("doc_id", "unit", "at", digest(F.col("text")).alias("digest"))
+    longest = digests.agg(F.max("n_chars")).first()[0] or 0
+    units = _units(docs).where(may_match(F.col("text"), longest))
+    rows = units.select("doc_id", "unit", "at", digest(F.col("text")).alias("digest"))
     return rows.where("digest IS NOT NULL").join(
-        small(digests, n), "digest").select(
+        small(digests.select("digest", "licence"), n), "digest").select(
         "doc_id", "unit", "at", "licence")
 
 

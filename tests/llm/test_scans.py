@@ -100,10 +100,11 @@ def test_licences_are_found_as_entire_texts(spark):
             (3, "// Copyright (c) 2020 Someone\n// Licensed under the Apache Licence, version 2.0"),
             (4, "It is released under the MIT License."), (5, None), (6, ""), (7, "Copyright 2020"),
             (8, "Licensed under CC BY-NC 4.0.\n\nLicensed under CC-BY-NC 4.0"), (None, "SPDX-License-Identifier: MIT"),
-            (9, cases.prose(1, 20_000)), (1, "Some text.\nReleased under the MIT licence.\nMore.")]
+            (9, cases.prose(1, 20_000)), (10, "—  . * " * 5_000 + "Released under the MIT License."),
+            (11, "Copyright 2020 " + cases.prose(2, 3_000) + "\n" + "Licensed under CC BY 4.0.\n" * 1), (1, "Some text.\nReleased under the MIT licence.\nMore.")]
     known = L.known_table(spark)
     got = sorted((r.doc_id or 0, tuple(r.licences)) for r in L.document_licences(cases.table(spark, data), known).collect())
-    assert got == [(0, ("MIT",)), (1, ("MIT",)), (3, ("Apache-2.0",)), (8, ("CC-BY-NC-4.0",))]
+    assert got == [(0, ("MIT",)), (1, ("MIT",)), (3, ("Apache-2.0",)), (8, ("CC-BY-NC-4.0",)), (10, ("MIT",)), (11, ("CC-BY-4.0",))]
     units = {(r.unit, r.at) for r in L.licence_scan(cases.table(spark, data[:1]), known).collect()}
     assert units == {("line", 1)}
     assert L.document_licences(cases.table(spark, []), known).count() == 0
