@@ -12,7 +12,10 @@ the substrings at the few places that the number of edits left and right of them
    different lines share go on.
 3. Lines that share a key are candidates. A key that very many lines share is not paired: its
    lines drop the shared segment, and what is left of them (whose distance is no larger) is cut
-   into segments again, under the old key, as often as it takes.
+   into segments again, under the old key, as often as it takes. Ends common to all that is left
+   under a key go first, and keys that leave the same become one. What is too short to be cut is
+   paired under the old key with all that is as short, and by common subsequences with what is
+   up to ``edits`` longer.
 4. Candidates are verified on their text: common ends are cut off, the rest goes through the
    bit-parallel edit distance, banded by the number of edits.
 
@@ -30,6 +33,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import combinations
+from os.path import commonprefix
 
 import pyarrow as pa
 import xxhash
@@ -131,36 +136,38 @@ def _spans(length: int, edits: int) -> list[tuple[int, bool, int, int]]:
     return out
 
 
-_KEYS = "ha long, hb long, old long, key long, probe boolean, begin int, size int"
+_KEYS = "ha long, hb long, old long, rest long, key long, probe boolean, begin int, size int"
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _cut_rows(lines: DataFrame, edits: int, least: int | None = None) -> DataFrame:
-    """(ha, hb, old, key, probe, begin, size) of all segments and probes.
+    """(ha, hb, old, rest, key, probe, begin, size) of all segments and probes.
 
     Of (text) rows with ``least``: of their lines of at least so many characters. Else of rows
-    (ha, hb, old, line), under the key ``old``.
+    (ha, hb, old, rest, line), under the key ``old``; ``rest`` tells what is left of a line in
+    one way from what is left of it in another.
     """
 
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
-
     def batch_of(found: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(),) * 4 + (pa.bool_(), pa.int32(), pa.int32())
+        kinds = (pa.int64(),) * 5 + (pa.bool_(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(found, kinds)],
-            names=["ha", "hb", "old", "key", "probe", "begin", "size"])
+            names=["ha", "hb", "old", "rest", "key", "probe", "begin", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            found: list[list] = [[] for _ in range(7)]
+            found: list[list] = [[] for _ in range(8)]
             if least is None:
                 source = zip(*[c.to_pylist() for c in batch.columns])
             else:
-                source = ((None, None, 0, line) for text in batch.column(0).to_pylist() if text
+                source = ((None, None, 0, 0, line) for text in batch.column(0).to_pylist() if text
                           for line in text.split("\n") if len(line) >= least and len(line.strip(" ")) >= least)
-            for ha, hb, old, line in source:
+            for ha, hb, old, rest, line in source:
                 if ha is None:
                     raw = line.encode("utf-8", "surrogatepass")
                     ha = digest(raw, seed=_SEEDS[0])
@@ -169,24 +176,25 @@ def _cut_rows(lines: DataFrame, edits: int, least: int | None = None) -> DataFra
                     if len(sent) >= _SENT_LINES:
                         sent.clear()
                     sent.add(ha)
-                    ha, hb = signed(ha), signed(digest(raw, seed=_SEEDS[1]))
+                    ha, hb = _signed(ha), _signed(digest(raw, seed=_SEEDS[1]))
                 spans = _spans(len(line), edits)
                 seed = old & 0xFFFFFFFFFFFFFFFF
-                found[3] += [signed(digest(line[b:e], seed=(seed ^ head * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+                found[4] += [_signed(digest(line[b:e], seed=(seed ^ head * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
                              for head, _, b, e in spans]
-                found[4] += [probe for _, probe, _, _ in spans]
-                found[5] += [b for _, _, b, _ in spans]
-                found[6] += [e - b for _, _, b, e in spans]
+                found[5] += [probe for _, probe, _, _ in spans]
+                found[6] += [b for _, _, b, _ in spans]
+                found[7] += [e - b for _, _, b, e in spans]
                 n = len(spans)
                 found[0] += [ha] * n
                 found[1] += [hb] * n
                 found[2] += [old] * n
+                found[3] += [rest] * n
                 if len(found[0]) >= 100_000:
                     yield batch_of(found)
-                    found = [[] for _ in range(7)]
+                    found = [[] for _ in range(8)]
             yield batch_of(found)
 
-    rows = lines.select("ha", "hb", "old", "line") if least is None else lines.select("text")
+    rows = lines.select("ha", "hb", "old", "rest", "line") if least is None else lines.select("text")
     return rows.mapInArrow(run, _KEYS)
 
 
@@ -199,9 +207,37 @@ def _shared(rows: DataFrame) -> DataFrame:
         F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi").distinct(), "shared-rows")
 
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """Different lines of one key, one of them an indexed one, as ordered pairs of hashes."""
-    a, b = rows.where("NOT probe").alias("a"), rows.alias("b")
+def _subsequences(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, ha, hb, probe) of (ha, hb, old, line): keys of ``old`` and the line without up to
+    ``edits`` of its characters. Lines within ``edits`` of each other share one of them.
+
+    Lines of at most ``edits`` characters are indexed, longer ones are probes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            found: list[tuple] = []
+            for ha, hb, old, line in zip(*[c.to_pylist() for c in batch.columns]):
+                left = {"".join(c) for n in range(max(0, len(line) - edits), len(line) + 1)
+                        for c in combinations(line, n)}
+                found += [(_signed(digest(x, seed=old & 0xFFFFFFFFFFFFFFFF)), ha, hb, len(line) > edits)
+                          for x in left]
+            kinds = (pa.int64(),) * 3 + (pa.bool_(),)
+            columns = zip(*found) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "ha", "hb", "probe"])
+
+    return lines.select("ha", "hb", "old", "line").mapInArrow(
+        run, "key long, ha long, hb long, probe boolean").distinct()
+
+
+def _paired(rows: DataFrame, indexed: bool = True) -> DataFrame:
+    """Different lines of one key, one of them an indexed one, as ordered pairs of hashes.
+
+    Without ``indexed``: only an indexed one and a probe.
+    """
+    a, b = rows.where("NOT probe").alias("a"), (rows if indexed else rows.where("probe")).alias("b")
     one = F.struct("a.ha", "a.hb")
     two = F.struct("b.ha", "b.hb")
     both = a.join(b, F.col("a.key") == F.col("b.key")).where(
@@ -211,12 +247,42 @@ def _paired(rows: DataFrame) -> DataFrame:
                        high.getField("ha").alias("ya"), high.getField("hb").alias("yb"))
 
 
+def _bared(rest: DataFrame, n_old: int) -> DataFrame:
+    """``rest`` (ha, hb, old, line) without the ends that all lines of an ``old`` have in common;
+    of those whose lines are then the same, one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, tails = [], []
+            for low, high, back_low, back_high, least in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                heads.append(len(commonprefix([low, high])))
+                tails.append(min(len(commonprefix([back_low, back_high])), least - heads[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(heads, pa.int32()), pa.array(tails, pa.int32())],
+                names=["old", "head", "tail"])
+
+    back = F.reverse("line")
+    ends = saved(rest.groupBy("old").agg(  # the first and last in order share what all share
+        F.min("line").alias("low"), F.max("line").alias("high"), F.min(back).alias("back_low"),
+        F.max(back).alias("back_high"), F.min(F.char_length("line")).alias("least")).mapInArrow(
+        run, "old long, head int, tail int"), "common-ends")
+    bare = saved(rest.join(small(ends, n_old), "old").select("ha", "hb", "old", F.substr(
+        "line", F.col("head") + 1, F.char_length("line") - F.col("head") - F.col("tail")).alias("line")), "bare-lines")
+    row = ["ha", "hb", "line"]
+    sets = bare.groupBy("old").agg(
+        F.bit_xor(F.xxhash64(*row)).alias("sa"), F.bit_xor(F.xxhash64(F.lit(1), *row)).alias("sb"),
+        F.count(F.lit(1)).alias("n"))
+    chosen = saved(sets.groupBy("sa", "sb", "n").agg(F.min("old").alias("old")).select("old"), "distinct-keys")
+    return bare.join(small(chosen, n_old), "old", "left_semi")
+
+
 def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> DataFrame:
     """Distinct pairs (xa, xb, ya, yb) of hashes of lines that share a segment.
 
     ``lines``: (ha, hb, line) of the same documents, where a line may stand more than once.
     """
-    source, found = lines.withColumn("old", F.lit(0).cast("long")), []
+    source, found = lines.select(
+        "ha", "hb", F.lit(0).cast("long").alias("old"), F.lit(0).cast("long").alias("rest"), "line"), []
     cut_rows = _cut_rows(docs, edits, least)
     while True:
         rows = _shared(cut_rows)
@@ -230,18 +296,22 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
             break
         # a hot key's lines without the shared segment, to be cut again under that key
         again = rows.join(small(hot, n_hot), "key", "left_semi")
-        texts = source.join(again.select("ha", "hb", "old").distinct(), [
-            "ha", "hb", "old"], "left_semi").dropDuplicates(["ha", "hb", "old"])
-        rest = saved(again.join(texts, ["ha", "hb", "old"]).select(
-            "ha", "hb", F.col("key").alias("old"), "probe", F.concat(
-                F.substr("line", F.lit(1), F.col("begin")),
-                F.substr("line", F.col("begin") + F.col("size") + 1)).alias("line")), "refined")
+        one = ["ha", "hb", "old", "rest"]
+        texts = source.join(again.select(*one).distinct(), one, "left_semi").dropDuplicates(one)
+        rest = saved(again.join(texts, one).select("ha", "hb", F.col("key").alias("old"), F.concat(
+            F.substr("line", F.lit(1), F.col("begin")),
+            F.substr("line", F.col("begin") + F.col("size") + 1)).alias("line")).distinct(), "refined")
+        rest = saved(_bared(rest, n_hot), "bared")
         ends = rest.where(F.char_length("line") <= edits)  # nothing left to tell lines apart by
         found.append(saved(_paired(ends.select(
             F.col("old").alias("key"), "ha", "hb", F.lit(False).alias("probe")).distinct()
         ).distinct(), "line-pairs"))
+        # lines of which so little is left may be near ones of which more is left
+        brief = rest.where(F.char_length("line") <= 2 * edits)
+        found.append(saved(_paired(saved(_subsequences(brief, edits), "brief-keys"), False).distinct(),
+                           "line-pairs"))
         source, n = counted(rest.where(F.char_length("line") > edits).select(
-            "ha", "hb", "old", "line").distinct(), "refined-lines")
+            "ha", "hb", "old", F.xxhash64("line").alias("rest"), "line"), "refined-lines")
         if not n:
             break
         cut_rows = _cut_rows(source, edits)

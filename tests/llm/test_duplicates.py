@@ -135,6 +135,15 @@ def test_near_lines_equal_brute_force_also_for_hot_keys(spark, monkeypatch):
     assert line_links(spark, docs, 2) == want
 
 
+def test_near_lines_of_hot_families_of_unequal_length(spark):
+    lines = [f"Harbour log of the quay, page {i}" for i in range(1, 151)]
+    docs = cases.table(spark, [(i, line) for i, line in enumerate(lines)])
+    ordered = sorted(set(lines))
+    want = {(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1:] if distance(a, b) <= 2}
+    assert ("Harbour log of the quay, page 1", "Harbour log of the quay, page 10") in want
+    assert line_links(spark, docs, 2) == want
+
+
 def test_lines_used_too_often_keep_their_first_use(spark):
     footer = "please read the whole footer of this page"
     data = [(i, f"{cases.prose(i, 12)}\n{footer if i % 2 else footer + '!'}\n") for i in range(1, 9)]
