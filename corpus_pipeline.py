@@ -26,23 +26,34 @@ def line_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a written number (__row) of each row, by which rows are decided on."""
+    return saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group: five-word shingles, a similarity of 0.8 or more.
 
-    Rows that repeat a doc_id and text count as copies of one another; rows without an id stay.
+    The one with the least doc_id stays. Rows that repeat a doc_id and text count as copies of one
+    another, different texts of a doc_id are compared as any others; rows without an id stay.
     """
-    groups = near_duplicates(docs, words=5, percent=80)
-    gone = groups.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(saved(gone, "near-copies"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    known = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(rest.where("doc_id IS NULL"))
+    rows = _numbered(docs)
+    known = rows.where("doc_id IS NOT NULL")
+    groups = near_duplicates(known.select(F.col("__row").alias("doc_id"), "text"), words=5, percent=80)
+    member = saved(groups.select(F.col("doc_id").alias("__row"), "component_id"), "near-groups")
+    first = member.join(known.select("__row", "doc_id"), "__row").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "__row"))["__row"].alias("__row"))
+    kept = known.join(saved(first.select("__row"), "near-kept"), "__row", "left_semi").drop("__row")
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(
+        rows.where("doc_id IS NULL").drop("__row")).select(*docs.columns)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without documents that hold a window of a benchmark item."""
-    found = decontaminate(docs, table(spark, folder, "benchmark"))
-    leaks = saved(found.where("contaminated").select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    rows = _numbered(docs)
+    found = decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, folder, "benchmark"))
+    leaks = saved(found.where("contaminated").select(F.col("doc_id").alias("__row")), "leaks")
+    return rows.join(leaks, "__row", "left_anti").drop("__row").select(*docs.columns)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -25,8 +25,10 @@ others keep their order of lines and all other columns.
 
 Lines are what lies between newlines. Lines of fewer than ``least`` characters (without outer
 white space) are never dropped. Lines are compared by 128-bit hashes, near ones by their text.
-Null texts stay null, empty ones empty. The first place is the least (doc_id, line number); rows
-without an id come last. Repeated rows hold the same places, so they lose the same lines.
+Null texts stay null, empty ones empty. The first place is the least (doc_id, line number), then
+the least hash of the text; rows without an id come last. Rows that repeat both id and text hold
+the same places, so they lose the same lines; different texts of one id, or without one, are
+decided on their own.
 """
 
 from __future__ import annotations
@@ -92,9 +94,13 @@ def bounded_distance(a: str, b: str, most: int) -> int:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of all lines."""
-    return docs.where("text IS NOT NULL").select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """(doc_id, ta, tb, line_no, line) of all lines; ta and tb are hashes of the text."""
+    return docs.where("text IS NOT NULL").select("doc_id", *_text_hashes(F.col("text")), F.posexplode(
+        F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def _text_hashes(text: Column) -> list[Column]:
+    return [h.alias(name) for h, name in zip(_hashes(text), ("ta", "tb"))]
 
 
 def _hashes(line: Column) -> list[Column]:
@@ -350,11 +356,11 @@ def near_lines(docs: DataFrame, edits: int = 2, least: int = 20) -> tuple[DataFr
 
 
 def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "ta", "tb")
 
 
 def _decided(docs: DataFrame, edits: int, least: int, allowed: int) -> DataFrame:
-    """(doc_id, drop): sorted numbers of the lines that each document loses."""
+    """(doc_id, ta, tb, drop): sorted numbers of the lines that each text of an id loses."""
     distinct, links = near_lines(docs, edits, least)
     both = links.union(links.select("ya", "yb", "xa", "xb"))
     near = distinct.select(F.col("ha").alias("ya"), F.col("hb").alias("yb"), "used")
@@ -367,17 +373,25 @@ def _decided(docs: DataFrame, edits: int, least: int, allowed: int) -> DataFrame
         often.join(both.toDF("ha", "hb", "ya", "yb"), ["ha", "hb"]))
     involved, n = counted(around.select(F.col("ya").alias("ha"), F.col("yb").alias("hb")).distinct(),
                           "involved-lines")
-    places = saved(_line_rows(docs).select("doc_id", "line_no", *_hashes(F.col("line"))).join(
+    places = saved(_line_rows(docs).select("doc_id", "ta", "tb", "line_no", *_hashes(F.col("line"))).join(
         small(involved, n), ["ha", "hb"], "left_semi"), "line-places")
     first = places.groupBy(F.col("ha").alias("ya"), F.col("hb").alias("yb")).agg(
         F.min(_place()).alias("first"))
     keep, n = counted(around.join(first, ["ya", "yb"]).groupBy("ha", "hb").agg(
         F.min("first").alias("keep")), "kept-places")
     lost = places.join(small(keep, n), ["ha", "hb"]).where(~_place().eqNullSafe(F.col("keep")))
-    return saved(lost.groupBy("doc_id").agg(
+    return saved(lost.groupBy("doc_id", "ta", "tb").agg(
         F.sort_array(F.collect_set("line_no")).alias("drop")), "lost-lines")
 
 
+def _losses(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """``docs`` and the lines (__drop) that each row loses."""
+    own = lost.select(*[F.col(c).alias("__" + c) for c in ("doc_id", "ta", "tb", "drop")])
+    ta, tb = _hashes(docs["text"])
+    return docs.join(own, docs["doc_id"].eqNullSafe(own["__doc_id"]) & (ta == own["__ta"])
+                     & (tb == own["__tb"]), "left")
+
+
 def _without(text: Column, drop: Column) -> Column:
     kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(drop, i))
     return F.array_join(kept, "\n")
@@ -385,9 +399,7 @@ def _without(text: Column, drop: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, allowed: int = 6) -> DataFrame:
     """``docs``, all columns, without lines used too often; documents left empty by it go."""
-    lost = _decided(docs, edits, least, allowed).select(
-        F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["__doc"]), "left")
+    joined = _losses(docs, _decided(docs, edits, least, allowed))
     text = F.when(F.col("__drop").isNull(), docs["text"]).otherwise(
         _without(docs["text"], F.col("__drop")))
     gone = F.col("__drop").isNotNull() & (F.trim(F.coalesce(F.regexp_replace(
@@ -398,13 +410,11 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, allowed: int =
 
 def line_report(docs: DataFrame, edits: int = 2, least: int = 20, allowed: int = 6) -> DataFrame:
     """A row per document: doc_id, n_lines, n_dropped, text_sha256 (of what stays)."""
-    lost = _decided(docs, edits, least, allowed)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(
-        lost, F.col("id").eqNullSafe(lost["doc_id"]), "left")
-    none = F.col("drop").isNull()
-    kept = F.when(none, F.col("text")).otherwise(_without(F.col("text"), F.col("drop")))
+    rows = _losses(docs.select("doc_id", "text"), _decided(docs, edits, least, allowed))
+    none = F.col("__drop").isNull()
+    kept = F.when(none, F.col("text")).otherwise(_without(F.col("text"), F.col("__drop")))
     return rows.select(
-        F.col("id").alias("doc_id"),
+        "doc_id",
         F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(none, 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"),
+        F.when(none, 0).otherwise(F.size("__drop")).cast("long").alias("n_dropped"),
         F.sha2(kept, 256).alias("text_sha256"))

@@ -160,6 +160,17 @@ def test_lines_used_too_often_keep_their_first_use(spark):
     assert few == {d: t for d, t in data}
 
 
+def test_texts_that_share_an_id_lose_their_own_lines(spark):
+    footer = "please read the whole footer of this page"
+    data = [(i, f"{cases.prose(i, 12)}\n{footer}") for i in range(1, 8)]
+    clean = f"{cases.prose(50, 12)}\n{cases.prose(51, 12)}"
+    data += [(d, t) for d in (9, None) for t in (clean + f" {d}", f"{cases.prose(60, 12)} {d}\n{footer}")]
+    got = {(r.doc_id, r.text) for r in L.dedup_lines(cases.table(spark, data)).collect()}
+    assert got == {(d, t if d == 1 else t.replace("\n" + footer, "")) for d, t in data}
+    dropped = [(r.doc_id, r.n_dropped) for r in L.line_report(cases.table(spark, data)).collect()]
+    assert sorted(n for d, n in dropped if d in (9, None)) == [0, 0, 1, 1]
+
+
 def test_line_dedup_of_awkward_rows(spark):
     assert L.line_report(cases.table(spark)).count() == len(cases.rows())
     assert L.dedup_lines(cases.table(spark)).count() == len(cases.rows())

@@ -58,3 +58,15 @@ def test_pipeline_of_awkward_and_empty_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = saved(stage(spark, docs, SMALL), "test-stage")
         assert docs.count() <= len(data)
+
+
+def test_texts_that_share_an_id_are_decided_on_their_own(spark, tmp_path):
+    item, copy = natural(900), natural(1)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    data = [(1, copy), (5, copy), (5, natural(2)), (6, natural(3)), (6, natural(4) + " " + item),
+            (None, natural(5)), (None, natural(6) + " " + item)]
+    docs = cases.table(spark, data)
+    unique = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert {(r.doc_id, r.text) for r in unique.collect()} == set(data) - {(5, copy)}
+    clean = corpus_pipeline.leak_stage(spark, docs, str(tmp_path))
+    assert {(r.doc_id, r.text) for r in clean.collect()} == {row for row in data if item not in row[1]}
