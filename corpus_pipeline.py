@@ -22,8 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Without lines that are used too often, but for their first use."""
-    return line_dedup.dedup_lines(docs)
+    """Without lines that are used too often, but for their first use.
+
+    Whole copies of documents of one passage stay: the next stage keeps one of them.
+    """
+    return line_dedup.dedup_lines(docs, copies=False)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:

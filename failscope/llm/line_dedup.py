@@ -20,7 +20,8 @@ the substrings at the few places that the number of edits left and right of them
    bit-parallel edit distance, banded by the number of edits.
 
 A line counts as often as it and its near lines are used; where that is more than ``allowed``
-times, only the first of all these places keeps it. Documents that lose all their lines go; the
+times, only the first of all these places keeps it. A line of ``passage`` words or more, or near
+one, may be used once only. Documents that lose all their lines go; the
 others keep their order of lines and all other columns.
 
 Lines are what lies between newlines. Lines of fewer than ``least`` characters (without outer
@@ -47,6 +48,8 @@ from failscope.llm.common import counted, saved, small
 
 #: Pairs of lines under one key beyond which the key is refined instead of paired.
 PAIRS_PER_KEY = 256
+#: Words from which on a line is a passage, of which every further use is lost.
+PASSAGE = 50
 #: Keys (one number each) of a broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -339,14 +342,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         "xa", "xb", "ya", "yb", "x", "y").mapInArrow(run, "xa long, xb long, ya long, yb long")
 
 
-def near_lines(docs: DataFrame, edits: int = 2, least: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (ha, hb, used) and the links (xa, xb, ya, yb) between near ones."""
+def _long(line: Column, passage: int) -> Column:
+    """Whether a line has ``passage`` words or more; those with fewer characters are not split."""
+    return F.when(F.char_length(line) >= 2 * passage - 1, F.size(F.split(
+        F.trim(F.regexp_replace(line, r"\s+", " ")), " ")) >= passage).otherwise(False)
+
+
+def near_lines(docs: DataFrame, edits: int = 2, least: int = 20,
+               passage: int = PASSAGE) -> tuple[DataFrame, DataFrame]:
+    """Distinct lines (ha, hb, used, long) and the links (xa, xb, ya, yb) between near ones."""
     if least < 4 * (edits + 1):
         raise ValueError("lines this short have no segments to share")
     lines = _line_rows(docs).where(F.char_length(F.trim("line")) >= least)
     keyed = lines.select("doc_id", "line_no", "line", *_hashes(F.col("line")))
     distinct = saved(keyed.groupBy("ha", "hb").agg(
-        F.count(F.lit(1)).alias("used")), "distinct-lines")
+        F.count(F.lit(1)).alias("used"), F.max(_long(F.col("line"), passage)).alias("long")), "distinct-lines")
     pairs = saved(candidates(docs, keyed.select("ha", "hb", "line"), edits, least), "line-candidates")
     wanted, n = counted(pairs.select(F.col("xa").alias("ha"), F.col("xb").alias("hb")).union(
         pairs.select("ya", "yb")).distinct(), "candidate-lines")
@@ -359,17 +369,20 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "ta", "tb")
 
 
-def _decided(docs: DataFrame, edits: int, least: int, allowed: int) -> DataFrame:
+def _decided(docs: DataFrame, edits: int, least: int, allowed: int, passage: int,
+             copies: bool = True) -> DataFrame:
     """(doc_id, ta, tb, drop): sorted numbers of the lines that each text of an id loses."""
-    distinct, links = near_lines(docs, edits, least)
+    distinct, links = near_lines(docs, edits, least, passage)
     both = links.union(links.select("ya", "yb", "xa", "xb"))
-    near = distinct.select(F.col("ha").alias("ya"), F.col("hb").alias("yb"), "used")
-    more = both.join(near, ["ya", "yb"]).groupBy(
-        F.col("xa").alias("ha"), F.col("xb").alias("hb")).agg(F.sum("used").alias("more"))
+    near = distinct.select(F.col("ha").alias("ya"), F.col("hb").alias("yb"), "used", F.col("long").alias("near_long"))
+    more = both.join(near, ["ya", "yb"]).groupBy(F.col("xa").alias("ha"), F.col("xb").alias("hb")).agg(
+        F.sum("used").alias("more"), F.max("near_long").alias("near_long"))
+    uses = F.col("used") + F.coalesce("more", F.lit(0))
+    long = F.col("long") | F.coalesce("near_long", F.lit(False))
     often = saved(distinct.join(more, ["ha", "hb"], "left").where(
-        F.col("used") + F.coalesce("more", F.lit(0)) > allowed).select("ha", "hb"), "frequent-lines")
+        (uses > allowed) | (long & (uses > 1))).select("ha", "hb", (uses > allowed).alias("many")), "frequent-lines")
     # each of them with itself and its near lines, and where all of these stand
-    around = often.select("ha", "hb", F.col("ha").alias("ya"), F.col("hb").alias("yb")).union(
+    around = often.select("ha", "hb", "many", F.col("ha").alias("ya"), F.col("hb").alias("yb")).union(
         often.join(both.toDF("ha", "hb", "ya", "yb"), ["ha", "hb"]))
     involved, n = counted(around.select(F.col("ya").alias("ha"), F.col("yb").alias("hb")).distinct(),
                           "involved-lines")
@@ -378,8 +391,12 @@ def _decided(docs: DataFrame, edits: int, least: int, allowed: int) -> DataFrame
     first = places.groupBy(F.col("ha").alias("ya"), F.col("hb").alias("yb")).agg(
         F.min(_place()).alias("first"))
     keep, n = counted(around.join(first, ["ya", "yb"]).groupBy("ha", "hb").agg(
-        F.min("first").alias("keep")), "kept-places")
+        F.min("first").alias("keep"), F.max("many").alias("many")), "kept-places")
     lost = places.join(small(keep, n), ["ha", "hb"]).where(~_place().eqNullSafe(F.col("keep")))
+    if not copies:  # rows whose text is the line alone, as is the text that keeps it
+        copy = (F.col("ta") == F.col("ha")) & (F.col("tb") == F.col("hb")) & (
+            F.col("ta") == F.col("keep.ta")) & (F.col("tb") == F.col("keep.tb"))
+        lost = lost.where(F.col("many") | F.col("doc_id").isNull() | ~copy)
     return saved(lost.groupBy("doc_id", "ta", "tb").agg(
         F.sort_array(F.collect_set("line_no")).alias("drop")), "lost-lines")
 
@@ -397,9 +414,14 @@ def _without(text: Column, drop: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, allowed: int = 6) -> DataFrame:
-    """``docs``, all columns, without lines used too often; documents left empty by it go."""
-    joined = _losses(docs, _decided(docs, edits, least, allowed))
+def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, allowed: int = 6,
+                passage: int = PASSAGE, copies: bool = True) -> DataFrame:
+    """``docs``, all columns, without lines used too often; documents left empty by it go.
+
+    Without ``copies``, exact copies (with an id) of documents that are one passage stay, if the
+    passage is used at most ``allowed`` times: for a near-duplicate stage after this one.
+    """
+    joined = _losses(docs, _decided(docs, edits, least, allowed, passage, copies))
     text = F.when(F.col("__drop").isNull(), docs["text"]).otherwise(
         _without(docs["text"], F.col("__drop")))
     gone = F.col("__drop").isNotNull() & (F.trim(F.coalesce(F.regexp_replace(
@@ -408,9 +430,10 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, allowed: int =
         *[F.col("__text").alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
-def line_report(docs: DataFrame, edits: int = 2, least: int = 20, allowed: int = 6) -> DataFrame:
+def line_report(docs: DataFrame, edits: int = 2, least: int = 20, allowed: int = 6,
+                passage: int = PASSAGE) -> DataFrame:
     """A row per document: doc_id, n_lines, n_dropped, text_sha256 (of what stays)."""
-    rows = _losses(docs.select("doc_id", "text"), _decided(docs, edits, least, allowed))
+    rows = _losses(docs.select("doc_id", "text"), _decided(docs, edits, least, allowed, passage))
     none = F.col("__drop").isNull()
     kept = F.when(none, F.col("text")).otherwise(_without(F.col("text"), F.col("__drop")))
     return rows.select(

@@ -171,6 +171,19 @@ def test_texts_that_share_an_id_lose_their_own_lines(spark):
     assert sorted(n for d, n in dropped if d in (9, None)) == [0, 0, 1, 1]
 
 
+def test_long_passages_keep_only_their_first_use(spark):
+    twice, thrice, six, alone = (cases.prose(i, 60) for i in (70, 71, 72, 73))
+    few = cases.prose(74, 30)
+    data = [(i, "\n".join([cases.prose(i, 12), six, *[few] * (i < 6), *[thrice] * (i < 4), *[twice] * (i < 3)]))
+            for i in range(1, 7)]
+    data += [(7, alone), (8, alone), (9, cases.prose(9, 12) + "\n" + alone + ".")]
+    docs = cases.table(spark, data)
+    want = {1: data[0][1], 7: alone, 9: cases.prose(9, 12)}
+    want |= {i: cases.prose(i, 12) + ("\n" + few if i < 6 else "") for i in range(2, 7)}
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == want
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs, copies=False).collect()} == want | {8: alone}
+
+
 def test_line_dedup_of_awkward_rows(spark):
     assert L.line_report(cases.table(spark)).count() == len(cases.rows())
     assert L.dedup_lines(cases.table(spark)).count() == len(cases.rows())
