@@ -6,8 +6,10 @@ result is joined by hash with the digests of known licence texts and notices. Wh
 is a whole document, and each of its lines and paragraphs as a text of its own, so notices
 inside other text are found; nothing is matched in part or by similarity.
 
-Known texts come as a table (licence, text); ``KNOWN`` holds short public notices in common
-wordings. The known digests are counted and broadcast only below a checked bound; beyond it the
+Known texts come as a table (licence, text). The one given here holds the full texts in the
+folder ``licence_texts`` (named by SPDX id) bare and below their usual titles, the short public
+notices of ``KNOWN``, and an SPDX line for each of ``SPDX_IDS``. Texts that hold none of
+``MARKS`` are left out early if every known text holds one. The known digests are counted and broadcast only below a checked bound; beyond it the
 units' digests (not their texts) are shuffled.
 
 Null, empty and wordless texts have no digest and match nothing. Repeated documents each get
@@ -17,6 +19,8 @@ their rows. Equal paragraphs of a document count once each.
 from __future__ import annotations
 
 import string
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +66,27 @@ KNOWN = [
      "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
 
+#: Licences that a line "SPDX-License-Identifier: ..." names.
+SPDX_IDS = """
+    0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0
+    BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1
+    CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0
+    CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FTL GFDL-1.2-only
+    GFDL-1.2-or-later GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only
+    GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later HPND ICU ISC LGPL-2.0-only LGPL-2.0-or-later
+    LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0+ LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c
+    MIT MIT-0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-2.0 NCSA NIST-PD ODbL-1.0 OFL-1.1
+    OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby Sleepycat UPL-1.0 Unicode-DFS-2016 Unlicense Vim W3C
+    WTFPL X11 Zlib ZPL-2.1""".split()
+#: Lines that often stand above a full text that does not begin with them.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "All rights reserved.", "BSD 2-Clause License\nAll rights reserved."],
+    "BSD-3-Clause": ["BSD 3-Clause License", "All rights reserved.", "BSD 3-Clause License\nAll rights reserved."],
+}
+#: What a canonical text may hold in the midst of a word that no spelling changes.
+MARKS = ("licens", "permission", "redistribution")
+
 #: Words with more than one accepted spelling, and the one that stands for them.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense",
@@ -77,14 +102,16 @@ SPELLINGS = {
     "wilful": "willful", "https": "http",
 }
 
-_COPYRIGHT = r"(?im)^[\s*#/;.-]*(?:copyright\b|\(c\)|©).*$"
+#: Not those that go on in a sentence of a wrapped text ("copyright holders be liable").
+_COPYRIGHT = r"(?im)^[\s*#/;.-]*(?:copyright\b(?!\s+(?:holders?|owners?|notices?|laws?|licen[cs]es?|and|or)\b)|\(c\)|©).*$"
+_QUOTES = "“”«»\"'’‘`"
 _COMMENT = r"(?m)^\s*(?:[*#;%]+|//+|--+|dnl\b|rem\b)"
 
 
 def canonical(text: Column) -> Column:
     """Words of a text as one line: the form whose digest is looked up."""
     kept = F.regexp_replace(F.regexp_replace(text, _COMMENT, " "), _COPYRIGHT, " ")
-    plain = F.lower(F.regexp_replace(kept, r"[“”«»\"'’‘`]", ""))
+    plain = F.lower(F.regexp_replace(kept, f"[{_QUOTES}]", ""))
     words = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
     same = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     return F.array_join(F.transform(
@@ -112,15 +139,30 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def marked(text: Column) -> Column:
+    """Whether the canonical form may hold one of ``MARKS``."""
+    plain = F.lower(F.translate(text, _QUOTES, ""))
+    found = [plain.contains(mark.replace("licens", "licen")) for mark in MARKS]  # licence, license
+    return reduce(Column.__or__, found)
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """Notices, SPDX lines and full texts as (licence, text)."""
+    full = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    titled = [(name, f"{title}\n\n{text}") for name, text in full for title in TITLES.get(name, [])]
+    return KNOWN + [(name, f"SPDX-License-Identifier: {name}") for name in SPDX_IDS] + full + titled
+
+
 def known_table(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(known or KNOWN, "licence string, text string")
+    return spark.createDataFrame(known or known_texts(), "licence string, text string")
 
 
 def known_digests(known: DataFrame) -> DataFrame:
-    """(digest, licence, n_chars): one row per canonical text, the least licence of equal ones."""
+    """(digest, licence, n_chars, marked): a row per canonical text, the least licence of equal ones."""
     forms = known.select("licence", canonical(F.col("text")).alias("form")).where("form != ''")
     return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(
-        F.min("licence").alias("licence"), F.max(F.char_length("form")).alias("n_chars"))
+        F.min("licence").alias("licence"), F.max(F.char_length("form")).alias("n_chars"),
+        F.max(reduce(Column.__or__, [F.col("form").contains(mark) for mark in MARKS])).alias("marked"))
 
 
 def _units(docs: DataFrame) -> DataFrame:
@@ -146,8 +188,11 @@ def licence_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``unit`` is document, paragraph or line, ``at`` its number from 0.
     """
     digests, n = counted(known_digests(known), "licence-digests")
-    longest = digests.agg(F.max("n_chars")).first()[0] or 0
-    units = _units(docs).where(may_match(F.col("text"), longest))
+    longest, all_marked = digests.agg(F.max("n_chars"), F.min("marked")).first()
+    able = may_match(F.col("text"), longest or 0)
+    if all_marked:
+        docs, able = docs.where(marked(F.col("text"))), marked(F.col("text")) & able
+    units = _units(docs).where(able)
     rows = units.select("doc_id", "unit", "at", digest(F.col("text")).alias("digest"))
     return rows.where("digest IS NOT NULL").join(
         small(digests.select("digest", "licence"), n), "digest").select(

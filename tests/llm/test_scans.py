@@ -111,6 +111,19 @@ def test_licences_are_found_as_entire_texts(spark):
     assert L.licence_scan(cases.table(spark, data), known.limit(0)).count() == 0
 
 
+def test_full_licence_texts_are_found(spark):
+    full = {name: text for name, text in L.known_texts() if len(text) > 400}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"} <= set(full)
+    mit = next(text for name, text in L.known_texts() if name == "MIT" and len(text) > 400)
+    wrapped = " ".join(mit.split()).replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")
+    data = [(1, "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + mit), (2, wrapped), (3, full["GPL-3.0"].upper()),
+            (4, "# SPDX-License-Identifier: BSD-2-Clause\ncode"), (5, "a text\n\n" + " ".join(mit.split()) + "\n\nmore"),
+            (6, mit.replace("free of charge", "for a charge"))]
+    got = {r.doc_id: r.licences for r in L.document_licences(cases.table(spark, data), L.known_table(spark)).collect()}
+    # a text of two paragraphs or more is found as a document only; one in one paragraph also as that
+    assert got == {1: ["MIT"], 2: ["MIT"], 3: ["GPL-3.0"], 4: ["BSD-2-Clause"], 5: ["MIT"]}
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_permutations_are_bijections(size):
     p = P.Permutation(b"k", "x", size)
