@@ -60,7 +60,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The remaining documents as pieces, with the scores of the N best segmentations."""
+    """The remaining documents as pieces: the ids and scores of the N best segmentations."""
     return pieces.segmentations(docs)
 
 

@@ -27,6 +27,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -245,19 +246,20 @@ class Encoder:
             if len(chosen) >= self.n - 1 and bounds[at] > chosen[self.n - 2][0]:
                 break
             for k, link in enumerate(solved[at][3]):
-                options = self._alternatives(link) if np.isfinite(self._bound(link)) else []
+                options = self._alternatives(link) if np.isfinite(self._link(link)[2]) else []
                 if len(options) > 1:
                     chosen.append((options[0][0] - options[1][0], at, k, options))
             chosen.sort(key=lambda c: c[:3])
             del chosen[self.n - 1:]
         return sorted((at, k, options) for _, at, k, options in chosen)
 
-    def _bound(self, link: str) -> float:
+    def _link(self, link: str) -> tuple:
+        """(score, raw ids, least bound) of a link."""
         known = self.links.get(link)
         if known is None:
             top, ids, low = self.pieces.best(link)
             known = self.links[link] = (top, array("i", ids).tobytes(), low)
-        return known[2]
+        return known
 
     def encode(self, text: str) -> tuple[float, bytes, list[tuple[float, tuple]]]:
         """Best score, its raw ids, and the n best as (score, ((word, link, option), ...))."""
@@ -279,20 +281,32 @@ class Encoder:
                 heapq.heappush(queue, (loss + options[0][0] - score, at - 1, (p, *picks)))
         return total, raw, found
 
+    def raw(self, text: str, picks: tuple) -> bytes:
+        """Raw ids of one of the n best of ``text``; words without a pick keep their best."""
+        solved = self._solve(text)
+        parts = [w[1] for w in solved]
+        changed: dict[int, dict[int, int]] = {}
+        for word, link, p in picks:
+            changed.setdefault(word, {})[link] = p
+        for word, own in changed.items():
+            parts[word] = b"".join([
+                array("i", self._alternatives(link)[own[k]][1]).tobytes() if k in own else self._link(link)[1]
+                for k, link in enumerate(solved[word][3])])
+        return b"".join(parts)
+
     def ids(self, text: str, picks: tuple) -> list[int]:
         """Ids of one of the n best of ``text``."""
-        changed = {(word, link): p for word, link, p in picks}
-        out: list[int] = []
-        for w, solved in enumerate(self._solve(text)):
-            for k, link in enumerate(solved[3]):
-                p = changed.get((w, k), 0)
-                out += self._alternatives(link)[p][1] if p else self.pieces.best(link)[1]
-        return out
+        return np.frombuffer(self.raw(text, picks), _KIND).tolist()
+
+
+def _text_digest(text: str) -> str:
+    return sha256(text.replace(MARK, " ").encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | None = None,
            n: int = 4) -> DataFrame:
-    """(doc_id, ids, score, n_best) of every document; n_best lists (score, ids), best first."""
+    """(doc_id, ids, score, n_best, text_sha256) of every document; n_best lists (score, ids), best
+    first; the digest is of the text that decoding should give (marks as spaces)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Encoder(Pieces.load(model, folder), n)
@@ -301,16 +315,16 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | No
             for doc, text in zip(batch.column(0), batch.column(1).fill_null("").to_pylist()):
                 score, raw, found = tool.encode(text)
                 ids = np.frombuffer(raw, _KIND)
-                listed = [{"score": s, "ids": tool.ids(text, p) if p else ids.tolist()}
+                listed = [{"score": s, "ids": np.frombuffer(tool.raw(text, p), _KIND) if p else ids}
                           for s, p in found]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([doc.as_py()], pa.int64()), pa.array([ids], pa.list_(pa.int32())),
-                    pa.array([float(score)]), pa.array([listed], best)],
-                    names=["doc_id", "ids", "score", "n_best"])
+                    pa.array([float(score)]), pa.array([listed], best), pa.array([_text_digest(text)])],
+                    names=["doc_id", "ids", "score", "n_best", "text_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, ids array<int>, score double, "
-             "n_best array<struct<score: double, ids: array<int>>>")
+             "n_best array<struct<score: double, ids: array<int>>>, text_sha256 string")
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model",
@@ -329,30 +343,29 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model",
 
 def segmentations(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | None = None,
                   n: int = 4) -> DataFrame:
-    """A row per document, without the ids themselves: doc_id, n_pieces, ids_crc32 (of the best
-    ids as little-endian 32-bit numbers), score, n_best_scores, round_trip.
+    """A row per document: doc_id, n_pieces, ids_crc32 (of the best ids as little-endian 32-bit
+    numbers), score, n_best_scores, n_best_ids (the ids of all of them), round_trip.
 
-    ``round_trip``: decoding the best ids gives the text (with marks as spaces) back.
+    ``round_trip``: decoding each of the encoded rows' lists of ids gives the text (with marks as
+    spaces) back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model, folder)
-        tool = Encoder(pieces, n)
         kinds = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()),
                  ("score", pa.float64()), ("n_best_scores", pa.list_(pa.float64())),
-                 ("round_trip", pa.bool_())]
+                 ("n_best_ids", pa.list_(pa.list_(pa.int32()))), ("round_trip", pa.bool_())]
         for batch in batches:
-            rows = []
-            texts = batch.column(1).fill_null("").to_pylist()
-            for doc, text in zip(batch.column(0).to_pylist(), texts):
-                score, raw, found = tool.encode(text)
-                ids = np.frombuffer(raw, _KIND)
-                rows.append((doc, len(ids), zlib.crc32(raw), score, [s for s, _ in found],
-                             pieces.decode(ids.tolist()) == text.replace(MARK, " ")))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), kinds)],
-                names=[name for name, _ in kinds])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_pieces long, ids_crc32 long, score double, "
-             "n_best_scores array<double>, round_trip boolean")
+            for i in range(batch.num_rows):
+                doc, ids, score, listed, digest = (c[i].as_py() for c in batch.columns)
+                raw = array("i", ids).tobytes()
+                back = all(_text_digest(pieces.decode(x)) == digest
+                           for x in [ids, *[e["ids"] for e in listed if e["ids"] != ids]])
+                row = (doc, len(ids), zlib.crc32(raw), score, [e["score"] for e in listed],
+                       [e["ids"] for e in listed], back)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c], kind) for c, (_, kind) in zip(row, kinds)], names=[name for name, _ in kinds])
+
+    return encode(docs, model, folder, n).mapInArrow(
+        run, "doc_id long, n_pieces long, ids_crc32 long, score double, n_best_scores array<double>, "
+             "n_best_ids array<array<int>>, round_trip boolean")

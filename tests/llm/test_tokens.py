@@ -153,3 +153,14 @@ def test_encode_and_decode_round_trip(spark):
         (1, "the cat\nsat"), (2, ""), (3, "日本 x")}
     row = encoded.where("doc_id = 1").first()
     assert row.n_best[0].ids == row.ids and row.n_best[0].score == row.score and len(row.n_best) == 3
+
+
+def test_segmentations_hold_the_ids_of_all_of_the_n_best(spark):
+    docs = cases.table(spark, [(1, cases.prose(1, 40)), (2, "É é Σίγμα 日本 ▁ a"), (3, None), (4, cases.prose(4, 3_000))])
+    rows = {r.doc_id: r for r in P.segmentations(docs).collect()}
+    want = {r.doc_id: r for r in P.encode(docs).collect()}
+    for doc, row in rows.items():
+        assert row.n_best_ids == [list(e.ids) for e in want[doc].n_best] and row.round_trip
+        assert len({tuple(x) for x in row.n_best_ids}) == len(row.n_best_scores) and row.n_best_ids[0] == want[doc].ids
+    assert len(rows[1].n_best_ids) == len(rows[4].n_best_ids) == 4
+    assert all(P.Pieces.load("piece_bpe_32k.model", None).decode(x) == cases.prose(1, 40) for x in rows[1].n_best_ids)
