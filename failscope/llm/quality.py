@@ -43,7 +43,8 @@ STOP_WORDS = frozenset(
 LABELLERS = ("repeats", "symbols", "capitals", "columns", "exclaims", "stop_words", "letters",
              "plain")
 BUCKETS = 4_096
-#: Shorter texts show nothing: no labeller votes on them, and their score is the prior.
+#: Shorter texts show less: their shares are smoothed by length, clean ones get votes for stop words
+#: only, and their score lies between what the label model and what the scorer say.
 LEAST_WORDS = 8
 CACHED_WORDS = 200_000
 _RUN = re.compile(r"([^\W\d_]+)|(\d+)|(.)\3*", re.S)
@@ -124,6 +125,13 @@ def measures(shapes: WordShapes, text: str) -> tuple[np.ndarray, np.ndarray, np.
         votes[6] = 1 if share >= 0.85 else 0 if share < 0.7 else -1
         votes[7] = 1 if all(value <= few for value, few, _ in signs) else (
             0 if any(value > most for value, _, most in signs) else -1)
+    else:
+        weight = n / LEAST_WORDS
+        for i, (value, _, most) in enumerate(signs):
+            votes[i] = 0 if weight * value > most else -1
+        votes[5] = 1 if weight * stops >= 0.1 * n else -1
+        votes[6] = 0 if weight * share + (1 - weight) < 0.7 else -1
+        votes[7] = 0 if any(vote == 0 for vote in votes[:5]) else -1
     weights = np.bincount(table[:, 0].astype(np.int64), counts, minlength=BUCKETS)
     weights[0] += repeats * n
     buckets = np.flatnonzero(weights)
@@ -219,9 +227,12 @@ class QualityModel:
         votes, buckets, values = measures(shapes, text)
         if not len(buckets):
             return 0.0, _pattern(votes)
-        if len(text.split(None, LEAST_WORDS)) < LEAST_WORDS:
-            return self.labels.high, _pattern(votes)
         z = float(values @ self.weights[buckets]) + self.bias
+        n = len(text.split(None, LEAST_WORDS))
+        if n < LEAST_WORDS:
+            told = float(self.labels.posterior(votes[None, :].astype(int))[0])
+            told = min(max(told, 1e-6), 1 - 1e-6)
+            z = z * n / LEAST_WORDS + float(np.log(told / (1 - told))) * (1 - n / LEAST_WORDS)
         return float(1 / (1 + np.exp(-z))), _pattern(votes)
 
 

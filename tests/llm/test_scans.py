@@ -83,6 +83,16 @@ def test_quality_of_awkward_rows(spark):
     assert Q.quality(docs, Q.fit(cases.table(spark, [(1, None)]))).count() == len(cases.rows())
 
 
+def test_quality_tells_short_junk_from_short_text(spark):
+    data = [(i, natural(i)) for i in range(80)] + [(100 + i, junk(i)) for i in range(20)]
+    bad = ["ndtion. | Erndnd | thndonea. |", "| x | y | 12 |", "BUY NOW!!! FREE!!! CLICK!!!", "$$$ ### @@@ %%%"]
+    good = ["short one", "The cat sat on the mat.", "a walk in the park"]
+    data += [(200 + i, t) for i, t in enumerate(bad)] + [(300 + i, t) for i, t in enumerate(good)]
+    docs = cases.table(spark, data)
+    got = {r.doc_id: r.kept for r in Q.quality(docs, Q.fit(docs)).collect()}
+    assert not any(got[200 + i] for i in range(len(bad))) and all(got[300 + i] for i in range(len(good)))
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.8
