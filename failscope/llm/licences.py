@@ -176,7 +176,7 @@ def _units(docs: DataFrame) -> DataFrame:
     has_lines = F.instr("text", "\n") > 0
     none = F.array().cast("array<struct<unit: string, at: int, text: string>>")
     units = F.concat(
-        whole, F.when(F.instr("text", "\n\n") > 0, parts("paragraph", r"\n\s*\n")).otherwise(none),
+        whole, F.when(F.col("text").rlike(r"\n\s*\n"), parts("paragraph", r"\n\s*\n")).otherwise(none),
         F.when(has_lines, parts("line", "\n")).otherwise(none))
     return docs.where("text IS NOT NULL").select("doc_id", F.explode(units).alias("u")).select(
         "doc_id", "u.*")

@@ -121,6 +121,14 @@ def test_licences_are_found_as_entire_texts(spark):
     assert L.licence_scan(cases.table(spark, data), known.limit(0)).count() == 0
 
 
+def test_paragraphs_part_at_any_blank_line(spark):
+    notice = next(text for name, text in L.KNOWN if name == "MPL-2.0").replace(". If", ".\nIf")
+    data = [(1, f"A text.\n\n{notice}\n\nMore."), (2, f"A text.\n\n{notice}\n\nMore.".replace("\n", "\r\n")),
+            (3, f"A text.\n \t\n{notice}\n  \nMore."), (4, f"A text.\n{notice}\nMore.")]
+    got = {(r.doc_id, r.unit, r.at, r.licence) for r in L.licence_scan(cases.table(spark, data), L.known_table(spark)).collect()}
+    assert got == {(i, "paragraph", 1, "MPL-2.0") for i in (1, 2, 3)}
+
+
 def test_full_licence_texts_are_found(spark):
     full = {name: text for name, text in L.known_texts() if len(text) > 400}
     assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"} <= set(full)
