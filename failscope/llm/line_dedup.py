@@ -415,7 +415,7 @@ def _without(text: Column, drop: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, allowed: int = 6,
-                passage: int = PASSAGE, copies: bool = True) -> DataFrame:
+                passage: int = PASSAGE, copies: bool = False) -> DataFrame:
     """``docs``, all columns, without lines used too often; documents left empty by it go.
 
     Without ``copies``, exact copies (with an id) of documents that are one passage stay, if the

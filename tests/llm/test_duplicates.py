@@ -180,8 +180,9 @@ def test_long_passages_keep_only_their_first_use(spark):
     docs = cases.table(spark, data)
     want = {1: data[0][1], 7: alone, 9: cases.prose(9, 12)}
     want |= {i: cases.prose(i, 12) + ("\n" + few if i < 6 else "") for i in range(2, 7)}
-    assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == want
-    assert {r.doc_id: r.text for r in L.dedup_lines(docs, copies=False).collect()} == want | {8: alone}
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs, copies=True).collect()} == want
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == want | {8: alone}
+    assert {r.doc_id for r in L.line_report(docs).collect() if r.n_dropped} == {2, 3, 4, 5, 6, 8, 9}
 
 
 def test_line_dedup_of_awkward_rows(spark):
