@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from failscope.llm.common import table
 from failscope.llm.decontaminate import decontaminate
 from failscope.llm.exact_search import exact_top_k
+from failscope.llm.hard_negatives import hard_negatives
 from failscope.llm.licences import document_licences, known_table
 from failscope.llm.line_dedup import line_report
 from failscope.llm.near_duplicates import near_duplicates
@@ -111,6 +113,31 @@ def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return findings(table(spark, folder, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of rows whose vec_id is divisible by 7 are moved on by one first."""
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved)).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+OP13_SQL = """
+WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, coalesce(CAST(list_sum(list_transform(
+  range(1, least(len(a.v), len(c.v)) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT), 0) AS score
+  FROM u a JOIN u c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (
+  PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3"""
+
+
 QUERIES = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_token_files": op2_token_files,
@@ -122,10 +149,12 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pseudonyms": op10_pseudonyms,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
     "op6_decontaminate": OP6_SQL,
     "op7_exact_top_k": OP7_SQL,
     "op9_near_duplicates": OP9_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
