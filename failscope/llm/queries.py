@@ -15,6 +15,7 @@ from failscope.llm.near_duplicates import near_duplicates
 from failscope.llm.pieces import segmentations
 from failscope.llm.pseudonyms import findings
 from failscope.llm.quality import fit, quality
+from failscope.llm.simhash import simhash_duplicates
 from failscope.llm.token_counts import token_counts
 from failscope.llm.token_files import token_files
 
@@ -113,6 +114,10 @@ def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return findings(table(spark, folder, "documents"))
 
 
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_duplicates(table(spark, folder, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of rows whose vec_id is divisible by 7 are moved on by one first."""
     rows = table(spark, folder, "embeddings")
@@ -149,6 +154,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pseudonyms": op10_pseudonyms,
+    "op12_simhash": op12_simhash,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
