@@ -11,6 +11,7 @@ from failscope.llm.exact_search import exact_top_k
 from failscope.llm.hard_negatives import hard_negatives
 from failscope.llm.licences import document_licences, known_table
 from failscope.llm.line_dedup import line_report
+from failscope.llm.merkle import manifest, verify
 from failscope.llm.near_duplicates import near_duplicates
 from failscope.llm.pieces import segmentations
 from failscope.llm.pseudonyms import findings
@@ -114,6 +115,53 @@ def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return findings(table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Tampered are the texts of a third of the rows: their A-Z are lower-cased."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", UPPER, LOWER))
+    return verify(manifest(table(spark, folder, "documents"), tampered))
+
+
+def _sql_leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(
+        f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+# crc: each byte is followed by eight shifts, written as -1
+OP11_SQL = f"""
+WITH RECURSIVE c AS (SELECT *, coalesce('+' || lang, '') AS b, xor(list_reduce(list_concat([4294967295], flatten(
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ord(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, (r & 1) * 3988292384) END), 4294967295) AS crc
+  FROM documents),
+d AS (SELECT doc_id, b, {_sql_leaf('text')} AS leaf, CASE WHEN crc % 3 = 0
+    THEN {_sql_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS changed FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY b) AS size FROM d),
+n AS (SELECT 0 AS level, b, place AS pos, leaf AS digest, size FROM p
+  UNION ALL SELECT level + 1, b, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (size + 7) // 8
+  FROM n WHERE size > 1 GROUP BY level, b, pos // 8, size),
+s AS (SELECT b, digest AS subroot, row_number() OVER (ORDER BY b) - 1 AS place, count(*) OVER () AS size
+  FROM n WHERE size = 1),
+m AS (SELECT 0 AS level, place AS pos, subroot AS digest, size FROM s
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (size + 7) // 8
+  FROM m WHERE size > 1 GROUP BY level, pos // 8, size),
+near AS (SELECT 'branch' AS kind, * FROM n WHERE size > 1 UNION ALL SELECT 'top', level, '', pos, digest, size FROM m WHERE size > 1),
+sib AS (SELECT kind, level, b, pos,
+  coalesce(string_agg(digest, '') OVER (PARTITION BY kind, level, b, pos // 8 ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(digest, '') OVER (PARTITION BY kind, level, b, pos // 8 ORDER BY pos
+    ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM near),
+w AS (SELECT doc_id, b, place, leaf, 0 AS level, place AS pos, '' AS proof, coalesce(changed, leaf) AS top FROM p
+  UNION ALL SELECT doc_id, w.b, place, leaf, w.level + 1, w.pos // 8, proof || l || r, sha256(l || top || r)
+  FROM w JOIN sib ON kind = 'branch' AND sib.b = w.b AND sib.level = w.level AND sib.pos = w.pos),
+up AS (SELECT doc_id, w.b, w.place, leaf, subroot, s.place AS up_place, 0 AS level, s.place AS pos, proof, top
+  FROM w JOIN s ON s.b = w.b WHERE w.level = (SELECT max(level) FROM n WHERE n.b = w.b)
+  UNION ALL SELECT doc_id, up.b, place, leaf, subroot, up_place, up.level + 1, up.pos // 8, proof || l || r, sha256(l || top || r)
+  FROM up JOIN sib ON kind = 'top' AND sib.level = up.level AND sib.pos = up.pos)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, top AS folded_root, top = root AS verified
+FROM up, (SELECT level AS height, digest AS root FROM m WHERE size = 1) WHERE level = height"""
+
+
 def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_duplicates(table(spark, folder, "documents"))
 
@@ -154,6 +202,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_simhash": op12_simhash,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -162,5 +211,6 @@ ORACLES = {
     "op6_decontaminate": OP6_SQL,
     "op7_exact_top_k": OP7_SQL,
     "op9_near_duplicates": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
