@@ -10,7 +10,8 @@ vocabulary are byte pieces, each at ``BYTE_COST`` below the worst piece.
 
 No piece crosses a place whose two characters stand side by side in no piece. Texts are cut
 there, so the lattice is a chain of small ones, each distinct one solved once while it is
-cached (caches are cleared at a fixed size, which only costs time). The N best of a text
+cached (caches are cleared at a fixed size, which only costs time). The forward passes of new
+ones of equal length run side by side, over a trie of the pieces with exact keys. The N best of a text
 differ from its best in few links of that chain: only the N - 1 links with the least loss can
 take part. The forward pass bounds every link's loss from below, so A* runs for links in the
 order of that bound until N - 1 exact losses are known to be least, and one more A* over
@@ -25,12 +26,13 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import cache, cached_property
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,16 @@ from failscope.llm.common import tokenizer_path
 
 MARK = "▁"
 BYTE_COST = 10.0
-CACHED = 300_000
+#: Words and links at which the caches begin anew.
+CACHED = 250_000
+#: Characters of texts that are solved together; a longer text is a block of its own.
+BLOCK_CHARS = 1 << 19
+#: Links beyond this length are solved one by one; characters of links that are solved together.
+LONGEST, TOGETHER = 40, 1 << 15
+#: Lists that are decoded together.
+_ROWS = 256
 _KIND = "<i4"
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -59,9 +69,39 @@ class Pieces:
             piece[:n]: None for piece in self.score for n in range(1, len(piece))}
         self.table.update({piece: (score, (at,)) for piece, score, at in scored})
         self.joined = {piece[i: i + 2] for piece in self.score for i in range(len(piece) - 1)}
+        self.pairs = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in self.joined], np.int64))
+        self._trie()
         inner = {pair for pair in self.joined if pair[1] == MARK and pair[0] != MARK}
         self.spaced = not inner  # no piece goes on behind a space that follows another character
 
+    def _trie(self) -> None:
+        """The table's strings as nodes; (node, character) -> node in an open table, exact keys."""
+        ordered = sorted(self.table, key=len)
+        node = {"": 0} | {text: i for i, text in enumerate(ordered, 1)}
+        known = [self.table[text] for text in ordered]
+        self.gain = np.array([-np.inf, *[k[0] if k else -np.inf for k in known]])
+        self.piece = np.array([0, *[k[1][0] if k else 0 for k in known]], np.int32)
+        key = np.array([node[t[:-1]] << 21 | ord(t[-1]) for t in ordered], np.int64)
+        bits = max(10, (8 * len(key)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slot = (key.view(np.uint64) * _FACTOR >> self.shift).view(np.int64)
+        size = (1 << bits) + len(key) + 1
+        self.keys, self.children = np.full(size, -1), np.zeros(size, np.int64)
+        left, probes = np.arange(len(key)), 0
+        while len(left):  # all that want a free slot: the first of them gets it, the others try the next
+            at = slot[left] + probes
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.keys[at[taken]] = key[left[taken]]
+            self.children[at[taken]] = left[taken] + 1
+            left, probes = np.delete(left, taken), probes + 1
+        #: Nodes of single characters; the last entry, of no piece, is for characters beyond.
+        self.first = np.zeros(max(map(ord, (t for t in ordered if len(t) == 1)), default=0) + 2, np.int64)
+        for text in ordered:
+            if len(text) == 1:
+                self.first[ord(text)] = node[text]
+
     @classmethod
     def load(cls, name: str, folder: str | None = None) -> Pieces:
         import sentencepiece
@@ -88,6 +128,96 @@ class Pieces:
             return [marked] if marked else []
         return [marked[i:j] for i, j in zip([0, *cuts], [*cuts, len(marked)])]
 
+    def links_of(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The links of many words, one after another, and the place of each word's first."""
+        text = "".join(words)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        begins = np.cumsum([0, *map(len, words)])
+        cut = np.ones(len(codes) + 1, bool)
+        pairs = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
+        cut[1:-1] = self.pairs[at] != pairs if len(self.pairs) else True
+        cut[begins] = True
+        places = np.flatnonzero(cut)
+        first = np.searchsorted(places, begins[:-1])
+        places = places.tolist()
+        return first, [text[i:j] for i, j in zip(places, places[1:])]
+
+    def _next(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Nodes of the trie after one more character; -1 where no piece goes on so."""
+        key = state << 21 | codes
+        slot = (key.view(np.uint64) * _FACTOR >> self.shift).view(np.int64)
+        there = self.keys[slot]
+        hit, rows = there == key, np.arange(len(key))
+        child = np.where(hit, self.children[slot], -1)
+        other = np.flatnonzero((there >= 0) & ~hit)  # an empty place ends the search
+        while len(other):
+            slot = slot[other] + 1
+            key, there = key[other], self.keys[slot]
+            hit = there == key
+            rows = rows[other]
+            child[rows[hit]] = self.children[slot[hit]]
+            other = np.flatnonzero((there >= 0) & ~hit)
+        return child
+
+    def best_many(self, links: list[str]) -> Iterator[tuple]:
+        """``best`` of many links at once: (links, scores, bounds, numbers of ids, ids) in parts."""
+        by_size: dict[int, list[str]] = {}
+        for link in links:
+            by_size.setdefault(len(link), []).append(link)
+        for size, same in sorted(by_size.items()):
+            rows = 1 if size > LONGEST else max(1, TOGETHER // size)
+            for at in range(0, len(same), rows):
+                part = same[at: at + rows]
+                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+                codes = codes.reshape(len(part), size)
+                alone = self.first[np.minimum(codes, len(self.first) - 1)]
+                plain = np.isfinite(self.gain[alone]).all(axis=1)
+                if size > LONGEST:
+                    plain[:] = False
+                for i in np.flatnonzero(~plain).tolist():  # bytes in it, or long: one by one
+                    top, ids, low = self.best(part[i])
+                    yield [part[i]], np.array([top]), np.array([low]), np.array([len(ids)]), np.array(ids, np.int32)
+                if plain.any():
+                    yield [part[i] for i in np.flatnonzero(plain).tolist()], *self._viterbi(codes[plain])
+
+    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The forward pass over links of equal length, all characters pieces."""
+        m, n = codes.shape
+        best, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        back, piece = np.zeros((n + 1, m), np.int64), np.zeros((n + 1, m), np.int32)
+        best[0] = 0.0
+        for i in range(n):
+            rows, state = np.arange(m), self.first[codes[:, i]]
+            for j in range(i + 1, n + 1):
+                if j > i + 1:
+                    state = self._next(state, codes[rows, j - 1])
+                    alive = np.flatnonzero(state >= 0)
+                    if len(alive) < len(rows):
+                        rows, state = rows[alive], state[alive]
+                    if not len(rows):
+                        break
+                gain = self.gain[state]
+                whole = np.flatnonzero(gain > -np.inf)
+                if len(whole) < len(rows):
+                    r, gain = rows[whole], gain[whole]
+                else:
+                    r = rows
+                value, old = best[i, r] + gain, best[j, r]
+                second[j, r] = np.maximum(second[j, r], np.minimum(old, value))
+                best[j, r] = np.maximum(old, value)
+                up = np.flatnonzero(value > old)
+                back[j, r[up]] = i
+                piece[j, r[up]] = self.piece[state[whole[up]]]
+        ids, count = np.zeros((m, n), np.int32), np.zeros(m, np.int64)
+        rows, at = np.arange(m), np.full(m, n)
+        while len(rows):
+            count[rows] += 1
+            ids[rows, n - count[rows]] = piece[at, rows]
+            at = back[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        return best[n], (best[1:] - second[1:]).min(axis=0), count, ids[np.arange(n) >= n - count[:, None]]
+
     def spelled(self, char: str) -> tuple[float, tuple[int, ...]] | None:
         """A character that is no piece, by its bytes."""
         raw = char.encode("utf-8", "surrogatepass")
@@ -186,144 +316,240 @@ class Pieces:
         text = text.replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
+    @cached_property
+    def spelling(self) -> tuple[pa.Array, np.ndarray]:
+        """The bytes of each id, marks as spaces, and which ids are bytes beyond ASCII."""
+        last = max([*self.text, *self.byte_of], default=-1)
+        raw = [self.text[at].replace(MARK, " ").encode("utf-8", "surrogatepass") if at in self.text
+               else bytes([self.byte_of[at]]) if at in self.byte_of else None for at in range(last + 1)]
+        high = np.array([at not in self.text and self.byte_of.get(at, 0) > 127 for at in range(last + 1)], bool)
+        return pa.array(raw, pa.binary()), high
+
+    def texts(self, lists: pa.ListArray) -> Iterator[bytes]:
+        """``decode`` of a column of lists, in UTF-8; a null list is an empty text."""
+        raw, high = self.spelling
+        if lists.null_count:
+            lists = pa.array([x or [] for x in lists.to_pylist()], lists.type)
+        for at in range(0, len(lists), _ROWS):
+            part = lists.slice(at, _ROWS)
+            flat, sizes = part.flatten(), part.value_lengths().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            bytes_before = np.concatenate([[0], np.cumsum(high[flat.to_numpy(zero_copy_only=False)])])
+            joined = pc.binary_join(pa.ListArray.from_arrays(
+                pa.array(ends.astype(np.int32)), raw.take(flat)), b"").to_pylist()
+            for i, text in enumerate(joined):
+                if bytes_before[ends[i + 1]] > bytes_before[ends[i]]:
+                    ids = flat.slice(int(ends[i]), int(sizes[i])).to_pylist()
+                    yield self.decode(ids).encode("utf-8", "surrogatepass")
+                else:
+                    yield text[1:] if self.dummy_prefix and text.startswith(b" ") else text
+
+
+class _Grown:
+    """A numpy column that grows."""
+
+    def __init__(self, kind) -> None:
+        self.data, self.n = np.empty(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.data):
+            bigger = np.empty(2 * need, self.data.dtype)
+            bigger[: self.n] = self.data[: self.n]
+            self.data = bigger
+        self.data[self.n: need] = values
+        self.n = need
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each (start, count), one after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
 
 class Encoder:
-    """Whole texts by cached links."""
+    """Whole texts by cached links; new links of many texts are solved together."""
 
     def __init__(self, pieces: Pieces, n: int) -> None:
         self.pieces, self.n = pieces, n
-        self.words: dict[str, tuple] = {}
-        self.links: dict[str, tuple] = {}
-        self.lists: dict[str, list] = {}
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if pieces.spaced else None
-
-    def _word(self, word: str) -> tuple:
-        """(score, raw ids, least bound, links) of a stretch between hard places."""
-        score, raw, bound = 0.0, [], np.inf
-        parts = self.pieces.links(word)
-        for link in parts:
-            known = self.links.get(link)
-            if known is None:
-                if len(self.links) >= CACHED:
-                    self.links.clear()
-                top, ids, low = self.pieces.best(link)
-                known = self.links[link] = (top, array("i", ids).tobytes(), low)
-            score += known[0]
-            raw.append(known[1])
-            bound = min(bound, known[2])
-        return score, b"".join(raw), bound, parts
-
-    def _solve(self, text: str) -> list[tuple]:
-        marked = self.pieces.normalise(text)
-        words = self.cut.findall(marked) if self.cut else [marked]
-        cache = self.words
-        try:
-            return [cache[w] for w in words]
-        except KeyError:
-            if len(cache) >= CACHED:
-                cache.clear()
-        for w in words:
-            if w not in cache:
-                cache[w] = self._word(w)
-        return [cache[w] for w in words]
-
-    def _alternatives(self, link: str) -> list[tuple[float, tuple[int, ...]]]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.word_start, self.word_links = _Grown(np.int64), _Grown(np.int64)
+        self.parts = _Grown(np.int64)  # the links of all words
+        self.links: dict[str, int] = {}
+        self.names: list[str] = []
+        self.score, self.bound = _Grown(float), _Grown(float)
+        self.start, self.size, self.ids_of = _Grown(np.int64), _Grown(np.int64), _Grown(np.int32)
+        self.lists: dict[int, list] = {}
+
+    def _learn_links(self, new: list[str]) -> None:
+        for names, score, bound, sizes, ids in self.pieces.best_many(new):
+            for name in names:
+                self.links[name] = len(self.names)
+                self.names.append(name)
+            self.start.add(self.ids_of.n + np.cumsum(sizes) - sizes)
+            for column, values in ((self.score, score), (self.bound, bound), (self.size, sizes), (self.ids_of, ids)):
+                column.add(values)
+
+    def _learn(self, words: list[str]) -> None:
+        first, parts = self.pieces.links_of(words)
+        known = self.links
+        self._learn_links(list({link for link in parts if link not in known}))
+        counts = np.diff(np.append(first, len(parts)))
+        self.word_start.add(self.parts.n + first)
+        self.word_links.add(counts)
+        self.parts.add(np.fromiter((known[link] for link in parts), np.int64, len(parts)))
+        for word in words:
+            self.words[word] = len(self.words)
+
+    def solve(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's links. They hold until the next call."""
+        if len(self.words) > CACHED or len(self.names) > CACHED:
+            self._forget()
+        marked = [self.pieces.normalise(t) for t in texts]
+        words = [self.cut.findall(m) if self.cut else [m] * bool(m) for m in marked]
+        known = self.words
+        new = {w for ws in words for w in ws if w not in known}
+        if new:
+            self._learn(sorted(new))
+        out = []
+        for ws in words:
+            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+            out.append(self.parts.data[_ranges(self.word_start.data[at], self.word_links.data[at])])
+        return out
+
+    def _alternatives(self, link: int) -> list[tuple[float, tuple[int, ...]]]:
         known = self.lists.get(link)
         if known is None:
             if len(self.lists) >= CACHED // 10:
                 self.lists.clear()
-            known = self.lists[link] = self.pieces.n_best(link, self.n)
+            known = self.lists[link] = self.pieces.n_best(self.names[link], self.n)
         return known
 
-    def _least(self, solved: list[tuple]) -> list[tuple[int, int, list]]:
-        """The links that can take part: (word, link, alternatives), at most n - 1."""
-        bounds = np.fromiter((w[2] for w in solved), float, len(solved))
-        order = np.argsort(bounds, kind="stable")
-        chosen: list[tuple[float, int, int, list]] = []
-        for at in order.tolist():
-            if not np.isfinite(bounds[at]):
-                break
+    def _least(self, links: np.ndarray) -> list[tuple[int, list]]:
+        """The links that can take part: (place, alternatives), at most n - 1."""
+        bounds = self.bound.data[links]
+        places = np.flatnonzero(np.isfinite(bounds))
+        chosen: list[tuple[float, int, list]] = []
+        for at in places[np.argsort(bounds[places], kind="stable")].tolist():
             if len(chosen) >= self.n - 1 and bounds[at] > chosen[self.n - 2][0]:
                 break
-            for k, link in enumerate(solved[at][3]):
-                options = self._alternatives(link) if np.isfinite(self._link(link)[2]) else []
-                if len(options) > 1:
-                    chosen.append((options[0][0] - options[1][0], at, k, options))
-            chosen.sort(key=lambda c: c[:3])
-            del chosen[self.n - 1:]
-        return sorted((at, k, options) for _, at, k, options in chosen)
-
-    def _link(self, link: str) -> tuple:
-        """(score, raw ids, least bound) of a link."""
-        known = self.links.get(link)
-        if known is None:
-            top, ids, low = self.pieces.best(link)
-            known = self.links[link] = (top, array("i", ids).tobytes(), low)
-        return known
-
-    def encode(self, text: str) -> tuple[float, bytes, list[tuple[float, tuple]]]:
-        """Best score, its raw ids, and the n best as (score, ((word, link, option), ...))."""
-        solved = self._solve(text)
-        total = sum(w[0] for w in solved)
-        raw = b"".join([w[1] for w in solved])
-        places = self._least(solved) if self.n > 1 else []
+            options = self._alternatives(int(links[at]))
+            if len(options) > 1:
+                chosen.append((options[0][0] - options[1][0], at, options))
+                chosen.sort(key=lambda c: c[:2])
+                del chosen[self.n - 1:]
+        return sorted((at, options) for _, at, options in chosen)
+
+    def listed(self, links: np.ndarray) -> tuple[float, list[tuple[float, tuple]]]:
+        """Best score, and the n best as (score, ((place of a link, option), ...))."""
+        total = float(self.score.data[links].sum())
+        places = self._least(links) if self.n > 1 else []
         # A* over the chain of the chosen links, backward; a link's best is its heuristic
         queue: list[tuple] = [(0.0, len(places), ())]
         found: list[tuple[float, tuple]] = []
         while queue and len(found) < self.n:
             loss, at, picks = heapq.heappop(queue)
             if at == 0:
-                found.append((total - loss, tuple(
-                    (places[i][0], places[i][1], p) for i, p in enumerate(picks) if p)))
+                found.append((total - loss, tuple((places[i][0], p) for i, p in enumerate(picks) if p)))
                 continue
-            options = places[at - 1][2]
+            options = places[at - 1][1]
             for p, (score, _) in enumerate(options):
                 heapq.heappush(queue, (loss + options[0][0] - score, at - 1, (p, *picks)))
-        return total, raw, found
-
-    def raw(self, text: str, picks: tuple) -> bytes:
-        """Raw ids of one of the n best of ``text``; words without a pick keep their best."""
-        solved = self._solve(text)
-        parts = [w[1] for w in solved]
-        changed: dict[int, dict[int, int]] = {}
-        for word, link, p in picks:
-            changed.setdefault(word, {})[link] = p
-        for word, own in changed.items():
-            parts[word] = b"".join([
-                array("i", self._alternatives(link)[own[k]][1]).tobytes() if k in own else self._link(link)[1]
-                for k, link in enumerate(solved[word][3])])
-        return b"".join(parts)
+        return total, found
+
+    def spelled(self, links: np.ndarray, picks: list[tuple]) -> list[np.ndarray]:
+        """Ids of some of the n best, by their picks; links without one keep their best."""
+        sizes = self.size.data[links]
+        best = self.ids_of.data[_ranges(self.start.data[links], sizes)]
+        ends = np.cumsum(sizes)
+        out = []
+        for chosen in picks:
+            pieces, at = [], 0
+            for place, option in chosen:
+                end = int(ends[place])
+                pieces += [best[at: end - int(sizes[place])],
+                           np.array(self._alternatives(int(links[place]))[option][1], np.int32)]
+                at = end
+            out.append(np.concatenate([*pieces, best[at:]]) if pieces else best)
+        return out
+
+    def encode(self, text: str) -> tuple[float, bytes, list[tuple[float, tuple]]]:
+        """Best score, its raw ids, and the n best as (score, picks) of one text."""
+        links = self.solve([text])[0]
+        total, found = self.listed(links)
+        return total, self.spelled(links, [()])[0].tobytes(), found
 
     def ids(self, text: str, picks: tuple) -> list[int]:
         """Ids of one of the n best of ``text``."""
-        return np.frombuffer(self.raw(text, picks), _KIND).tolist()
+        return self.spelled(self.solve([text])[0], [picks])[0].tolist()
+
+
+@cache
+def _pieces(model: str, folder: str | None) -> Pieces:
+    return Pieces.load(model, folder)
+
+
+@cache
+def _encoder(model: str, folder: str | None, n: int) -> Encoder:
+    """One for each worker process; its caches have a fixed size."""
+    return Encoder(_pieces(model, folder), n)
 
 
 def _text_digest(text: str) -> str:
     return sha256(text.replace(MARK, " ").encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about ``BLOCK_CHARS`` characters; a longer text is one of its own."""
+    at = 0
+    while at < len(texts):
+        to, chars = at + 1, len(texts[at])
+        while to < len(texts) and chars + len(texts[to]) <= BLOCK_CHARS:
+            chars, to = chars + len(texts[to]), to + 1
+        yield at, to
+        at = to
+
+
+def _lists(arrays: list[np.ndarray], kind=np.int32) -> pa.ListArray:
+    """A list column of numpy arrays."""
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.empty(0, kind)])))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], model: str, folder: str | None, n: int) -> Iterator[pa.RecordBatch]:
+    """``encode`` of batches of (doc_id, text), a block of texts at a time."""
+    tool = _encoder(model, folder, n)
+    for batch in batches:
+        texts = batch.column(1).fill_null("").to_pylist()
+        for at, to in _blocks(texts):
+            scores, counts, best, listed, values = [], [], [], [], []
+            for links in tool.solve(texts[at:to]):
+                total, found = tool.listed(links)
+                spelled = tool.spelled(links, [picks for _, picks in found])
+                scores.append(total)
+                best.append(spelled[0])
+                counts.append(len(found))
+                listed += spelled
+                values += [float(score) for score, _ in found]
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            n_best = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(
+                [pa.array(values, pa.float64()), _lists(listed)], names=["score", "ids"]))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(at, to - at), _lists(best), pa.array(scores, pa.float64()), n_best,
+                pa.array([_text_digest(t) for t in texts[at:to]])],
+                names=["doc_id", "ids", "score", "n_best", "text_sha256"])
+
+
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | None = None,
            n: int = 4) -> DataFrame:
     """(doc_id, ids, score, n_best, text_sha256) of every document; n_best lists (score, ids), best
     first; the digest is of the text that decoding should give (marks as spaces)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Encoder(Pieces.load(model, folder), n)
-        best = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1).fill_null("").to_pylist()):
-                score, raw, found = tool.encode(text)
-                ids = np.frombuffer(raw, _KIND)
-                listed = [{"score": s, "ids": np.frombuffer(tool.raw(text, p), _KIND) if p else ids}
-                          for s, p in found]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([doc.as_py()], pa.int64()), pa.array([ids], pa.list_(pa.int32())),
-                    pa.array([float(score)]), pa.array([listed], best), pa.array([_text_digest(text)])],
-                    names=["doc_id", "ids", "score", "n_best", "text_sha256"])
-
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, ids array<int>, score double, "
+        lambda batches: _encoded(batches, model, folder, n), "doc_id long, ids array<int>, score double, "
              "n_best array<struct<score: double, ids: array<int>>>, text_sha256 string")
 
 
@@ -332,11 +558,12 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model",
     """(doc_id, text) of (doc_id, ids); a null list is an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(model, folder)
+        pieces = _pieces(model, folder)
         for batch in batches:
-            texts = [pieces.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            texts = pieces.texts(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+                [batch.column(0), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())],
+                names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -347,25 +574,30 @@ def segmentations(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: s
     numbers), score, n_best_scores, n_best_ids (the ids of all of them), round_trip.
 
     ``round_trip``: decoding each of the encoded rows' lists of ids gives the text (with marks as
-    spaces) back.
+    spaces) back. Encoding and decoding run one after the other in a task, a block of texts at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(model, folder)
-        kinds = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()),
-                 ("score", pa.float64()), ("n_best_scores", pa.list_(pa.float64())),
-                 ("n_best_ids", pa.list_(pa.list_(pa.int32()))), ("round_trip", pa.bool_())]
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc, ids, score, listed, digest = (c[i].as_py() for c in batch.columns)
-                raw = array("i", ids).tobytes()
-                back = all(_text_digest(pieces.decode(x)) == digest
-                           for x in [ids, *[e["ids"] for e in listed if e["ids"] != ids]])
-                row = (doc, len(ids), zlib.crc32(raw), score, [e["score"] for e in listed],
-                       [e["ids"] for e in listed], back)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c], kind) for c, (_, kind) in zip(row, kinds)], names=[name for name, _ in kinds])
-
-    return encode(docs, model, folder, n).mapInArrow(
+        pieces = _pieces(model, folder)
+        for batch in _encoded(batches, model, folder, n):
+            docs, best, scores, listed, digests = batch.columns
+            all_ids = listed.flatten().field("ids")
+            sizes, owner = best.value_lengths(), listed.value_lengths()
+            good = np.ones(batch.num_rows, bool)
+            row = np.repeat(np.arange(batch.num_rows), owner.to_numpy())
+            wanted = digests.to_pylist()
+            for i, text in zip(row.tolist(), pieces.texts(all_ids)):
+                good[i] &= sha256(text).hexdigest() == wanted[i]
+            ends = np.concatenate([[0], np.cumsum(sizes.to_numpy())])
+            raw = best.flatten().to_numpy(zero_copy_only=False).astype(_KIND)
+            crcs = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
+            counts = pa.array(np.concatenate([[0], np.cumsum(owner.to_numpy())]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                docs, sizes.cast(pa.int64()), pa.array(crcs, pa.int64()), scores,
+                pa.ListArray.from_arrays(counts, listed.flatten().field("score")),
+                pa.ListArray.from_arrays(counts, all_ids), pa.array(good)],
+                names=["doc_id", "n_pieces", "ids_crc32", "score", "n_best_scores", "n_best_ids", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_pieces long, ids_crc32 long, score double, n_best_scores array<double>, "
              "n_best_ids array<array<int>>, round_trip boolean")
