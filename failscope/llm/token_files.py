@@ -19,7 +19,7 @@ rows are each stored. Only the id and text columns are read.
 
 The tokenizer never joins characters across white space, and its word pattern never joins
 letters with other characters, so the ids of a text are those of its words in order. Every
-distinct word, or part of a word, goes to the tokenizers library once per task and cache
+distinct word, or part of a word, goes to the tokenizers library once per worker and cache
 filling; the caches are cleared at a fixed number of words, which only costs time.
 """
 
@@ -29,6 +29,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,13 +132,19 @@ class WordEncoder:
             yield b"".join([self.words[w] for w in words])
 
 
+@cache
+def _encoder(name: str, folder: str | None, kind: str) -> WordEncoder:
+    """One for each worker process, so that its caches outlast a task."""
+    return WordEncoder(name, folder, kind)
+
+
 def _frames(docs: DataFrame, name: str, folder: str | None, end_id: int, kind: str,
             dictionary: bytes | None) -> DataFrame:
     """(doc_id, n_tokens, frame); the frame is the plain ids without a ``dictionary``."""
     tail = np.asarray([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(name, folder, kind)
+        encoder = _encoder(name, folder, kind)
         pack = None if dictionary is None else _compressor(dictionary).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
