@@ -1,42 +1,58 @@
-"""Per-prediction feature attributions of a forest (path-dependent Shapley values).
+"""Per-prediction feature attributions of trees (path-dependent Shapley values).
 
-For every prediction: base value + sum of contributions = class probability. The
-scored rows stay partitioned by Spark; a task only evaluates the trees on its batch.
+For every prediction: base value + sum of contributions = what the trees give the class. That
+is its probability for a forest, and the margin of its booster (before the logistic) for
+boosted trees. The scored rows stay partitioned by Spark; a task only evaluates the trees on
+its batch.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.operators.model import RootCauseModel, assemble
+from failscope.operators.model import FOREST, RootCauseModel, assemble
 from failscope.session import new_path
 
 
-def tree_nodes(forest: RandomForestClassificationModel) -> dict[int, dict[int, dict]]:
+def tree_nodes(
+    trees_of: RandomForestClassificationModel | GBTClassificationModel,
+) -> dict[int, dict[int, dict]]:
     """Nodes per tree. Their number is bounded by trees * 2 ** (depth + 1)."""
     spark = SparkSession.getActiveSession()
-    path = new_path(spark, "forest")
-    forest.write().overwrite().save(path)
+    path = new_path(spark, "trees")
+    trees_of.write().overwrite().save(path)
     rows = spark.read.parquet(f"{path}/data").collect()
     trees: dict[int, dict[int, dict]] = {}
     for r in rows:
         n = r["nodeData"]
         trees.setdefault(r["treeID"], {})[n["id"]] = {
             "left": n["leftChild"], "right": n["rightChild"], "stats": n["impurityStats"],
+            "prediction": n["prediction"],
             "feature": n["split"]["featureIndex"],
             "threshold": (n["split"]["leftCategoriesOrThreshold"] or [0.0])[0]}
     return trees
 
 
-def _paths(tree: dict[int, dict]) -> Iterator[tuple[dict, np.ndarray]]:
-    """Each leaf as {feature: (low, high, share)} and its class shares.
+def _class_weight(node: dict) -> float:
+    """Training weight of a classification tree's node."""
+    return float(np.sum(node["stats"]))
+
+
+def _row_weight(node: dict) -> float:
+    """Training weight of a regression tree's node, whose statistics are weight, sum, squares."""
+    return float(node["stats"][0])
+
+
+def _paths(tree: dict[int, dict], weight: Callable[[dict], float] = _class_weight
+           ) -> Iterator[tuple[dict, dict]]:
+    """Each leaf as {feature: (low, high, share)}, and its node.
 
     A feature's share is the part of the training weight that follows the path at
     its splits; a value in (low, high] follows the path.
@@ -45,15 +61,14 @@ def _paths(tree: dict[int, dict]) -> Iterator[tuple[dict, np.ndarray]]:
     while stack:
         at, path = stack.pop()
         node = tree[at]
-        stats = np.array(node["stats"], dtype=float)
         if node["left"] < 0:
-            yield path, stats / stats.sum()
+            yield path, node
             continue
         f, cut = node["feature"], node["threshold"]
         low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
         for child, lo, hi in ((node["left"], low, min(high, cut)),
                               (node["right"], max(low, cut), high)):
-            part = sum(tree[child]["stats"]) / stats.sum()
+            part = weight(tree[child]) / weight(node)
             stack.append((child, {**path, f: (lo, hi, share * part)}))
 
 
@@ -79,21 +94,40 @@ def _leaf_table(shares: np.ndarray) -> np.ndarray:
     return table
 
 
+def _leaf(path: dict, value: np.ndarray) -> tuple[tuple | None, np.ndarray]:
+    """A leaf's features, low, high, table and value (None without a split); its part of the base."""
+    low, high, shares = (np.array([path[f][i] for f in path]) for i in range(3))
+    leaf = (np.array(list(path), dtype=int), low, high, _leaf_table(shares), value) if path else None
+    return leaf, value * np.prod(shares)
+
+
 def leaf_tables(forest: RandomForestClassificationModel) -> tuple[list, np.ndarray]:
     """Per leaf: features, low, high, table, class shares; and the base value per class."""
     leaves, base = [], 0.0
     trees = tree_nodes(forest)
     for tree in trees.values():
-        for path, value in _paths(tree):
-            value = value / len(trees)
-            features = np.array(list(path), dtype=int)
-            low, high, shares = (np.array([path[f][i] for f in path]) for i in range(3))
-            base = base + value * np.prod(shares)
-            if len(features):
-                leaves.append((features, low, high, _leaf_table(shares), value))
+        for path, node in _paths(tree):
+            leaf, part = _leaf(path, np.array(node["stats"], dtype=float) / _class_weight(node) / len(trees))
+            leaves += [leaf] if leaf else []
+            base = base + part
     return leaves, np.asarray(base)
 
 
+def boosted_tables(boosters: list[GBTClassificationModel]) -> tuple[list, np.ndarray]:
+    """``leaf_tables`` of one booster per class: a leaf's value is its part of its class's margin."""
+    leaves, base = [], np.zeros(len(boosters))
+    for at, booster in enumerate(boosters):
+        steps = booster.treeWeights
+        for number, tree in tree_nodes(booster).items():
+            for path, node in _paths(tree, _row_weight):
+                value = np.zeros(len(boosters))
+                value[at] = node["prediction"] * steps[number]
+                leaf, part = _leaf(path, value)
+                leaves += [leaf] if leaf else []
+                base = base + part
+    return leaves, base
+
+
 def contributions(leaves: list, x: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """Contribution of every feature to class ``cls`` of every row of ``x``."""
     out = np.zeros_like(x)
@@ -112,8 +146,6 @@ def attributions(
 
     For the predicted class, or with ``all_classes`` one row per class.
     """
-    if model.kind != "forest":
-        raise ValueError("attributions need a forest")
     scored = model.score(features)
     vector = F.array(*[F.col(f"`{n}`").cast("double") for n in model.names])
     if all_classes:
@@ -121,7 +153,7 @@ def attributions(
             "class_index", F.explode(F.array(*[F.lit(i) for i in range(len(model.classes))])))
     rows = scored.select(F.col(id).alias("id"), "class_index", vector.alias("x"))
     spark = features.sparkSession
-    leaves, base = leaf_tables(model.trees)
+    leaves, base = (leaf_tables if model.kind == FOREST else boosted_tables)(model.trees)
     shared = spark.sparkContext.broadcast(leaves)
     id_type = rows.schema["id"].dataType.simpleString()
 

@@ -26,7 +26,7 @@ from failscope.sources import artifacts
 from failscope.sources.files import read_feature_store, write_feature_store
 from failscope.streaming import jobs as S
 
-TREES = 20
+TREES = K.TREE_PARAMS["n_estimators"]
 _FITTED: dict[tuple[str, str], tuple] = {}
 
 
@@ -152,22 +152,21 @@ def q_info(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _explained(spark: SparkSession, folder: str) -> tuple[DataFrame, RootCauseModel, DataFrame]:
-    features, _, model, scored = _fitted(spark, folder)
-    held = features.join(scored.select("event_id"), "event_id", "left_semi")
-    return A.attributions(model, held), model, held
+    features, _, model, _ = _fitted(spark, folder)
+    return A.attributions(model, features), model, features
 
 
 @query("attributions")
 def q_attributions(spark: SparkSession, folder: str) -> DataFrame:
+    """Contributions of every feature to the predicted class, for every event."""
     explained, model, _ = _explained(spark, folder)
     return A.long_contributions(explained, model.names)
 
 
 @query("attributions_all_classes")
 def q_all_classes(spark: SparkSession, folder: str) -> DataFrame:
-    features, _, model, scored = _fitted(spark, folder)
-    held = features.join(scored.select("event_id"), "event_id", "left_semi")
-    explained = A.attributions(model, held, all_classes=True)
+    features, _, model, _ = _fitted(spark, folder)
+    explained = A.attributions(model, features, all_classes=True)
     return explained.select(
         "event_id", "root_cause", "base_value",
         F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x).alias("total"))
@@ -175,7 +174,7 @@ def q_all_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("explained_predictions")
 def q_explained(spark: SparkSession, folder: str) -> DataFrame:
-    """Prediction with evidence and counter-evidence for every holdout event."""
+    """Prediction with evidence and counter-evidence for every event."""
     explained, model, held = _explained(spark, folder)
     ranked = E.rank_lists(A.contribution_items(explained, held, model.names))
     told = E.with_evidence(ranked)

@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from failscope import constants as K
@@ -161,3 +161,52 @@ def test_boosted_option(fitted):
     row = scored.agg(F.avg((F.col("actual_root_cause") == F.col("predicted_root_cause")).cast("int")),
                      F.max("confidence")).first()
     assert row[0] > 0.8 and row[1] <= 1
+
+
+def test_boosted_attributions_add_up_to_margins(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 4)).round(2)
+    y = np.where(x[:, 0] + x[:, 1] > 0.5, "late", np.where(x[:, 2] > 0.3, "lost", "fine"))
+    df = spark.createDataFrame([(f"e{i:03d}", *map(float, r), str(c)) for i, (r, c) in enumerate(zip(x, y))],
+                               "event_id string, a double, b double, c double, d double, root_cause string")
+    names = ["a", "b", "c", "d"]
+    model = MM.train(df, names, kind=MM.BOOSTED, n_trees=3, partitions=2)
+    got = A.attributions(model, df, all_classes=True).select("event_id", "root_cause", (
+        F.aggregate("contributions", F.col("base_value"), lambda a, v: a + v)).alias("total"))
+    got = {(r.event_id, r.root_cause): r.total for r in got.collect()}
+    rows = MM.assemble(df, names)
+    for name, booster in zip(model.classes, model.trees):
+        raw = booster.transform(rows).select("event_id", "rawPrediction").collect()
+        assert all(abs(got[r.event_id, name] - r.rawPrediction[1]) < 1e-9 for r in raw)
+    assert len(got) == 3 * 400
+
+
+def test_boosted_attributions_equal_brute_force_shapley(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, size=(200, 4)).astype(float)
+    y = (x[:, 0] * x[:, 1] - 2 * x[:, 2] > 3).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(c)) for i, (r, c) in enumerate(zip(x, y))],
+                               "event_id int, a double, b double, c double, d double, _label double")
+    booster = GBTClassifier(labelCol="_label", maxIter=3, maxDepth=4, seed=1).fit(MM.assemble(df, ["a", "b", "c", "d"]))
+    leaves, base = A.boosted_tables([booster])
+    trees, steps = A.tree_nodes(booster), booster.treeWeights
+
+    def walk(tree, at, row, known):
+        node = tree[at]
+        if node["left"] < 0:
+            return node["prediction"]
+        if node["feature"] in known:
+            return walk(tree, node["left"] if row[node["feature"]] <= node["threshold"] else node["right"], row, known)
+        sides = node["left"], node["right"]
+        return sum(tree[c]["stats"][0] * walk(tree, c, row, known) for c in sides) / sum(tree[c]["stats"][0] for c in sides)
+
+    got = A.contributions(leaves, x[:20], np.zeros(20, int))
+    for row, phi in zip(x[:20], got):
+        def value(known):
+            return sum(steps[i] * walk(t, 0, row, known) for i, t in trees.items())
+        for j in range(4):
+            others = [i for i in range(4) if i != j]
+            want = sum(math.factorial(k) * math.factorial(3 - k) / 24 * (value({*s, j}) - value(set(s)))
+                       for k in range(4) for s in itertools.combinations(others, k))
+            assert phi[j] == pytest.approx(want, abs=1e-9)
+        assert base[0] == pytest.approx(value(set()), abs=1e-9)
