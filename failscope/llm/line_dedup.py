@@ -39,12 +39,15 @@ from functools import lru_cache, reduce
 from itertools import combinations
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failscope.llm.common import counted, saved, small
+from failscope.llm.shingles import mix, powers
+from failscope.session import new_path, write_observed
 
 #: Pairs of lines under one key beyond which the key is refined instead of paired.
 PAIRS_PER_KEY = 256
@@ -114,6 +117,9 @@ def _hashes(line: Column) -> list[Column]:
 _SEEDS = (42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed=42))
 #: Lines whose keys a task remembers having sent, so that a frequent line is sent once.
 _SENT_LINES = 200_000
+#: Characters of texts that are cut together; a longer text is on its own.
+_CHARS = 1 << 18
+_U = np.uint64
 
 
 def cut(length: int, parts: int) -> list[tuple[int, int]]:
@@ -128,8 +134,8 @@ def cut(length: int, parts: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(100_000)
-def _spans(length: int, edits: int) -> list[tuple[int, bool, int, int]]:
-    """(head, probe, begin, end) of a line's own segments and of its probes.
+def _spans(length: int, edits: int) -> np.ndarray:
+    """Rows head, probe, begin, end of a line's own segments and of its probes.
 
     A probe for the indexes of lines shorter by ``less`` starts a segment where at most as many
     edits lie left of it as it has segments before it, and the like to the right. The head is
@@ -142,74 +148,114 @@ def _spans(length: int, edits: int) -> list[tuple[int, bool, int, int]]:
                 at = begin + shift
                 if size and at >= 0 and at + size <= length:
                     out.append((i << 40 | (length - less), less > 0 or shift != 0, at, at + size))
-    return out
+    return np.array(out, np.int64).reshape(-1, 4).T
 
 
-_KEYS = "ha long, hb long, old long, rest long, key long, probe boolean, begin int, size int"
+_KEYS = "key long, ha long, probe boolean, hb long, old long, rest long, begin int, size int"
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _cut_rows(lines: DataFrame, edits: int, least: int | None = None) -> DataFrame:
-    """(ha, hb, old, rest, key, probe, begin, size) of all segments and probes.
+class _Segments:
+    """Keys of the segments and probes of many lines, by prefix sums over all their characters.
 
-    Of (text) rows with ``least``: of their lines of at least so many characters. Else of rows
-    (ha, hb, old, rest, line), under the key ``old``; ``rest`` tells what is left of a line in
-    one way from what is left of it in another.
+    A key is a hash of the segment, its head and ``old``. Keys only choose candidates, which are
+    verified on their text, so a collision costs a comparison.
     """
 
-    def batch_of(found: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(),) * 5 + (pa.bool_(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(found, kinds)],
-            names=["ha", "hb", "old", "rest", "key", "probe", "begin", "size"])
+    def __init__(self, lines: list[str], old: np.ndarray, edits: int) -> None:
+        lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+        up, down = powers(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + _U(1)) * up[: len(codes)], out=sums[1:])
+        first = np.cumsum(lengths) - lengths
+        seeds = mix(old.view(np.uint64) + _U(1))
+        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+        order = np.argsort(lengths, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
+            head, probe, begin, end = _spans(int(lengths[at[0]]), edits)
+            low = first[at][:, None] + begin
+            sub = (sums[first[at][:, None] + end] - sums[low]) * down[low]
+            key = mix(sub ^ mix(seeds[at][:, None] + head.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
+            n, k = key.shape
+            for part, values in zip(parts, (np.repeat(at, k), key.ravel().view(np.int64), np.tile(probe, n),
+                                            np.tile(begin, n), np.tile(end - begin, n))):
+                part.append(values)
+        empty = np.empty(0, np.int64)
+        #: The line's number, key, whether it is a probe, and where the segment lies.
+        self.line, self.key, self.probe, self.begin, self.size = (np.concatenate([empty, *p]) for p in parts)
+
+
+def _new_lines(texts: list, least: int, sent: set[int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Lines of at least ``least`` characters that are not among ``sent``, with their hashes."""
+    digest, lines, ha, hb = xxhash.xxh64_intdigest, [], [], []
+    for text in texts:
+        for line in text.split("\n") if text else ():
+            if len(line) >= least and len(line.strip(" ")) >= least:
+                raw = line.encode("utf-8", "surrogatepass")
+                one = digest(raw, seed=_SEEDS[0])
+                if one not in sent:
+                    if len(sent) >= _SENT_LINES:
+                        sent.clear()
+                    sent.add(one)
+                    lines.append(line)
+                    ha.append(one)
+                    hb.append(digest(raw, seed=_SEEDS[1]))
+    return lines, np.array(ha, np.uint64).view(np.int64), np.array(hb, np.uint64).view(np.int64)
+
+
+def _text_keys(docs: DataFrame, edits: int, least: int, whole: bool) -> DataFrame:
+    """Segments and probes of all lines of (text) rows: (key, ha, probe), and with ``whole`` also
+    (hb, old, rest, begin, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            found: list[list] = [[] for _ in range(8)]
-            if least is None:
-                source = zip(*[c.to_pylist() for c in batch.columns])
-            else:
-                source = ((None, None, 0, 0, line) for text in batch.column(0).to_pylist() if text
-                          for line in text.split("\n") if len(line) >= least and len(line.strip(" ")) >= least)
-            for ha, hb, old, rest, line in source:
-                if ha is None:
-                    raw = line.encode("utf-8", "surrogatepass")
-                    ha = digest(raw, seed=_SEEDS[0])
-                    if ha in sent:
-                        continue
-                    if len(sent) >= _SENT_LINES:
-                        sent.clear()
-                    sent.add(ha)
-                    ha, hb = _signed(ha), _signed(digest(raw, seed=_SEEDS[1]))
-                spans = _spans(len(line), edits)
-                seed = old & 0xFFFFFFFFFFFFFFFF
-                found[4] += [_signed(digest(line[b:e], seed=(seed ^ head * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
-                             for head, _, b, e in spans]
-                found[5] += [probe for _, probe, _, _ in spans]
-                found[6] += [b for _, _, b, _ in spans]
-                found[7] += [e - b for _, _, b, e in spans]
-                n = len(spans)
-                found[0] += [ha] * n
-                found[1] += [hb] * n
-                found[2] += [old] * n
-                found[3] += [rest] * n
-                if len(found[0]) >= 100_000:
-                    yield batch_of(found)
-                    found = [[] for _ in range(8)]
-            yield batch_of(found)
-
-    rows = lines.select("ha", "hb", "old", "rest", "line") if least is None else lines.select("text")
-    return rows.mapInArrow(run, _KEYS)
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """The distinct rows whose key different lines share and that indexes one of them."""
-    per = rows.groupBy("key").agg(
+            texts, at = batch.column(0).to_pylist(), 0
+            while at < len(texts):
+                to, chars = at + 1, len(texts[at] or "")
+                while to < len(texts) and chars + len(texts[to] or "") <= _CHARS:
+                    chars, to = chars + len(texts[to] or ""), to + 1
+                lines, ha, hb = _new_lines(texts[at:to], least, sent)
+                found = _Segments(lines, np.zeros(len(lines), np.int64), edits)
+                columns = {"key": found.key, "ha": ha[found.line], "probe": found.probe.astype(bool)}
+                if whole:
+                    none = np.zeros(len(found.key), np.int64)
+                    columns |= {"hb": hb[found.line], "old": none, "rest": none,
+                                "begin": found.begin.astype(np.int32), "size": found.size.astype(np.int32)}
+                yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in columns.items()})
+                at = to
+
+    return docs.select("text").mapInArrow(run, _KEYS if whole else "key long, ha long, probe boolean")
+
+
+def _line_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, ha, probe, hb, old, rest, begin, size) of rows (ha, hb, old, rest, line), under the key
+    ``old``; ``rest`` tells what is left of a line in one way from what is left of it in another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4_096):
+                part = batch.slice(at, 4_096)
+                ha, hb, old, rest = (c.to_numpy() for c in part.columns[:4])
+                found = _Segments(part.column(4).to_pylist(), old, edits)
+                own = found.line
+                yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in {
+                    "key": found.key, "ha": ha[own], "probe": found.probe.astype(bool), "hb": hb[own], "old": old[own],
+                    "rest": rest[own], "begin": found.begin.astype(np.int32), "size": found.size.astype(np.int32)}.items()})
+
+    return lines.select("ha", "hb", "old", "rest", "line").mapInArrow(run, _KEYS)
+
+
+def _shared(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """The distinct ``rows`` whose key different lines share and that indexes one of them.
+
+    ``keys``: (key, ha, probe) of the same rows.
+    """
+    per = keys.groupBy("key").agg(
         F.min("ha").alias("low"), F.max("ha").alias("high"), F.min("probe").alias("probe"))
     keys, n = counted(per.where("low != high AND NOT probe").select("key"), "shared-keys")
     return saved(rows.join(
@@ -292,9 +338,8 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
     """
     source, found = lines.select(
         "ha", "hb", F.lit(0).cast("long").alias("old"), F.lit(0).cast("long").alias("rest"), "line"), []
-    cut_rows = _cut_rows(docs, edits, least)
+    rows = _shared(_text_keys(docs, edits, least, False), _text_keys(docs, edits, least, True))
     while True:
-        rows = _shared(cut_rows)
         bare = rows.select("key", "ha", "hb", "probe").distinct()
         hot, n_hot = counted(bare.groupBy("key").agg(
             F.count(F.when(~F.col("probe"), 1)).alias("indexed"), F.count(F.lit(1)).alias("all")
@@ -306,24 +351,30 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
         # a hot key's lines without the shared segment, to be cut again under that key
         again = rows.join(small(hot, n_hot), "key", "left_semi")
         one = ["ha", "hb", "old", "rest"]
-        texts = source.join(again.select(*one).distinct(), one, "left_semi").dropDuplicates(one)
+        wanted, n = counted(again.select(*one).distinct(), "hot-lines")
+        texts = source.join(small(wanted, n), one, "left_semi").dropDuplicates(one)
         rest = saved(again.join(texts, one).select("ha", "hb", F.col("key").alias("old"), F.concat(
             F.substr("line", F.lit(1), F.col("begin")),
             F.substr("line", F.col("begin") + F.col("size") + 1)).alias("line")).distinct(), "refined")
-        rest = saved(_bared(rest, n_hot), "bared")
-        ends = rest.where(F.char_length("line") <= edits)  # nothing left to tell lines apart by
-        found.append(saved(_paired(ends.select(
-            F.col("old").alias("key"), "ha", "hb", F.lit(False).alias("probe")).distinct()
-        ).distinct(), "line-pairs"))
-        # lines of which so little is left may be near ones of which more is left
-        brief = rest.where(F.char_length("line") <= 2 * edits)
-        found.append(saved(_paired(saved(_subsequences(brief, edits), "brief-keys"), False).distinct(),
-                           "line-pairs"))
-        source, n = counted(rest.where(F.char_length("line") > edits).select(
-            "ha", "hb", "old", F.xxhash64("line").alias("rest"), "line"), "refined-lines")
+        path = new_path(docs.sparkSession, "bared")
+        seen = write_observed(_bared(rest, n_hot), path, shortest=F.min(F.char_length("line")))
+        rest = docs.sparkSession.read.schema("ha long, hb long, old long, line string").parquet(path)
+        source = rest.select("ha", "hb", "old", F.xxhash64("line").alias("rest"), "line")
+        n = seen["rows"]
+        if n and seen["shortest"] <= 2 * edits:
+            ends = rest.where(F.char_length("line") <= edits)  # nothing left to tell lines apart by
+            found.append(saved(_paired(ends.select(
+                F.col("old").alias("key"), "ha", "hb", F.lit(False).alias("probe")).distinct()
+            ).distinct(), "line-pairs"))
+            # lines of which so little is left may be near ones of which more is left
+            brief = rest.where(F.char_length("line") <= 2 * edits)
+            found.append(saved(_paired(saved(_subsequences(brief, edits), "brief-keys"), False).distinct(),
+                               "line-pairs"))
+            source, n = counted(source.where(F.char_length("line") > edits), "refined-lines")
         if not n:
             break
-        cut_rows = _cut_rows(source, edits)
+        cut_rows = _line_keys(source, edits)
+        rows = _shared(cut_rows, cut_rows)
     return reduce(DataFrame.union, found).distinct()
 
 

@@ -330,7 +330,7 @@ def _confirm(forest: _Forest, pairs: DataFrame, docs: DataFrame, classes: DataFr
         share *= 4
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = 4,
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = 3,
                     recall: float = 0.9999, leaf: int = 32, pivots: int = 8) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept (see the module's text).
 

@@ -36,7 +36,8 @@ def seeds(count: int, salt: int) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a fixed odd base, and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS["up"]) < n:
         size = max(n, 2 * BLOCK_BYTES)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -63,7 +64,7 @@ def _word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     ends[lasts] = solid[lasts]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     lower = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    up, down = _powers(n)
+    up, down = powers(n)
     sums = np.zeros(n + 1, _U)
     np.cumsum((lower.astype(_U) + _U(1)) * up, out=sums[1:])
     words = (sums[end] - sums[start]) * down[start]
