@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 from functools import cache, cached_property
 from hashlib import sha256
@@ -40,10 +41,10 @@ from failscope.llm.common import tokenizer_path
 
 MARK = "▁"
 BYTE_COST = 10.0
-#: Words and links at which the caches begin anew.
-CACHED = 250_000
+#: Words, links and lists of alternatives at which a cache begins anew. Links repeat more often.
+CACHED, CACHED_LINKS, CACHED_LISTS = 250_000, 600_000, 25_000
 #: Characters of texts that are solved together; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 21
 #: Links beyond this length are solved one by one; characters of links that are solved together.
 LONGEST, TOGETHER = 40, 1 << 15
 #: Lists that are decoded together.
@@ -161,25 +162,25 @@ class Pieces:
         return child
 
     def best_many(self, links: list[str]) -> Iterator[tuple]:
-        """``best`` of many links at once: (links, scores, bounds, numbers of ids, ids) in parts."""
-        by_size: dict[int, list[str]] = {}
-        for link in links:
-            by_size.setdefault(len(link), []).append(link)
-        for size, same in sorted(by_size.items()):
+        """``best`` of many links at once: (places in ``links``, scores, bounds, numbers of ids, ids) in parts."""
+        sizes = np.fromiter(map(len, links), np.int64, len(links))
+        text = np.frombuffer("".join(links).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        first, order = np.cumsum(sizes) - sizes, np.argsort(sizes, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
+            size = int(sizes[same[0]])
             rows = 1 if size > LONGEST else max(1, TOGETHER // size)
             for at in range(0, len(same), rows):
                 part = same[at: at + rows]
-                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-                codes = codes.reshape(len(part), size)
+                codes = text[first[part][:, None] + np.arange(size)]
                 alone = self.first[np.minimum(codes, len(self.first) - 1)]
                 plain = np.isfinite(self.gain[alone]).all(axis=1)
                 if size > LONGEST:
                     plain[:] = False
-                for i in np.flatnonzero(~plain).tolist():  # bytes in it, or long: one by one
-                    top, ids, low = self.best(part[i])
-                    yield [part[i]], np.array([top]), np.array([low]), np.array([len(ids)]), np.array(ids, np.int32)
+                for i in part[~plain].tolist():  # bytes in it, or long: one by one
+                    top, ids, low = self.best(links[i])
+                    yield np.array([i]), np.array([top]), np.array([low]), np.array([len(ids)]), np.array(ids, np.int32)
                 if plain.any():
-                    yield [part[i] for i in np.flatnonzero(plain).tolist()], *self._viterbi(codes[plain])
+                    yield part[plain], *self._viterbi(codes[plain])
 
     def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The forward pass over links of equal length, all characters pieces."""
@@ -345,6 +346,27 @@ class Pieces:
                     yield text[1:] if self.dummy_prefix and text.startswith(b" ") else text
 
 
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first looked up."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        number = self[key] = len(self)
+        return number
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+    def taken(self) -> list[str]:
+        """Those numbered since the last call."""
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
 class _Grown:
     """A numpy column that grows."""
 
@@ -373,58 +395,55 @@ class Encoder:
     def __init__(self, pieces: Pieces, n: int) -> None:
         self.pieces, self.n = pieces, n
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if pieces.spaced else None
-        self._forget()
+        self._forget_links()
 
-    def _forget(self) -> None:
-        self.words: dict[str, int] = {}
+    def _forget_words(self) -> None:
+        self.words = _Numbers()
         self.word_start, self.word_links = _Grown(np.int64), _Grown(np.int64)
         self.parts = _Grown(np.int64)  # the links of all words
-        self.links: dict[str, int] = {}
+
+    def _forget_links(self) -> None:
+        self._forget_words()
+        self.links = _Numbers()
         self.names: list[str] = []
         self.score, self.bound = _Grown(float), _Grown(float)
         self.start, self.size, self.ids_of = _Grown(np.int64), _Grown(np.int64), _Grown(np.int32)
         self.lists: dict[int, list] = {}
 
-    def _learn_links(self, new: list[str]) -> None:
-        for names, score, bound, sizes, ids in self.pieces.best_many(new):
-            for name in names:
-                self.links[name] = len(self.names)
-                self.names.append(name)
-            self.start.add(self.ids_of.n + np.cumsum(sizes) - sizes)
-            for column, values in ((self.score, score), (self.bound, bound), (self.size, sizes), (self.ids_of, ids)):
-                column.add(values)
-
     def _learn(self, words: list[str]) -> None:
+        """Keep the links of new words, and solve those links that are new."""
         first, parts = self.pieces.links_of(words)
-        known = self.links
-        self._learn_links(list({link for link in parts if link not in known}))
-        counts = np.diff(np.append(first, len(parts)))
         self.word_start.add(self.parts.n + first)
-        self.word_links.add(counts)
-        self.parts.add(np.fromiter((known[link] for link in parts), np.int64, len(parts)))
-        for word in words:
-            self.words[word] = len(self.words)
+        self.word_links.add(np.diff(np.append(first, len(parts))))
+        self.parts.add(self.links.of(parts))
+        new = self.links.taken()
+        self.names += new
+        score, bound = np.empty(len(new)), np.empty(len(new))
+        start, size = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        for at, scores, bounds, sizes, ids in self.pieces.best_many(new):
+            score[at], bound[at], size[at] = scores, bounds, sizes
+            start[at] = self.ids_of.n + np.cumsum(sizes) - sizes
+            self.ids_of.add(ids)
+        for column, values in ((self.score, score), (self.bound, bound), (self.start, start), (self.size, size)):
+            column.add(values)
 
     def solve(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's links. They hold until the next call."""
-        if len(self.words) > CACHED or len(self.names) > CACHED:
-            self._forget()
+        if len(self.names) > CACHED_LINKS:
+            self._forget_links()
+        elif len(self.words) > CACHED:
+            self._forget_words()
         marked = [self.pieces.normalise(t) for t in texts]
-        words = [self.cut.findall(m) if self.cut else [m] * bool(m) for m in marked]
-        known = self.words
-        new = {w for ws in words for w in ws if w not in known}
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for ws in words:
-            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-            out.append(self.parts.data[_ranges(self.word_start.data[at], self.word_links.data[at])])
-        return out
+        words = [self.words.of(self.cut.findall(m) if self.cut else [m] * bool(m)) for m in marked]
+        if new := self.words.taken():
+            self._learn(new)
+        start, count, parts = self.word_start.data, self.word_links.data, self.parts.data
+        return [parts[_ranges(start[at], count[at])] for at in words]
 
     def _alternatives(self, link: int) -> list[tuple[float, tuple[int, ...]]]:
         known = self.lists.get(link)
         if known is None:
-            if len(self.lists) >= CACHED // 10:
+            if len(self.lists) >= CACHED_LISTS:
                 self.lists.clear()
             known = self.lists[link] = self.pieces.n_best(self.names[link], self.n)
         return known
@@ -433,15 +452,15 @@ class Encoder:
         """The links that can take part: (place, alternatives), at most n - 1."""
         bounds = self.bound.data[links]
         places = np.flatnonzero(np.isfinite(bounds))
-        chosen: list[tuple[float, int, list]] = []
-        for at in places[np.argsort(bounds[places], kind="stable")].tolist():
-            if len(chosen) >= self.n - 1 and bounds[at] > chosen[self.n - 2][0]:
+        order = places[np.argsort(bounds[places], kind="stable")]
+        most, chosen = self.n - 1, []
+        for at, bound, link in zip(order.tolist(), bounds[order].tolist(), links[order].tolist()):
+            if len(chosen) == most and bound > chosen[-1][0]:
                 break
-            options = self._alternatives(int(links[at]))
+            options = self._alternatives(link)
             if len(options) > 1:
-                chosen.append((options[0][0] - options[1][0], at, options))
-                chosen.sort(key=lambda c: c[:2])
-                del chosen[self.n - 1:]
+                insort(chosen, (options[0][0] - options[1][0], at, options))
+                del chosen[most:]
         return sorted((at, options) for _, at, options in chosen)
 
     def listed(self, links: np.ndarray) -> tuple[float, list[tuple[float, tuple]]]:
