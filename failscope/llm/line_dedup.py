@@ -35,7 +35,7 @@ decided on their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from itertools import combinations
 from os.path import commonprefix
 
@@ -118,39 +118,8 @@ _SEEDS = (42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed=42))
 #: Lines whose keys a task remembers having sent, so that a frequent line is sent once.
 _SENT_LINES = 200_000
 #: Characters of texts that are cut together; a longer text is on its own.
-_CHARS = 1 << 18
+_CHARS = 1 << 20
 _U = np.uint64
-
-
-def cut(length: int, parts: int) -> list[tuple[int, int]]:
-    """(begin, size) of even segments; the later ones take the remainder."""
-    size, longer = divmod(length, parts)
-    out, begin = [], 0
-    for i in range(parts):
-        own = size + (i >= parts - longer)
-        out.append((begin, own))
-        begin += own
-    return out
-
-
-@lru_cache(100_000)
-def _spans(length: int, edits: int) -> np.ndarray:
-    """Rows head, probe, begin, end of a line's own segments and of its probes.
-
-    A probe for the indexes of lines shorter by ``less`` starts a segment where at most as many
-    edits lie left of it as it has segments before it, and the like to the right. The head is
-    what a key holds besides the segment: its number and the indexed line's length.
-    """
-    out = []
-    for less in range(min(edits, length - 1) + 1):
-        for i, (begin, size) in enumerate(cut(length - less, edits + 1)):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = begin + shift
-                if size and at >= 0 and at + size <= length:
-                    out.append((i << 40 | (length - less), less > 0 or shift != 0, at, at + size))
-    return np.array(out, np.int64).reshape(-1, 4).T
-
-
 _KEYS = "key long, ha long, probe boolean, hb long, old long, rest long, begin int, size int"
 
 
@@ -161,8 +130,9 @@ def _signed(x: int) -> int:
 class _Segments:
     """Keys of the segments and probes of many lines, by prefix sums over all their characters.
 
-    A key is a hash of the segment, its head and ``old``. Keys only choose candidates, which are
-    verified on their text, so a collision costs a comparison.
+    A line has ``edits`` + 1 even segments. The head is what a key holds besides the segment: its
+    number and the indexed line's length. A key is a hash of the segment, its head and ``old``. Keys
+    only choose candidates, which are verified on their text, so a collision costs a comparison.
     """
 
     def __init__(self, lines: list[str], old: np.ndarray, edits: int) -> None:
@@ -173,20 +143,27 @@ class _Segments:
         np.cumsum((codes.astype(np.uint64) + _U(1)) * up[: len(codes)], out=sums[1:])
         first = np.cumsum(lengths) - lengths
         seeds = mix(old.view(np.uint64) + _U(1))
-        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-        order = np.argsort(lengths, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
-            head, probe, begin, end = _spans(int(lengths[at[0]]), edits)
-            low = first[at][:, None] + begin
-            sub = (sums[first[at][:, None] + end] - sums[low]) * down[low]
-            key = mix(sub ^ mix(seeds[at][:, None] + head.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
-            n, k = key.shape
-            for part, values in zip(parts, (np.repeat(at, k), key.ravel().view(np.int64), np.tile(probe, n),
-                                            np.tile(begin, n), np.tile(end - begin, n))):
-                part.append(values)
-        empty = np.empty(0, np.int64)
+        found: list[list[np.ndarray]] = [[] for _ in range(5)]
+        # a probe for the indexes of lines shorter by `less` starts a segment where at most as many
+        # edits lie left of it as it has segments before it, and the like to the right
+        for less in range(edits + 1):
+            short = lengths - less
+            even, longer = np.divmod(short, edits + 1)  # the later segments take the remainder
+            for i in range(edits + 1):
+                begin = i * even + np.maximum(i - (edits + 1 - longer), 0)
+                size = even + (i >= edits + 1 - longer)
+                for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                    at = begin + shift
+                    rows = np.flatnonzero((short > 0) & (size > 0) & (at >= 0) & (at + size <= lengths))
+                    low, own = first[rows] + at[rows], size[rows]
+                    sub = (sums[low + own] - sums[low]) * down[low]
+                    head = (i << 40 | short[rows]).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+                    key = mix(sub ^ mix(seeds[rows] + head)).view(np.int64)
+                    probe = np.full(len(rows), less > 0 or shift != 0)
+                    for part, values in zip(found, (rows, key, probe, at[rows], own)):
+                        part.append(values)
         #: The line's number, key, whether it is a probe, and where the segment lies.
-        self.line, self.key, self.probe, self.begin, self.size = (np.concatenate([empty, *p]) for p in parts)
+        self.line, self.key, self.probe, self.begin, self.size = (np.concatenate(p) for p in found)
 
 
 def _new_lines(texts: list, least: int, sent: set[int]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -221,7 +198,7 @@ def _text_keys(docs: DataFrame, edits: int, least: int, whole: bool) -> DataFram
                     chars, to = chars + len(texts[to] or ""), to + 1
                 lines, ha, hb = _new_lines(texts[at:to], least, sent)
                 found = _Segments(lines, np.zeros(len(lines), np.int64), edits)
-                columns = {"key": found.key, "ha": ha[found.line], "probe": found.probe.astype(bool)}
+                columns = {"key": found.key, "ha": ha[found.line], "probe": found.probe}
                 if whole:
                     none = np.zeros(len(found.key), np.int64)
                     columns |= {"hb": hb[found.line], "old": none, "rest": none,
@@ -244,7 +221,7 @@ def _line_keys(lines: DataFrame, edits: int) -> DataFrame:
                 found = _Segments(part.column(4).to_pylist(), old, edits)
                 own = found.line
                 yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in {
-                    "key": found.key, "ha": ha[own], "probe": found.probe.astype(bool), "hb": hb[own], "old": old[own],
+                    "key": found.key, "ha": ha[own], "probe": found.probe, "hb": hb[own], "old": old[own],
                     "rest": rest[own], "begin": found.begin.astype(np.int32), "size": found.size.astype(np.int32)}.items()})
 
     return lines.select("ha", "hb", "old", "rest", "line").mapInArrow(run, _KEYS)
