@@ -12,10 +12,11 @@ the substrings at the few places that the number of edits left and right of them
    different lines share go on.
 3. Lines that share a key are candidates. A key that very many lines share is not paired: its
    lines drop the shared segment, and what is left of them (whose distance is no larger) is cut
-   into segments again, under the old key, as often as it takes. Ends common to all that is left
-   under a key go first, and keys that leave the same become one. What is too short to be cut is
-   paired under the old key with all that is as short, and by common subsequences with what is
-   up to ``edits`` longer.
+   again, under the old key, as often as it takes. It is then cut into 2 * ``edits`` + 2 segments,
+   of which near lines share all but ``edits``: a key holds all those shared, so it says more and
+   leaves less. Ends common to all that is left under a key go first, and keys that leave the same
+   become one. What is too short to be cut is paired under the old key with all that is as short,
+   and by common subsequences with what is up to ``edits`` longer.
 4. Candidates are verified on their text: common ends are cut off, the rest goes through the
    bit-parallel edit distance, banded by the number of edits.
 
@@ -36,7 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, product
 from os.path import commonprefix
 
 import numpy as np
@@ -120,22 +121,58 @@ _SENT_LINES = 200_000
 #: Characters of texts that are cut together; a longer text is on its own.
 _CHARS = 1 << 20
 _U = np.uint64
-_KEYS = "key long, ha long, probe boolean, hb long, old long, rest long, begin int, size int"
+_KEYS = "key long, ha long, probe boolean, hb long, old long, rest long, way int"
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: One way in which a line matches a near one: which of its segments are left out, in runs
+#: (first, after the last), how many characters longer each run is than in the shorter line, and
+#: how many the whole line is.
+_Way = tuple[tuple[tuple[int, int], ...], tuple[int, ...], int]
+
+
+def ways(edits: int, cuts: int) -> list[_Way]:
+    """All ways for lines cut into ``cuts`` segments that share all but ``edits`` of them.
+
+    Let every edit take the segment it lies in, or the next free one if that is taken: then a run of
+    taken segments holds as many edits as segments, so it is longer or shorter by at most as many
+    characters. At most ``edits`` segments are taken; leaving out more of them does no harm.
+    """
+    found = []
+    for gone in combinations(range(cuts), edits):
+        starts = [i for i in gone if i - 1 not in gone]
+        runs = tuple((i, next(j for j in range(i, cuts + 1) if j not in gone)) for i in starts)
+        for longer in product(*[range(i - j, j - i + 1) for i, j in runs]):
+            if sum(longer) >= 0:
+                found.append((runs, longer, sum(longer)))
+    return found
+
+
+def _left_out(line: str, way: _Way, cuts: int) -> str:
+    """The characters of ``line`` in the segments that ``way`` leaves out."""
+    runs, longer, less = way
+    even, more = divmod(len(line) - less, cuts)
+    parts, shift = [], 0
+    for (i, j), by in zip(runs, longer):
+        begin = i * even + max(i - (cuts - more), 0) + shift
+        shift += by
+        parts.append(line[begin: j * even + max(j - (cuts - more), 0) + shift])
+    return "".join(parts)
+
+
 class _Segments:
     """Keys of the segments and probes of many lines, by prefix sums over all their characters.
 
-    A line has ``edits`` + 1 even segments. The head is what a key holds besides the segment: its
-    number and the indexed line's length. A key is a hash of the segment, its head and ``old``. Keys
-    only choose candidates, which are verified on their text, so a collision costs a comparison.
+    A line has ``cuts`` even segments, of which near lines share all but ``edits``. The head is what a
+    key holds besides the shared segments: which they are, and the indexed line's length. A key is a
+    hash of the segments, the head and ``old``. Keys only choose candidates, which are verified on
+    their text, so a collision costs a comparison.
     """
 
-    def __init__(self, lines: list[str], old: np.ndarray, edits: int) -> None:
+    def __init__(self, lines: list[str], old: np.ndarray, edits: int, cuts: int) -> None:
         lengths = np.fromiter(map(len, lines), np.int64, len(lines))
         codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
         up, down = powers(len(codes) + 1)
@@ -143,27 +180,32 @@ class _Segments:
         np.cumsum((codes.astype(np.uint64) + _U(1)) * up[: len(codes)], out=sums[1:])
         first = np.cumsum(lengths) - lengths
         seeds = mix(old.view(np.uint64) + _U(1))
-        found: list[list[np.ndarray]] = [[] for _ in range(5)]
-        # a probe for the indexes of lines shorter by `less` starts a segment where at most as many
-        # edits lie left of it as it has segments before it, and the like to the right
-        for less in range(edits + 1):
+        found: list[list[np.ndarray]] = [[] for _ in range(4)]
+        kinds: dict[tuple, int] = {}
+        # a probe for the indexes of lines shorter by `less`; the later segments take the remainder
+        for number, (runs, longer, less) in enumerate(ways(edits, cuts)):
             short = lengths - less
-            even, longer = np.divmod(short, edits + 1)  # the later segments take the remainder
-            for i in range(edits + 1):
-                begin = i * even + np.maximum(i - (edits + 1 - longer), 0)
-                size = even + (i >= edits + 1 - longer)
-                for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                    at = begin + shift
-                    rows = np.flatnonzero((short > 0) & (size > 0) & (at >= 0) & (at + size <= lengths))
-                    low, own = first[rows] + at[rows], size[rows]
-                    sub = (sums[low + own] - sums[low]) * down[low]
-                    head = (i << 40 | short[rows]).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
-                    key = mix(sub ^ mix(seeds[rows] + head)).view(np.int64)
-                    probe = np.full(len(rows), less > 0 or shift != 0)
-                    for part, values in zip(found, (rows, key, probe, at[rows], own)):
-                        part.append(values)
-        #: The line's number, key, whether it is a probe, and where the segment lies.
-        self.line, self.key, self.probe, self.begin, self.size = (np.concatenate(p) for p in found)
+            even, more = np.divmod(short, cuts)
+            fits, shift, at, spans = short > edits, 0, 0, []
+            for (i, j), by in zip((*runs, (cuts, cuts)), (*longer, 0)):
+                begin, end = (k * even + np.maximum(k - (cuts - more), 0) for k in (at, i))
+                if at < i:
+                    spans.append((begin + shift, end + shift))
+                run = j * even + np.maximum(j - (cuts - more), 0) - end
+                fits &= run + by >= 0
+                shift, at = shift + by, j
+            rows = np.flatnonzero(fits)
+            head = (kinds.setdefault(runs, len(kinds)) << 40 | short[rows]).astype(np.uint64)
+            key = mix(seeds[rows] + head * _U(0x9E3779B97F4A7C15))
+            for begin, end in spans:
+                low, high = first[rows] + begin[rows], first[rows] + end[rows]
+                key = mix((sums[high] - sums[low]) * down[low] ^ key)
+            for part, values in zip(found, (
+                    rows, key.view(np.int64), np.full(len(rows), any(longer)),
+                    np.full(len(rows), number, np.int32))):
+                part.append(values)
+        #: The line's number, key, whether it is a probe, and the way it matches.
+        self.line, self.key, self.probe, self.way = (np.concatenate(p) for p in found)
 
 
 def _new_lines(texts: list, least: int, sent: set[int]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -186,7 +228,7 @@ def _new_lines(texts: list, least: int, sent: set[int]) -> tuple[list[str], np.n
 
 def _text_keys(docs: DataFrame, edits: int, least: int, whole: bool) -> DataFrame:
     """Segments and probes of all lines of (text) rows: (key, ha, probe), and with ``whole`` also
-    (hb, old, rest, begin, size)."""
+    (hb, old, rest, way)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -197,36 +239,53 @@ def _text_keys(docs: DataFrame, edits: int, least: int, whole: bool) -> DataFram
                 while to < len(texts) and chars + len(texts[to] or "") <= _CHARS:
                     chars, to = chars + len(texts[to] or ""), to + 1
                 lines, ha, hb = _new_lines(texts[at:to], least, sent)
-                found = _Segments(lines, np.zeros(len(lines), np.int64), edits)
+                found = _Segments(lines, np.zeros(len(lines), np.int64), edits, edits + 1)
                 columns = {"key": found.key, "ha": ha[found.line], "probe": found.probe}
                 if whole:
                     none = np.zeros(len(found.key), np.int64)
-                    columns |= {"hb": hb[found.line], "old": none, "rest": none,
-                                "begin": found.begin.astype(np.int32), "size": found.size.astype(np.int32)}
+                    columns |= {"hb": hb[found.line], "old": none, "rest": none, "way": found.way}
                 yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in columns.items()})
                 at = to
 
     return docs.select("text").mapInArrow(run, _KEYS if whole else "key long, ha long, probe boolean")
 
 
-def _line_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(key, ha, probe, hb, old, rest, begin, size) of rows (ha, hb, old, rest, line), under the key
+def _line_keys(lines: DataFrame, edits: int, cuts: int) -> DataFrame:
+    """(key, ha, probe, hb, old, rest, way) of rows (ha, hb, old, rest, line), under the key
     ``old``; ``rest`` tells what is left of a line in one way from what is left of it in another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_096):
-                part = batch.slice(at, 4_096)
-                ha, hb, old, rest = (c.to_numpy() for c in part.columns[:4])
-                found = _Segments(part.column(4).to_pylist(), old, edits)
-                own = found.line
+            texts, at = batch.column(4).to_pylist(), 0
+            while at < len(texts):
+                to, chars = at + 1, len(texts[at])
+                while to < min(len(texts), at + 4_096) and chars + len(texts[to]) <= _CHARS:
+                    chars, to = chars + len(texts[to]), to + 1
+                ha, hb, old, rest = (c.slice(at, to - at).to_numpy() for c in batch.columns[:4])
+                found = _Segments(texts[at:to], old, edits, cuts)
+                own, at = found.line, to
                 yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in {
                     "key": found.key, "ha": ha[own], "probe": found.probe, "hb": hb[own], "old": old[own],
-                    "rest": rest[own], "begin": found.begin.astype(np.int32), "size": found.size.astype(np.int32)}.items()})
+                    "rest": rest[own], "way": found.way}.items()})
 
     return lines.select("ha", "hb", "old", "rest", "line").mapInArrow(run, _KEYS)
 
 
+def _remainders(lines: DataFrame, edits: int, cuts: int) -> DataFrame:
+    """(ha, hb, old, line): what (ha, hb, key, line, way) leaves of a line, under its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ways(edits, cuts)
+        for batch in batches:
+            left = [_left_out(line, known[way], cuts) for line, way in zip(
+                batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(left, pa.string())], names=["ha", "hb", "old", "line"])
+
+    return lines.select("ha", "hb", "key", "line", "way").mapInArrow(
+        run, "ha long, hb long, old long, line string").distinct()
+
+
 def _shared(keys: DataFrame, rows: DataFrame) -> DataFrame:
     """The distinct ``rows`` whose key different lines share and that indexes one of them.
 
@@ -316,6 +375,7 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
     source, found = lines.select(
         "ha", "hb", F.lit(0).cast("long").alias("old"), F.lit(0).cast("long").alias("rest"), "line"), []
     rows = _shared(_text_keys(docs, edits, least, False), _text_keys(docs, edits, least, True))
+    cuts = edits + 1
     while True:
         bare = rows.select("key", "ha", "hb", "probe").distinct()
         hot, n_hot = counted(bare.groupBy("key").agg(
@@ -325,14 +385,12 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
                            "line-pairs"))
         if not n_hot:
             break
-        # a hot key's lines without the shared segment, to be cut again under that key
+        # a hot key's lines without the shared segments, to be cut again under that key
         again = rows.join(small(hot, n_hot), "key", "left_semi")
         one = ["ha", "hb", "old", "rest"]
         wanted, n = counted(again.select(*one).distinct(), "hot-lines")
         texts = source.join(small(wanted, n), one, "left_semi").dropDuplicates(one)
-        rest = saved(again.join(texts, one).select("ha", "hb", F.col("key").alias("old"), F.concat(
-            F.substr("line", F.lit(1), F.col("begin")),
-            F.substr("line", F.col("begin") + F.col("size") + 1)).alias("line")).distinct(), "refined")
+        rest = saved(_remainders(again.join(texts, one), edits, cuts), "refined")
         path = new_path(docs.sparkSession, "bared")
         seen = write_observed(_bared(rest, n_hot), path, shortest=F.min(F.char_length("line")))
         rest = docs.sparkSession.read.schema("ha long, hb long, old long, line string").parquet(path)
@@ -350,7 +408,8 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
             source, n = counted(source.where(F.char_length("line") > edits), "refined-lines")
         if not n:
             break
-        cut_rows = _line_keys(source, edits)
+        cuts = 2 * edits + 2
+        cut_rows = _line_keys(source, edits, cuts)
         rows = _shared(cut_rows, cut_rows)
     return reduce(DataFrame.union, found).distinct()
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from failscope.llm import line_dedup as L
@@ -106,6 +107,24 @@ def test_bounded_distance_equals_the_table():
             assert L.bounded_distance(a, b, most) == min(distance(a, b), most + 1)
 
 
+def test_near_lines_share_a_key_that_leaves_near_remainders():
+    rng = random.Random(5)
+    for edits, cuts in ((1, 2), (1, 4), (2, 3), (2, 6), (3, 8)):
+        known = L.ways(edits, cuts)
+        for _ in range(150):
+            a = "".join(rng.choice("abcab") for _ in range(rng.randint(4 * edits + 4, 45)))
+            a, b = sorted((a, edited(rng, a, rng.randint(1, edits))), key=len)
+            if a == b:
+                continue
+            found = L._Segments([a, b], np.zeros(2, np.int64), edits, cuts)
+            rows = list(zip(found.line, found.key, found.probe, found.way))
+            indexed = {key: L._left_out(a, known[way], cuts) for line, key, probe, way in rows
+                       if line == 0 and not probe}
+            left = [distance(indexed[key], L._left_out(b, known[way], cuts)) for line, key, _, way in rows
+                    if line == 1 and key in indexed]
+            assert min(left) <= edits, (edits, cuts, a, b)
+
+
 def edited(rng, line, edits):
     for _ in range(edits):
         at = rng.randrange(len(line) + 1)
