@@ -58,21 +58,31 @@ PASSAGE = 50
 BROADCAST_KEYS = 1_000_000
 
 
+def _common(a: str, b: str) -> int:
+    """Characters that the beginnings of a and b have in common, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        half = (low + high + 1) // 2
+        if a[low:half] == b[low:half]:
+            low = half
+        else:
+            high = half - 1
+    return low
+
+
 def bounded_distance(a: str, b: str, most: int) -> int:
     """Edit distance of a and b if it is at most ``most``, else ``most`` + 1.
 
     Bit-parallel: a column of the table is two words of vertical differences. Only the band of
-    2 * ``most`` + 1 diagonals is kept, so a word has that many bits whatever the length.
+    2 * ``most`` + 1 diagonals is kept, so a word has that many bits whatever the length. A column
+    whose least value is above ``most`` ends it, as later ones hold none smaller.
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    start, stop = 0, min(len(a), len(b))
-    while start < stop and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < stop - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start: len(a) - end], b[start: len(b) - end]
+    start = _common(a, b)
+    a, b = a[start:], b[start:]
+    end = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
     if not a or not b:
         return len(a) + len(b)
     # rows follow a, columns follow b; bit i of a column's words is row j - most + i
@@ -97,6 +107,8 @@ def bounded_distance(a: str, b: str, most: int) -> int:
             value += (right_plus >> last & 1) - (right_minus >> last & 1)
         plus = right_minus | (full & ~((diagonal >> 1) | right_plus))
         minus = (diagonal >> 1) & right_plus
+        if value - plus.bit_count() > most:  # the last value less all that may lie above it
+            return most + 1
     return min(value, most + 1)
 
 
