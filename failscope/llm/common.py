@@ -11,6 +11,8 @@ from failscope.session import new_path, ship, write_observed
 
 #: Rows of a broadcast side at most; its rows are a few dozen bytes each.
 BROADCAST_ROWS = 300_000
+#: Rows that a task writes, where a bound of them is known.
+TASK_ROWS = 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,14 +20,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back (cuts the lineage)."""
-    return counted(df, name)[0]
+def saved(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back (cuts the lineage).
+
+    ``most``: where it is known how many rows there are at most, a task is not started and a file
+    not written for each of the partitions of a few rows.
+    """
+    return counted(df, name, most)[0]
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def counted(df: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, int]:
     """``saved`` and the number of rows, counted by the same job."""
     path = new_path(df.sparkSession, name)
+    if most is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, most // TASK_ROWS + 1))
     rows = write_observed(df, path)["rows"]
     return df.sparkSession.read.schema(df.schema).parquet(path), rows
 

@@ -35,6 +35,7 @@ decided on their own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, product
@@ -298,16 +299,17 @@ def _remainders(lines: DataFrame, edits: int, cuts: int) -> DataFrame:
         run, "ha long, hb long, old long, line string").distinct()
 
 
-def _shared(keys: DataFrame, rows: DataFrame) -> DataFrame:
-    """The distinct ``rows`` whose key different lines share and that indexes one of them.
+def _shared(keys: DataFrame, rows: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """The distinct ``rows`` whose key different lines share and that indexes one of them, and
+    their number.
 
-    ``keys``: (key, ha, probe) of the same rows.
+    ``keys``: (key, ha, probe) of the same rows, of which there are at most ``most``.
     """
     per = keys.groupBy("key").agg(
         F.min("ha").alias("low"), F.max("ha").alias("high"), F.min("probe").alias("probe"))
-    keys, n = counted(per.where("low != high AND NOT probe").select("key"), "shared-keys")
-    return saved(rows.join(
-        F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi").distinct(), "shared-rows")
+    keys, n = counted(per.where("low != high AND NOT probe").select("key"), "shared-keys", most)
+    return counted(rows.join(
+        F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi").distinct(), "shared-rows", most)
 
 
 def _subsequences(lines: DataFrame, edits: int) -> DataFrame:
@@ -350,8 +352,8 @@ def _paired(rows: DataFrame, indexed: bool = True) -> DataFrame:
                        high.getField("ha").alias("ya"), high.getField("hb").alias("yb"))
 
 
-def _bared(rest: DataFrame, n_old: int) -> DataFrame:
-    """``rest`` (ha, hb, old, line) without the ends that all lines of an ``old`` have in common;
+def _bared(rest: DataFrame, n: int, n_old: int) -> DataFrame:
+    """``rest``, ``n`` rows (ha, hb, old, line) of ``n_old`` old ones, without the ends that all lines of an ``old`` have in common;
     of those whose lines are then the same, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,14 +370,14 @@ def _bared(rest: DataFrame, n_old: int) -> DataFrame:
     ends = saved(rest.groupBy("old").agg(  # the first and last in order share what all share
         F.min("line").alias("low"), F.max("line").alias("high"), F.min(back).alias("back_low"),
         F.max(back).alias("back_high"), F.min(F.char_length("line")).alias("least")).mapInArrow(
-        run, "old long, head int, tail int"), "common-ends")
+        run, "old long, head int, tail int"), "common-ends", n_old)
     bare = saved(rest.join(small(ends, n_old), "old").select("ha", "hb", "old", F.substr(
-        "line", F.col("head") + 1, F.char_length("line") - F.col("head") - F.col("tail")).alias("line")), "bare-lines")
+        "line", F.col("head") + 1, F.char_length("line") - F.col("head") - F.col("tail")).alias("line")), "bare-lines", n)
     row = ["ha", "hb", "line"]
     sets = bare.groupBy("old").agg(
         F.bit_xor(F.xxhash64(*row)).alias("sa"), F.bit_xor(F.xxhash64(F.lit(1), *row)).alias("sb"),
         F.count(F.lit(1)).alias("n"))
-    chosen = saved(sets.groupBy("sa", "sb", "n").agg(F.min("old").alias("old")).select("old"), "distinct-keys")
+    chosen = saved(sets.groupBy("sa", "sb", "n").agg(F.min("old").alias("old")).select("old"), "distinct-keys", n_old)
     return bare.join(small(chosen, n_old), "old", "left_semi")
 
 
@@ -386,25 +388,26 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
     """
     source, found = lines.select(
         "ha", "hb", F.lit(0).cast("long").alias("old"), F.lit(0).cast("long").alias("rest"), "line"), []
-    rows = _shared(_text_keys(docs, edits, least, False), _text_keys(docs, edits, least, True))
+    rows, n_rows = _shared(_text_keys(docs, edits, least, False), _text_keys(docs, edits, least, True))
     cuts = edits + 1
     while True:
         bare = rows.select("key", "ha", "hb", "probe").distinct()
         hot, n_hot = counted(bare.groupBy("key").agg(
             F.count(F.when(~F.col("probe"), 1)).alias("indexed"), F.count(F.lit(1)).alias("all")
-        ).where(F.col("indexed") * F.col("all") > PAIRS_PER_KEY).select("key"), "hot-keys")
+        ).where(F.col("indexed") * F.col("all") > PAIRS_PER_KEY).select("key"), "hot-keys", n_rows)
+        # of the lines under a key that is paired, at most so many are indexed
         found.append(saved(_paired(bare.join(small(hot, n_hot), "key", "left_anti")).distinct(),
-                           "line-pairs"))
+                           "line-pairs", n_rows * math.isqrt(PAIRS_PER_KEY)))
         if not n_hot:
             break
         # a hot key's lines without the shared segments, to be cut again under that key
         again = rows.join(small(hot, n_hot), "key", "left_semi")
         one = ["ha", "hb", "old", "rest"]
-        wanted, n = counted(again.select(*one).distinct(), "hot-lines")
+        wanted, n = counted(again.select(*one).distinct(), "hot-lines", n_rows)
         texts = source.join(small(wanted, n), one, "left_semi").dropDuplicates(one)
-        rest = saved(_remainders(again.join(texts, one), edits, cuts), "refined")
+        rest, n = counted(_remainders(again.join(texts, one), edits, cuts), "refined", n_rows)
         path = new_path(docs.sparkSession, "bared")
-        seen = write_observed(_bared(rest, n_hot), path, shortest=F.min(F.char_length("line")))
+        seen = write_observed(_bared(rest, n, n_hot), path, shortest=F.min(F.char_length("line")))
         rest = docs.sparkSession.read.schema("ha long, hb long, old long, line string").parquet(path)
         source = rest.select("ha", "hb", "old", F.xxhash64("line").alias("rest"), "line")
         n = seen["rows"]
@@ -417,12 +420,12 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
             brief = rest.where(F.char_length("line") <= 2 * edits)
             found.append(saved(_paired(saved(_subsequences(brief, edits), "brief-keys"), False).distinct(),
                                "line-pairs"))
-            source, n = counted(source.where(F.char_length("line") > edits), "refined-lines")
+            source, n = counted(source.where(F.char_length("line") > edits), "refined-lines", n)
         if not n:
             break
         cuts = 2 * edits + 2
         cut_rows = _line_keys(source, edits, cuts)
-        rows = _shared(cut_rows, cut_rows)
+        rows, n_rows = _shared(cut_rows, cut_rows, n * len(ways(edits, cuts)))
     return reduce(DataFrame.union, found).distinct()
 
 
