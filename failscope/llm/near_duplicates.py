@@ -11,11 +11,14 @@ What a node compares are 256-bit sketches (one bit of the least hash in each of
 pair is dropped only if more bits differ than a linked pair shows in five standard deviations.
 The rest is confirmed on full sets, best pair of each class first and only between classes
 that are not yet connected, so a large group of near copies costs a forest, not all its pairs.
-A node that is still large at the last depth holds near copies: all its members are compared
-with its pivots first, the members nearest to the majority of its sketches (copies of one text
-differ more from each other than from it), and then only across components, by sketches of
-eight bits a bin. How many bins may differ follows from both sizes: no more than the members
-that are in one set only, which the threshold bounds.
+A node that is still large at the last depth holds near copies. Its pivot is the member nearest
+to the majority of its sketches, as copies of one text differ more from each other than from it.
+A member is then what tells it from the pivot (the shingles that only one of the two has), and
+the overlap of two such differences says exactly whether two members are linked. Pairs that are
+linked whatever their overlap is all have a link with one member, so a star holds them. For all
+others a least overlap is known, so they share one of the rarest shingles of both differences:
+members are joined on those, apart for each range of the partner's distance. Members far from
+the pivot are compared with the near ones, and get a pivot of their own among themselves.
 
 Links join classes into components by contraction in rounds, each one written to the shared
 folder. Nothing of the corpus goes to the driver but counts.
@@ -44,9 +47,6 @@ from failscope.session import new_path, write_observed
 BINS = 256
 #: Sketch columns, of 64 bins each.
 SKETCH = ["s1", "s2", "s3", "s4"]
-#: Bits of a bin, and columns, of the sketches for large nodes.
-PLANES = 8
-FINE = [f"f{i}" for i in range(BINS * PLANES // 64)]
 _U = np.uint64
 
 
@@ -80,15 +80,14 @@ def mix_rows(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return ((items[None, :] ^ (factors >> _U(7))[:, None]) * factors[:, None]).min(axis=1)
 
 
-def _sketch(items: np.ndarray, planes: int = 1) -> np.ndarray:
-    """Words of ``planes`` bits for each bin's least member; an empty bin gives 0."""
+def _sketch(items: np.ndarray) -> np.ndarray:
+    """Words of a bit for each bin's least member; an empty bin gives 0."""
     edges = np.arange(BINS, dtype=_U) << _U(64 - (BINS - 1).bit_length())
     first = np.searchsorted(items, edges)
     after = np.append(first[1:], len(items))
-    hashes = np.zeros(BINS, _U)
+    bits = np.zeros(BINS, _U)
     full = first < after
-    hashes[full] = mix(items[first[full]])
-    bits = hashes[None, :] >> np.arange(planes, dtype=_U)[:, None] & _U(1)
+    bits[full] = mix(items[first[full]]) & _U(1)
     return (bits.reshape(-1, 64) << np.arange(64, dtype=_U)).sum(axis=1, dtype=_U)
 
 
@@ -143,39 +142,21 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
         run, "doc_id long, h1 long, h2 long, items array<long>").where(F.size("items") > 0)
 
 
-def fine_sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h1, h2, f0 to f31): sketches of ``PLANES`` bits for each bin."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.concatenate([
-                [s.sum(dtype=_U), mix(s + _U(len(s))).sum(dtype=_U)], _sketch(s, PLANES)])
-                for s in shingle_sets(batch.column(1), words)]
-            columns = np.array(rows, _U).reshape(-1, 2 + len(FINE)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in columns.T]],
-                names=["doc_id", "h1", "h2", *FINE])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in FINE))
-
-
-def _differing(columns: list[str] = SKETCH) -> Column:
+def _differing() -> Column:
     return reduce(operator.add, [
-        F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in columns])
+        F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH])
 
 
-def _near(most: int, percent: int, planes: int = 1) -> Column:
+def _near(most: int, percent: int) -> Column:
     """Sizes and sketches of a and b allow a link.
 
     Of two linked sets at most ``apart`` members are in one only, and no more bins differ; nor
-    do more than ``most`` allows. A bin that differs does so in each plane with chance 1/2.
+    do more than ``most`` allows. A bin that differs does so in its bit with chance 1/2.
     """
     apart = (F.col("a.n") + F.col("b.n")) * ((100 - percent) / (100 + percent))
     bins = F.least(apart, F.lit(float(most)))
-    limit = bins * (planes / 2) + F.sqrt(bins * planes) * 2.5 + 1
-    return (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (
-        _differing(SKETCH if planes == 1 else FINE) <= limit)
+    limit = bins / 2 + F.sqrt(bins) * 2.5 + 1
+    return (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (_differing() <= limit)
 
 
 def _as_pairs(joined: DataFrame) -> DataFrame:
@@ -224,31 +205,111 @@ def _majority(large: DataFrame) -> DataFrame:
     return total.select("node", *[bits(c) for c in SKETCH])
 
 
-def _pivot_pairs(large: DataFrame, most: int, percent: int, pivots: int) -> DataFrame:
-    """Every member of a large node against its pivots."""
+def _families(large: DataFrame) -> DataFrame:
+    """(pivot, cid): the members of large nodes, those with the same pivot as one."""
     far = reduce(operator.add, [
         F.bit_count(F.col(c).bitwiseXOR(F.col(f"m_{c}"))) for c in SKETCH])
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("far", "cid"))
-    chosen = large.join(_majority(large), "node").withColumn("far", far).withColumn(
-        "rank", rank).where(F.col("rank") <= pivots).select(*large.columns)
-    return _as_pairs(large.alias("a").join(chosen.alias("b"), "node").where(
-        (F.col("a.cid") != F.col("b.cid")) & _near(most, percent)))
-
-
-def _across_pairs(large: DataFrame, labels: DataFrame, fine: DataFrame, most: int,
-                  percent: int) -> DataFrame:
-    """Members of a large node outside its main component against all the others."""
-    rows = large.select("node", "cid", "n").join(labels, "cid", "left").withColumn(
-        "label", F.coalesce("label", "cid"))
-    sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("node").agg(
-        F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    main = main.where("parts > 1").select("node", F.col("top.label").alias("main"))
-    rows = saved(rows.join(main, "node").join(fine, "cid"), "across")
-    met = rows.where("label != main").alias("a").join(rows.alias("b"), "node").where(
-        (F.col("a.label") != F.col("b.label")) & _near(most, percent, PLANES))
-    return met.select(F.least("a.cid", "b.cid").alias("x"), F.greatest("a.cid", "b.cid").alias("y"),
-                      _differing(FINE).alias("differ"))
+    pivots = large.join(_majority(large), "node").groupBy("node").agg(
+        F.min(F.struct(far.alias("far"), "cid")).alias("least"))
+    return large.select("node", "cid").join(
+        saved(pivots.select("node", F.col("least.cid").alias("pivot")), "pivots"), "node"
+    ).select("pivot", "cid").distinct()
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
+
+
+def _differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(pivot, cid, gap, level, far, apart) of (pivot, cid).
+
+    ``apart``: shingles in one of the two sets only. Members are linked if twice the overlap of
+    theirs, times 100 + ``percent``, is at least the sum of their ``gap``. ``level`` is a range of
+    gaps, twice as wide as the one before it on the way from zero up or down.
+    """
+    base = sets.join(rows.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi")
+    both = rows.join(sets, "cid").join(base.select(
+        F.col("cid").alias("pivot"), F.col("items").alias("base")), "pivot")
+    parts = both.select("pivot", "cid", F.size("items").alias("n"), F.concat(
+        F.array_except("items", "base"), F.array_except("base", "items")).alias("apart"))
+    gap = (F.size("apart") * (100 + percent) - F.col("n") * (100 - percent)).cast("long")
+    steps = F.floor(F.col("gap") / (2 * (100 + percent)))
+    level = F.when(steps >= 0, F.length(F.bin(steps + 1)) - 1).otherwise(-F.length(F.bin(-steps)))
+    return saved(parts.withColumn("gap", gap).select(
+        "pivot", "cid", "gap", level.alias("level"), (F.size("apart") * 2 > F.col("n")).alias("far"),
+        "apart"), "differences")
+
+
+def _rarest(members: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(pivot, cid, inner, far, level, to, e): the rarest shingles e of what tells a member apart,
+    of which it shares one with every member of level ``to`` that it is linked with.
+
+    ``shared``: (pivot, e, uses) of those that two members or more have. Two inner members are
+    not to be compared.
+    """
+    step = 2 * (100 + percent)
+    own = members.select("pivot", "cid", F.explode("apart").alias("e")).join(
+        shared, ["pivot", "e"]).groupBy("pivot", "cid").agg(
+        F.sort_array(F.collect_list(F.struct("uses", "e"))).alias("own"))
+    rows = members.drop("apart").join(own, ["pivot", "cid"])
+    need = lambda at: F.greatest(F.lit(1), F.ceil((F.col("gap") + at["low"]) / step))
+    # no more can overlap than the partners of a level, or the member itself, have
+    levels = F.filter("levels", lambda at: (~F.col("inner") | (at["high"] + F.col("least") > 0)) & (
+        need(at) <= F.least(at["longest"], F.size("own"))))
+    found = F.flatten(F.transform(levels, lambda at: F.transform(
+        F.slice("own", F.lit(1), (F.size("own") + 1 - need(at)).cast("int")),
+        lambda one: F.struct(at["level"].alias("to"), one["e"].alias("e")))))
+    return rows.select("pivot", "cid", "inner", "far", "level", F.explode(found).alias("one")).select(
+        "*", "one.to", "one.e").drop("one")
+
+
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pivot, x, y) of different members that share one of their rarest shingles."""
+    a, b = a.alias("a"), b.alias("b")
+    return a.join(b, (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.e") == F.col("b.e"))
+                  & (F.col("a.to") == F.col("b.level")) & (F.col("a.level") == F.col("b.to"))
+                  & (F.col("a.cid") != F.col("b.cid"))).select("a.pivot", *_ordered("a.cid", "b.cid"))
+
+
+def _family_links(rows: DataFrame, sets: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """Links (x, y) that connect all linked members (pivot, cid) of a family; ``sets``: (cid, items).
+
+    Members far from their pivot go on to the next round, with one of them as their pivot; with the
+    last of ``pivots`` none counts as far, so all pairs are covered whatever a family holds.
+    """
+    found = []
+    for left in range(pivots - 1, -1, -1):
+        members = _differences(rows, sets, percent)
+        levels = members.groupBy("pivot", "level").agg(
+            F.min(F.struct("gap", "cid")).alias("top"), F.max("gap").alias("high"),
+            F.max(F.size("apart")).alias("longest"))
+        tops = saved(levels.groupBy("pivot").agg(F.min("top").alias("top"), F.collect_list(F.struct(
+            "level", F.col("top.gap").alias("low"), "high", "longest")).alias("levels")).select(
+            "pivot", F.col("top.cid").alias("nearest"), F.col("top.gap").alias("least"), "levels"), "nearest")
+        inner = F.col("gap") + F.col("least") <= 0
+        members = members.join(tops, "pivot").withColumn("inner", inner).withColumn(
+            "far", F.col("far") & ~inner & F.lit(left > 0))
+        star = members.where("inner AND cid != nearest").select(*_ordered("cid", "nearest"))
+        shared = saved(members.select("pivot", F.explode("apart").alias("e")).groupBy("pivot", "e").agg(
+            F.count(F.lit(1)).alias("uses")).where("uses > 1"), "shared-shingles")
+        keys = saved(_rarest(members, shared, percent), "rarest-shingles")
+        near = keys.where("NOT inner AND NOT far")
+        met = saved(_met(near, keys).union(_met(keys.where("far"), keys.where("inner"))).distinct(), "met")
+        a = members.select("pivot", F.col("cid").alias("x"), F.col("gap").alias("gx"), F.col("apart").alias("ax"))
+        b = members.select("pivot", F.col("cid").alias("y"), F.col("gap").alias("gy"), F.col("apart").alias("ay"))
+        overlap = F.size(F.array_intersect("ax", "ay"))
+        linked = met.join(a, ["pivot", "x"]).join(b, ["pivot", "y"]).where(
+            overlap * (2 * (100 + percent)) >= F.col("gx") + F.col("gy")).select("x", "y")
+        found.append(saved(star.union(linked).distinct(), "family-links"))
+        others = members.where("far").select("pivot", "cid")
+        groups = others.groupBy("pivot").agg(
+            F.min(F.struct(F.xxhash64("cid"), "cid")).getField("cid").alias("next"),
+            F.count(F.lit(1)).alias("size")).where("size > 1")
+        rows, n = counted(others.join(groups, "pivot").select(F.col("next").alias("pivot"), "cid").distinct(),
+                          "far-members")
+        if not n:
+            break
+    return reduce(DataFrame.union, found).distinct()
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -302,15 +363,20 @@ class _Forest:
         self.labels = saved(known.union(new), "labels")
 
 
+def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(cid, items) of the classes ``wanted`` (cid)."""
+    keys = classes.join(wanted, "cid", "left_semi").select(
+        F.col("cid").alias("doc_id"), "h1", "h2")
+    found = full_sets(docs.join(wanted, F.col("doc_id") == F.col("cid"), "left_semi"), words).join(
+        keys, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("cid"), "items")
+    return saved(found.dropDuplicates(["cid"]), "sets")
+
+
 def _confirm(forest: _Forest, pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
              percent: int) -> None:
     """Confirm pairs on full sets until none is left between different components."""
     wanted = saved(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct(), "wanted")
-    keys = classes.join(wanted, "cid", "left_semi").select(
-        F.col("cid").alias("doc_id"), "h1", "h2")
-    sets = saved(full_sets(docs.join(wanted, F.col("doc_id") == F.col("cid"), "left_semi"), words)
-                 .join(keys, ["doc_id", "h1", "h2"], "left_semi").select(
-        F.col("doc_id").alias("cid"), "items"), "sets")
+    sets = _sets(wanted, docs, classes, words)
     todo, share = pairs, 1
     while True:
         rank = F.row_number().over(Window.partitionBy("y").orderBy("differ", "x"))
@@ -331,10 +397,11 @@ def _confirm(forest: _Forest, pairs: DataFrame, docs: DataFrame, classes: DataFr
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = 3,
-                    recall: float = 0.9999, leaf: int = 32, pivots: int = 8) -> DataFrame:
+                    recall: float = 0.9999, leaf: int = 32, pivots: int = 3) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept (see the module's text).
 
-    ``words`` per shingle; a link needs a similarity of at least ``percent`` / 100.
+    ``words`` per shingle; a link needs a similarity of at least ``percent`` / 100. Members of large
+    nodes get up to ``pivots`` pivots, one after another; which links are found does not depend on it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trees = trees_for(percent / 100, depth, recall)
@@ -353,27 +420,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: i
         pairs = _as_pairs(rows.alias("a").join(rows.alias("b"), "node").where(
             (F.col("a.cid") < F.col("b.cid")) & _near(most, percent)))
         found = pairs if found is None else found.union(pairs)
-    if large is not None:
-        found = found.union(_pivot_pairs(large, most, percent, pivots))
-    pairs, rows = counted(found.where("x != y").distinct(), "pairs")
     forest = _Forest()
-    if rows:
-        _confirm(forest, pairs, docs, full, words, percent)
     if large is not None:
-        labels = forest.labels
-        if labels is None:
-            labels = full.select("cid", F.col("cid").alias("label")).limit(0)
-        members = saved(large.select("cid").distinct().join(
-            full.select("cid", "h1", "h2"), "cid"), "large-members")
-        fine = fine_sketches(docs.join(
-            members.select("cid").distinct(), F.col("doc_id") == F.col("cid"), "left_semi"), words)
-        fine = saved(fine.withColumnRenamed("doc_id", "cid").join(
-            members, ["cid", "h1", "h2"], "left_semi").drop("h1", "h2").dropDuplicates(["cid"]), "fine-sketches")
-        across, rows = counted(
-            _across_pairs(large, labels, fine, most, percent).where("x != y").distinct().join(
-                pairs.select("x", "y"), ["x", "y"], "left_anti"), "across-pairs")
+        families = saved(_families(large), "families")
+        sets = _sets(saved(families.select("cid").distinct(), "large-members"), docs, full, words)
+        links, rows = counted(_family_links(families, sets, percent, pivots), "large-links")
         if rows:
-            _confirm(forest, across, docs, full, words, percent)
+            forest.add(links.select("x", "y", F.col("x").alias("lx"), F.col("y").alias("ly")))
+    pairs, rows = counted(forest.open(found.where("x != y").distinct()).select("x", "y", "differ"), "pairs")
+    if rows:
+        _confirm(forest, pairs, docs, full, words, percent)
 
     rows = marks.select("doc_id", "n", "h1", "h2").join(
         classes.select("h1", "h2", "n", F.col("cid").alias("class")), ["h1", "h2", "n"], "left")
