@@ -76,6 +76,50 @@ def test_large_groups_and_small_leaves(spark):
     check(spark, data, 5, 80)
 
 
+def linked_components(sets, percent):
+    """Least id reachable from each id over links of similarity percent / 100 or more."""
+    root = {x: x for x in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in sorted(sets):
+        for y in sets:
+            both = len(sets[x] & sets[y])
+            if x < y and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    return {x: find(x) for x in sets}
+
+
+def test_family_links_connect_what_is_linked(spark):
+    rng = random.Random(9)
+    bases = [set(range(1_000)), set(range(500, 1_500)), set(range(2_000, 2_030))]
+    bases = [set(rng.sample(sorted(b), min(len(b), 120))) for b in bases]
+    sets = {}
+    for i in range(150):  # copies around three bases; some just below or above the threshold
+        base = bases[rng.choice([0, 0, 0, 1, 1, 2])]
+        gone = rng.sample(sorted(base), rng.randint(0, len(base) // 7))
+        sets[i + 1] = base - set(gone) | {10_000 + rng.randrange(400) for _ in range(len(gone) // 2)}
+    sets[200] = sets[7] | set(rng.sample(range(20_000, 20_100), 3))
+    sets[201], sets[202] = {1}, {1, 2}
+    rows = spark.createDataFrame([(3, c) for c in sets] + [(201, c) for c in list(sets)[::2]] + [(201, 201)],
+                                 "pivot long, cid long").distinct()
+    items = spark.createDataFrame([(c, sorted(s)) for c, s in sets.items()], "cid long, items array<long>")
+    for percent, pivots in ((85, 3), (85, 1), (80, 2)):
+        links = [(r.x, r.y) for r in N._family_links(rows, items, percent, pivots).collect()]
+        for x, y in links:
+            both = len(sets[x] & sets[y])
+            assert x < y and 100 * both >= percent * len(sets[x] | sets[y])
+        got = {r.node: r.root for r in N.contract(
+            spark.createDataFrame(links, "x long, y long")).collect()}
+        want = linked_components(sets, percent)
+        assert {x: got.get(x, x) for x in sets} == want
+        assert 1 < len(set(want.values())) < len(sets)
+
+
 def test_enough_trees():
     assert 1 - (1 - 0.85**4) ** N.trees_for(0.85, 4, 0.9999) >= 0.9999
     assert N.most_differing(1.0) == 0 < N.most_differing(0.85) < N.BINS
