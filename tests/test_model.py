@@ -210,3 +210,22 @@ def test_boosted_attributions_equal_brute_force_shapley(spark):
                        for k in range(4) for s in itertools.combinations(others, k))
             assert phi[j] == pytest.approx(want, abs=1e-9)
         assert base[0] == pytest.approx(value(set()), abs=1e-9)
+
+
+def test_class_contributions_equal_those_of_one_class():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, size=(50, 5)).astype(float)
+    leaves = []
+    for _ in range(30):
+        features = rng.choice(5, size=3, replace=False)
+        leaves.append((features, np.array([-math.inf, 1.0, 2.0]), np.array([3.0, math.inf, 4.0]),
+                       rng.normal(size=(8, 3)), rng.random(3) * (rng.random(3) < 0.6)))
+    found = A.class_contributions(leaves, x, 3)
+    for cls in range(3):
+        assert np.array_equal(found[:, cls], A.contributions(leaves, x, np.full(50, cls)))
+
+
+def test_rows_cross_to_python_once_for_all_classes(fitted):
+    _, _, features, _, model, _ = fitted
+    plan = A.attributions(model, features, all_classes=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
