@@ -19,7 +19,10 @@ from failscope import constants as K
 from failscope.operators.split import balanced_weights, stratified_split
 
 FOREST, BOOSTED = "forest", "boosted"
-ROWS_PER_PARTITION = 500_000
+ROWS_PER_PARTITION = 100_000
+#: Megabytes of node statistics a pass sums up. A row meets all nodes of a pass, so for many rows
+#: they are to stay in a core's cache; few rows take fewer passes instead.
+PASS_MB, PASS_MB_MANY_ROWS, MANY_ROWS = 256, 2, 200_000
 
 
 def assemble(df: DataFrame, names: list[str]) -> DataFrame:
@@ -100,10 +103,11 @@ def train(
     """Fit on all given rows, weighted so that every class counts the same.
 
     Rows are placed by id hash and sorted, and trees draw their samples per partition,
-    so a seed gives the same trees each time. The number of partitions follows the
-    number of rows, not the cluster.
+    so a seed gives the same trees each time. The number of partitions and the size of a
+    pass follow the number of rows, not the cluster.
     """
-    partitions = partitions or max(8, math.ceil(features.count() / ROWS_PER_PARTITION))
+    n = features.count()
+    partitions = partitions or max(8, math.ceil(n / ROWS_PER_PARTITION))
 
     classes = [r[0] for r in features.select(label).distinct().orderBy(label).collect()]
     rows = balanced_weights(features, label).withColumn("_label", _index(F.col(label), classes))
@@ -113,7 +117,8 @@ def train(
     common = dict(
         featuresCol="features", weightCol="class_weight", maxDepth=p["max_depth"],
         minInstancesPerNode=p["min_child_weight"], subsamplingRate=p["subsample"],
-        featureSubsetStrategy=str(p["colsample_bytree"]), seed=seed)
+        featureSubsetStrategy=str(p["colsample_bytree"]), seed=seed,
+        maxMemoryInMB=PASS_MB_MANY_ROWS if n > MANY_ROWS else PASS_MB)
     if kind == FOREST:
         trees = RandomForestClassifier(labelCol="_label", numTrees=n_trees, **common).fit(rows)
         return RootCauseModel(trees, classes, names, kind, version)

@@ -229,3 +229,17 @@ def test_rows_cross_to_python_once_for_all_classes(fitted):
     _, _, features, _, model, _ = fitted
     plan = A.attributions(model, features, all_classes=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_many_rows_are_trained_in_small_passes(spark, fitted, monkeypatch):
+    _, _, features, names, *_ = fitted
+    passes = []
+    fit = MM.RandomForestClassifier.fit
+    monkeypatch.setattr(MM.RandomForestClassifier, "fit", lambda self, rows: (
+        passes.append((self.getMaxMemoryInMB(), rows.rdd.getNumPartitions())), fit(self, rows))[1])
+    monkeypatch.setattr(MM, "MANY_ROWS", 10, raising=False)
+    monkeypatch.setattr(MM, "ROWS_PER_PARTITION", 50)
+    n = features.count()
+    MM.train(features, names, n_trees=2)
+    assert passes == [(MM.PASS_MB_MANY_ROWS, max(8, math.ceil(n / 50)))]
+    assert MM.PASS_MB_MANY_ROWS < 16
