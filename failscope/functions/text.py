@@ -95,21 +95,37 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{WORD}{{2,}}"), F.lit(0))
 
 
-def grams(token_array: Column) -> Column:
-    """All single tokens, then all pairs of neighbours joined by a space."""
+def text_tokens(text: Column) -> Column:
+    """``tokens(vector_text(text))``: runs of word characters are the same before white space
+    is collapsed and placeholders lower-cased, so neither is done."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, name in K.PLACEHOLDERS:
+        out = F.regexp_replace(out, unicode_aware(pattern), f" {name.lower()} ")
+    return tokens(out)
+
+
+def token_pairs(token_array: Column, among: list[str] | None = None) -> Column:
+    """All pairs of neighbours joined by a space; with ``among``, those of two such tokens."""
     n = F.size(token_array)
+    if among is not None:
+        token_array = F.transform(token_array, lambda t: F.when(t.isin(among), t))
     pairs = F.zip_with(
         F.slice(token_array, F.lit(1), F.greatest(n - 1, F.lit(0))),
         F.slice(token_array, F.lit(2), F.greatest(n - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return F.concat(token_array, pairs)
+    return pairs if among is None else F.filter(pairs, lambda p: p.isNotNull())
+
+
+def grams(token_array: Column) -> Column:
+    """All single tokens, then all pairs of neighbours joined by a space."""
+    return F.concat(token_array, token_pairs(token_array))
 
 
 def with_grams(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the grams of a text column. The tokens get a column of their own: they are
     used several times, and this way they are found once."""
-    found = df.withColumn("_tokens", tokens(vector_text(F.col(text))))
+    found = df.withColumn("_tokens", text_tokens(F.col(text)))
     return found.withColumn(out, grams(F.col("_tokens"))).drop("_tokens")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failscope import constants as K
-from failscope.functions.text import grams, placeholder_text, tokens, vector_text
+from failscope.functions.text import grams, placeholder_text, text_tokens, vector_text
 from failscope.operators.vectorize import Vocabulary, fit_vocabulary
 from failscope.plans import oracle_text as O
 from failscope.plans.derived import failure_events, table, with_tables
@@ -61,7 +61,10 @@ SELECT id AS doc_id, count(*) AS n_grams, count(*) FILTER (contains(term, ' '))
 FROM grams GROUP BY id""")
 def q_grams(spark: SparkSession, folder: str) -> DataFrame:
     listed = table(spark, folder, "documents", heavy=True).select(
-        "doc_id", tokens(vector_text(F.col("text"))).alias("t"))
+        "doc_id", text_tokens(F.col("text")).alias("t"))
+    # The optimizer takes a filter on the tokens below the spreading, where few tasks would compute
+    # them a second time. It does not take it through a generator.
+    listed = listed.select("doc_id", F.explode_outer(F.array("t")).alias("t"))
     both = listed.select("doc_id", F.size("t").alias("n"), grams(F.col("t")).alias("g"))
     return both.where("n > 0").select(
         "doc_id", F.size("g").cast("bigint").alias("n_grams"),
@@ -74,7 +77,7 @@ WITH {_DOCS}, {TOKENS}
 SELECT id AS doc_id, array_to_string(ts, ' ') AS tokens FROM toks""")
 def q_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", heavy=True).select(
-        "doc_id", F.array_join(tokens(vector_text(F.col("text"))), " ").alias("tokens"))
+        "doc_id", F.array_join(text_tokens(F.col("text")), " ").alias("tokens"))
 
 
 _VOCAB_SELECT = "SELECT term, concat('tfidf_', term) AS feature, df, tf, round(idf, 9) AS idf, idx FROM vocab"

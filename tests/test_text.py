@@ -4,8 +4,12 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from failscope.functions.text import text_tokens, token_pairs, tokens, vector_text
 from failscope.operators import vectorize as X
+from failscope.operators.vectorize import fit_vocabulary
+from tests.conftest import SMALL
 
 WORDS = "error schema pod-7 timeout 503 /tmp/a.csv s3://b/c größe not found null 12.5 mb x".split()
 
@@ -87,3 +91,42 @@ def test_large_vocabularies_take_the_same_path(spark):
     for r in rows:
         dense = {t: w for (t, _), w in zip(fitted.terms, r["tfidf"]) if w}
         assert dense == pytest.approx(long[r["id"]])
+
+
+def test_tokens_without_collapsing_are_the_same(spark):
+    from tests.test_log_signals import TRICKY
+    texts = TRICKY + ["a  b　　cc\tdd S3://X/y.z 12 GB", "", None, "ΣΑΣ ΑΣ", "5 ms500 /a/b.CSV 1234"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select(
+        text_tokens(F.col("t")).alias("got"), tokens(vector_text(F.col("t"))).alias("want")).collect()
+    assert len(rows) == len(texts) and all(r.got == r.want for r in rows)
+
+
+@pytest.mark.parametrize("size", [1, 3, 6, 12, 500])
+def test_vocabulary_from_common_words_is_that_of_all_terms(spark, size):
+    rng = random.Random(size)
+    words = ["aa", "bb", "cc", "dd", "ee", "ff", "gg"]
+    texts = [" ".join(rng.choices(words, weights=[40, 20, 9, 5, 3, 2, 1], k=rng.randint(0, 12)))
+             for _ in range(60)] + [None, "aa aa aa"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    tf, df = Counter(), Counter()
+    for text in texts:
+        found = (text or "").split()
+        found += [f"{a} {b}" for a, b in zip(found, found[1:])]
+        tf.update(found)
+        df.update(set(found))
+    want = sorted((-tf[t], t) for t in tf if 2 <= df[t] <= 0.9 * len(texts))[:size]
+    got = {r.term: (r.tf, r.df) for r in fit_vocabulary(docs, "t", size).table.collect()}
+    assert got == {t: (-n, df[t]) for n, t in want}
+
+
+def test_only_pairs_of_given_words_are_formed(spark):
+    row = spark.createDataFrame([(["aa", "bb", "zz", "aa", "aa"],)], "t array<string>").select(
+        token_pairs(F.col("t"), ["aa", "bb"]).alias("p")).first()
+    assert row.p == ["aa bb", "aa aa"]
+
+
+def test_tokens_are_found_once_and_after_spreading(spark):
+    from failscope.plans.texts import q_grams
+    plan = q_grams(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition"):] if "Repartition" in plan else ""
+    assert plan.count("regexp_extract_all") == 1 and "regexp" not in below
