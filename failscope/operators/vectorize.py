@@ -12,19 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from failscope import constants as K
-from failscope.functions.text import with_grams
+from failscope.functions.text import text_tokens, token_pairs, with_grams
 from failscope.session import materialize
 
+#: Words collected to tell which pairs can be used often enough; with more, all pairs are counted.
+MAX_COMMON = 10_000
+
 VOCABULARY = "term string, df bigint, tf bigint, idf double, idx int"
 
 
-def term_counts(docs: DataFrame, text: str) -> DataFrame:
+def term_counts(listed: DataFrame, terms: Column) -> DataFrame:
     """Corpus count and document count of every term in one shuffle.
 
     Each document contributes its terms once per use and once per distinct term;
     both counts are summed map-side, so no (term, document) pair is shuffled.
     """
-    listed = with_grams(docs.select(text), text, "g").select("g")
+    listed = listed.select(terms.alias("g"))
     uses = F.transform("g", lambda t: F.struct(
         t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
     once = F.transform(F.array_distinct("g"), lambda t: F.struct(
@@ -40,12 +43,26 @@ def fit_vocabulary(
     docs: DataFrame, text: str, max_features: int = K.TFIDF_MAX_FEATURES,
     min_df: int = K.TFIDF_MIN_DF, max_df: float = K.TFIDF_MAX_DF,
 ) -> "Vocabulary":
-    """Most used terms that are neither rare nor everywhere; ties by term."""
+    """Most used terms that are neither rare nor everywhere; ties by term.
+
+    Single words are counted first. The least use among the best ``max_features`` of them
+    is a floor: a pair is used no more often than either of its words, so only pairs of two
+    words used that often can be among the best terms, and no other pair is formed. With fewer words
+    than wanted there is no floor, and all pairs are counted.
+    """
     n = docs.count()
-    top = (
-        term_counts(docs, text)
-        .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
-        .orderBy(F.desc("tf"), "term").limit(max_features))
+    allowed = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n))
+    best = [F.desc("tf"), F.col("term")]
+    found = materialize(docs.select(text_tokens(F.col(text)).alias("_tokens")), "tokens")
+    words = materialize(term_counts(found, F.col("_tokens")), "words")
+    top = [r["tf"] for r in words.where(allowed).orderBy(*best).limit(max_features).collect()]
+    floor = top[-1] if top and len(top) == max_features else 0
+    common = [r["term"] for r in words.where(F.col("tf") >= floor).limit(MAX_COMMON + 1).select(
+        "term").collect()] if floor else None
+    if common is not None and len(common) > MAX_COMMON:
+        common = None
+    pairs = term_counts(found, token_pairs(F.col("_tokens"), common))
+    top = words.unionByName(pairs).where(allowed).orderBy(*best).limit(max_features)
     idf = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
     order = F.row_number().over(Window.orderBy("term")) - 1
     table = materialize(
