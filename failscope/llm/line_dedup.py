@@ -10,8 +10,9 @@ the substrings at the few places that the number of edits left and right of them
    shuffle, so a line that stands in a third of all documents is one row per task.
 2. Hashes of all segments and probes, also distinct before the shuffle; only keys that two
    different lines share go on.
-3. Lines that share a key are candidates. A key that very many lines share is not paired: its
-   lines drop the shared segment, and what is left of them (whose distance is no larger) is cut
+3. Lines that share a key are candidates, unless the characters, or pairs of adjacent ones, that
+   they hold an odd number of differ by more than ``edits`` can change: near copies of long lines
+   share many keys without being near. A key that very many lines share is not paired: its lines drop the shared segment, and what is left of them (whose distance is no larger) is cut
    again, under the old key, as often as it takes. It is then cut into 2 * ``edits`` + 2 segments,
    of which near lines share all but ``edits``: a key holds all those shared, so it says more and
    leaves less. Ends common to all that is left under a key go first, and keys that leave the same
@@ -51,8 +52,11 @@ from failscope.llm.common import counted, saved, small
 from failscope.llm.shingles import mix, powers
 from failscope.session import new_path, write_observed
 
-#: Pairs of lines under one key beyond which the key is refined instead of paired.
-PAIRS_PER_KEY = 256
+#: Pairs of lines under one key beyond which the key is refined instead of paired. The join compares
+#: two words of each pair and keeps few, so 64 lines with one another cost less than cutting them again.
+PAIRS_PER_KEY = 4_096
+#: Bits of a line's words (``_Segments.odd``) that an edit flips at most.
+FLIPS = {"ones": 2, "twos": 4}
 #: Words from which on a line is a passage, of which every further use is lost.
 PASSAGE = 50
 #: Keys (one number each) of a broadcast at most; more are joined by a shuffle.
@@ -132,9 +136,9 @@ _SEEDS = (42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed=42))
 #: Lines whose keys a task remembers having sent, so that a frequent line is sent once.
 _SENT_LINES = 200_000
 #: Characters of texts that are cut together; a longer text is on its own.
-_CHARS = 1 << 20
+_CHARS = 1 << 18
 _U = np.uint64
-_KEYS = "key long, ha long, probe boolean, hb long, old long, rest long, way int"
+_KEYS = "key long, ha long, probe boolean, hb long, old long, rest long, way int, ones long, twos long"
 
 
 def _signed(x: int) -> int:
@@ -219,6 +223,24 @@ class _Segments:
                 part.append(values)
         #: The line's number, key, whether it is a probe, and the way it matches.
         self.line, self.key, self.probe, self.way = (np.concatenate(p) for p in found)
+        self._codes, self._first, self._lengths = codes, first, lengths
+
+    def odd(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two words for each line: of which of 64 kinds of characters, and of pairs of adjacent ones,
+        it holds an odd number.
+
+        An edit takes away and adds at most one character each, and two pairs each (``FLIPS``).
+        """
+        full = np.flatnonzero(self._lengths)
+        ones, twos = np.zeros((2, len(self._first)), _U)
+        if len(full):
+            codes = self._codes.astype(np.uint64)
+            pairs = (codes[:-1] * _U(0x9E3779B97F4A7C15) + codes[1:]) * _U(0xD6E8FEB86659FD93) >> _U(58)
+            pairs = np.append(_U(1) << pairs, _U(0))
+            pairs[(self._first + self._lengths)[full] - 1] = 0
+            ones[full] = np.bitwise_xor.reduceat(_U(1) << (codes & _U(63)), self._first[full])
+            twos[full] = np.bitwise_xor.reduceat(pairs, self._first[full])
+        return ones.view(np.int64), twos.view(np.int64)
 
 
 def _new_lines(texts: list, least: int, sent: set[int]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -241,7 +263,7 @@ def _new_lines(texts: list, least: int, sent: set[int]) -> tuple[list[str], np.n
 
 def _text_keys(docs: DataFrame, edits: int, least: int, whole: bool) -> DataFrame:
     """Segments and probes of all lines of (text) rows: (key, ha, probe), and with ``whole`` also
-    (hb, old, rest, way)."""
+    (hb, old, rest, way, ones, twos)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -257,6 +279,7 @@ def _text_keys(docs: DataFrame, edits: int, least: int, whole: bool) -> DataFram
                 if whole:
                     none = np.zeros(len(found.key), np.int64)
                     columns |= {"hb": hb[found.line], "old": none, "rest": none, "way": found.way}
+                    columns |= {n: odd[found.line] for n, odd in zip(FLIPS, found.odd())}
                 yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in columns.items()})
                 at = to
 
@@ -264,8 +287,8 @@ def _text_keys(docs: DataFrame, edits: int, least: int, whole: bool) -> DataFram
 
 
 def _line_keys(lines: DataFrame, edits: int, cuts: int) -> DataFrame:
-    """(key, ha, probe, hb, old, rest, way) of rows (ha, hb, old, rest, line), under the key
-    ``old``; ``rest`` tells what is left of a line in one way from what is left of it in another."""
+    """(key, ha, probe, hb, old, rest, way, ones, twos) of rows (ha, hb, old, rest, line, ones, twos), under
+    the key ``old``; ``rest`` tells what is left of a line in one way from what is left in another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,18 +297,20 @@ def _line_keys(lines: DataFrame, edits: int, cuts: int) -> DataFrame:
                 to, chars = at + 1, len(texts[at])
                 while to < min(len(texts), at + 4_096) and chars + len(texts[to]) <= _CHARS:
                     chars, to = chars + len(texts[to]), to + 1
-                ha, hb, old, rest = (c.slice(at, to - at).to_numpy() for c in batch.columns[:4])
+                ha, hb, old, rest, ones, twos = (
+                    batch.column(i).slice(at, to - at).to_numpy() for i in (0, 1, 2, 3, 5, 6))
                 found = _Segments(texts[at:to], old, edits, cuts)
                 own, at = found.line, to
                 yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in {
                     "key": found.key, "ha": ha[own], "probe": found.probe, "hb": hb[own], "old": old[own],
-                    "rest": rest[own], "way": found.way}.items()})
+                    "rest": rest[own], "way": found.way, "ones": ones[own], "twos": twos[own]}.items()})
 
-    return lines.select("ha", "hb", "old", "rest", "line").mapInArrow(run, _KEYS)
+    return lines.select("ha", "hb", "old", "rest", "line", *FLIPS).mapInArrow(run, _KEYS)
 
 
 def _remainders(lines: DataFrame, edits: int, cuts: int) -> DataFrame:
-    """(ha, hb, old, line): what (ha, hb, key, line, way) leaves of a line, under its key."""
+    """(ha, hb, old, line, ones, twos): what (ha, hb, key, line, way, ones, twos) leaves of a line,
+    under its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ways(edits, cuts)
@@ -293,10 +318,11 @@ def _remainders(lines: DataFrame, edits: int, cuts: int) -> DataFrame:
             left = [_left_out(line, known[way], cuts) for line, way in zip(
                 batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(left, pa.string())], names=["ha", "hb", "old", "line"])
+                [*batch.columns[:3], pa.array(left, pa.string()), *batch.columns[5:]],
+                names=["ha", "hb", "old", "line", *FLIPS])
 
-    return lines.select("ha", "hb", "key", "line", "way").mapInArrow(
-        run, "ha long, hb long, old long, line string").distinct()
+    return lines.select("ha", "hb", "key", "line", "way", *FLIPS).mapInArrow(
+        run, "ha long, hb long, old long, line string, ones long, twos long").distinct()
 
 
 def _shared(keys: DataFrame, rows: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
@@ -337,24 +363,28 @@ def _subsequences(lines: DataFrame, edits: int) -> DataFrame:
         run, "key long, ha long, hb long, probe boolean").distinct()
 
 
-def _paired(rows: DataFrame, indexed: bool = True) -> DataFrame:
+def _paired(rows: DataFrame, indexed: bool = True, edits: int | None = None) -> DataFrame:
     """Different lines of one key, one of them an indexed one, as ordered pairs of hashes.
 
-    Without ``indexed``: only an indexed one and a probe.
+    Without ``indexed``: only an indexed one and a probe. With ``edits``: only those whose words
+    (ones and twos, of the whole lines) allow that few edits.
     """
     a, b = rows.where("NOT probe").alias("a"), (rows if indexed else rows.where("probe")).alias("b")
     one = F.struct("a.ha", "a.hb")
     two = F.struct("b.ha", "b.hb")
     both = a.join(b, F.col("a.key") == F.col("b.key")).where(
         (F.col("b.probe") & (one != two)) | (one < two))
+    if edits is not None:
+        for word, most in FLIPS.items():
+            both = both.where(F.bit_count(F.col(f"a.{word}").bitwiseXOR(F.col(f"b.{word}"))) <= most * edits)
     low, high = F.least(one, two), F.greatest(one, two)
     return both.select(low.getField("ha").alias("xa"), low.getField("hb").alias("xb"),
                        high.getField("ha").alias("ya"), high.getField("hb").alias("yb"))
 
 
 def _bared(rest: DataFrame, n: int, n_old: int) -> DataFrame:
-    """``rest``, ``n`` rows (ha, hb, old, line) of ``n_old`` old ones, without the ends that all lines of an ``old`` have in common;
-    of those whose lines are then the same, one."""
+    """``rest``, ``n`` rows (ha, hb, old, line, ones, twos) of ``n_old`` old ones, without the ends that all
+    lines of an ``old`` have in common; of those whose lines are then the same, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,7 +402,8 @@ def _bared(rest: DataFrame, n: int, n_old: int) -> DataFrame:
         F.max(back).alias("back_high"), F.min(F.char_length("line")).alias("least")).mapInArrow(
         run, "old long, head int, tail int"), "common-ends", n_old)
     bare = saved(rest.join(small(ends, n_old), "old").select("ha", "hb", "old", F.substr(
-        "line", F.col("head") + 1, F.char_length("line") - F.col("head") - F.col("tail")).alias("line")), "bare-lines", n)
+        "line", F.col("head") + 1, F.char_length("line") - F.col("head") - F.col("tail")).alias("line"),
+        *FLIPS), "bare-lines", n)
     row = ["ha", "hb", "line"]
     sets = bare.groupBy("old").agg(
         F.bit_xor(F.xxhash64(*row)).alias("sa"), F.bit_xor(F.xxhash64(F.lit(1), *row)).alias("sb"),
@@ -382,7 +413,7 @@ def _bared(rest: DataFrame, n: int, n_old: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """Distinct pairs (xa, xb, ya, yb) of hashes of lines that share a segment.
+    """Distinct pairs (xa, xb, ya, yb) of hashes of lines that share a segment and may be near.
 
     ``lines``: (ha, hb, line) of the same documents, where a line may stand more than once.
     """
@@ -391,12 +422,12 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
     rows, n_rows = _shared(_text_keys(docs, edits, least, False), _text_keys(docs, edits, least, True))
     cuts = edits + 1
     while True:
-        bare = rows.select("key", "ha", "hb", "probe").distinct()
+        bare = rows.select("key", "ha", "hb", "probe", *FLIPS).distinct()
         hot, n_hot = counted(bare.groupBy("key").agg(
             F.count(F.when(~F.col("probe"), 1)).alias("indexed"), F.count(F.lit(1)).alias("all")
         ).where(F.col("indexed") * F.col("all") > PAIRS_PER_KEY).select("key"), "hot-keys", n_rows)
         # of the lines under a key that is paired, at most so many are indexed
-        found.append(saved(_paired(bare.join(small(hot, n_hot), "key", "left_anti")).distinct(),
+        found.append(saved(_paired(bare.join(small(hot, n_hot), "key", "left_anti"), True, edits).distinct(),
                            "line-pairs", n_rows * math.isqrt(PAIRS_PER_KEY)))
         if not n_hot:
             break
@@ -404,12 +435,12 @@ def candidates(docs: DataFrame, lines: DataFrame, edits: int, least: int) -> Dat
         again = rows.join(small(hot, n_hot), "key", "left_semi")
         one = ["ha", "hb", "old", "rest"]
         wanted, n = counted(again.select(*one).distinct(), "hot-lines", n_rows)
-        texts = source.join(small(wanted, n), one, "left_semi").dropDuplicates(one)
+        texts = source.join(small(wanted, n), one, "left_semi").dropDuplicates(one).select(*one, "line")
         rest, n = counted(_remainders(again.join(texts, one), edits, cuts), "refined", n_rows)
         path = new_path(docs.sparkSession, "bared")
         seen = write_observed(_bared(rest, n, n_hot), path, shortest=F.min(F.char_length("line")))
-        rest = docs.sparkSession.read.schema("ha long, hb long, old long, line string").parquet(path)
-        source = rest.select("ha", "hb", "old", F.xxhash64("line").alias("rest"), "line")
+        rest = docs.sparkSession.read.schema("ha long, hb long, old long, line string, ones long, twos long").parquet(path)
+        source = rest.select("ha", "hb", "old", F.xxhash64("line").alias("rest"), "line", *FLIPS)
         n = seen["rows"]
         if n and seen["shortest"] <= 2 * edits:
             ends = rest.where(F.char_length("line") <= edits)  # nothing left to tell lines apart by

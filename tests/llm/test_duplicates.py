@@ -176,6 +176,25 @@ def edited(rng, line, edits):
     return line
 
 
+def test_edits_flip_few_bits_and_other_words_many():
+    rng = random.Random(13)
+    for edits in (1, 2, 3):
+        for _ in range(200):
+            a = cases.prose(rng.randrange(10**6), rng.randint(1, 8))
+            one, two = L._Segments(["", a, edited(rng, a, edits), ""], np.zeros(4, np.int64), edits, edits + 1).odd()
+            assert not one[0] and not two[3]
+            for word, most in zip((one, two), L.FLIPS.values()):
+                assert int(np.bitwise_count((word[1] ^ word[2]).view(np.uint64))) <= most * edits
+
+
+def test_near_copies_that_are_not_near_lines_are_no_pairs(spark):
+    copies = [c for c in dict.fromkeys(near_copies(7, 60))]
+    docs = cases.table(spark, list(enumerate(copies)))
+    lines = docs.select("text").select(*L._hashes(F.col("text")), F.col("text").alias("line"))
+    assert L.candidates(docs, lines, 2, 20).count() < 20  # over 1,000 of them shared a segment
+    assert line_links(spark, docs, 2) == set()
+
+
 def line_links(spark, docs, edits):
     _, links = L.near_lines(docs, edits)
     texts = {(r.ha, r.hb): r.line for r in L._line_rows(docs).select(
