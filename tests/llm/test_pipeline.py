@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, and the registered queries."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 from failscope.llm import queries as R
@@ -70,3 +71,19 @@ def test_texts_that_share_an_id_are_decided_on_their_own(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in unique.collect()} == set(data) - {(5, copy)}
     clean = corpus_pipeline.leak_stage(spark, docs, str(tmp_path))
     assert {(r.doc_id, r.text) for r in clean.collect()} == {row for row in data if item not in row[1]}
+
+
+def test_stages_hand_over_few_rows_at_once(spark, tmp_path, monkeypatch):
+    def sizes(spark, docs, folder):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+        return docs.coalesce(1).mapInArrow(run, "n long")
+
+    spark.range(3_500).selectExpr("id AS doc_id", "'a text' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(got) == 3_500 and max(got) <= 1_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
