@@ -61,13 +61,34 @@ def graph_summary(edges: DataFrame) -> DataFrame:
         F.sum("is_root").alias("n_roots"), F.sum("is_leaf").alias("n_leaves"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame | None = None) -> Parts:
+def _written(edges: DataFrame, written: bool) -> DataFrame:
+    """Distinct edges as a table, which they are already if ``written``."""
+    if written:
+        return edges
+    return materialize(edges.select("upstream", "downstream").distinct(), "edges")
+
+
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges between numbers, and the (code, name) of the nodes, both written once.
+
+    Loops shuffle and compare whole numbers instead of names. A missing end stays missing.
+    """
+    codes = materialize(nodes(edges).where("node IS NOT NULL").select(
+        F.monotonically_increasing_id().alias("code"), F.col("node").alias("name")), "codes")
+    up, down = (codes.select(F.col("code").alias(code), F.col("name").alias(end))
+                for code, end in (("up", "upstream"), ("down", "downstream")))
+    return materialize(edges.join(up, "upstream", "left").join(down, "downstream", "left").select(
+        F.col("up").alias("upstream"), F.col("down").alias("downstream")), "edges"), codes
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, written: bool = False) -> Parts:
     """Breadth-first levels from every source (default: every node).
 
     Part d - 1 holds (source, node, distance d, number of shortest paths). A pair is
     in exactly one part. Give ``sources`` (one column, ``node``) to pay only for them.
+    ``written``: ``edges`` is a written table without repeated rows, here and below.
     """
-    edges = materialize(edges.select("upstream", "downstream").distinct(), "edges")
+    edges = _written(edges, written)
     level = edges.where("upstream <> downstream").select(
         F.col("upstream").alias("source"), F.col("downstream").alias("node"),
         F.lit(1).alias("distance"), F.lit(1.0).alias("paths"))
@@ -102,7 +123,7 @@ def reach_counts(pairs: DataFrame) -> DataFrame:
         F.sum("d").alias("downstream_count"), F.sum("u").alias("upstream_count"))
 
 
-def depths(edges: DataFrame, detached: int | None = None) -> DataFrame:
+def depths(edges: DataFrame, detached: int | None = None, written: bool = False) -> DataFrame:
     """Longest path from any root, by peeling nodes whose upstreams are all peeled.
 
     A node's round is its depth. Every round joins only the newest layer with its outgoing
@@ -110,7 +131,7 @@ def depths(edges: DataFrame, detached: int | None = None) -> DataFrame:
     the table. A cycle can never be peeled: it raises ValueError, unless no root reaches it
     and ``detached`` names the depth of such nodes.
     """
-    edges = materialize(edges.select("upstream", "downstream").distinct(), "edges")
+    edges = _written(edges, written)
     rounds = Parts(edges.sparkSession, "rounds")
     is_open = F.col("open") > 0
     counts = {"peeled": F.count(F.when(~is_open, 1)), "left": F.count(F.when(is_open, 1))}
@@ -133,13 +154,13 @@ def depths(edges: DataFrame, detached: int | None = None) -> DataFrame:
     return peeled.union(stuck.select("node", F.lit(detached)))
 
 
-def betweenness(edges: DataFrame, levels: Parts) -> DataFrame:
+def betweenness(edges: DataFrame, levels: Parts, written: bool = False) -> DataFrame:
     """Share of shortest paths through each node, end points excluded.
 
     Dependencies flow back from the deepest level, one edge join per level (Brandes);
     no (source, middle, target) triples are formed. Scaled by (n - 1)(n - 2).
     """
-    edges = materialize(edges.select("upstream", "downstream").distinct(), "edges")
+    edges = _written(edges, written)
     all_nodes = nodes(edges)
     n = all_nodes.count()
     scale = float((n - 1) * (n - 2)) if n > 2 else 1.0
@@ -168,14 +189,16 @@ def betweenness(edges: DataFrame, levels: Parts) -> DataFrame:
 
 
 def pagerank(
-    edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100
+    edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100,
+    written: bool = False,
 ) -> DataFrame:
     """PageRank by power iteration; the mass of nodes without out-edges is spread evenly.
 
     Stops when the summed change is below n * tolerance; if it never is, every rank
     is 0. A round is one join and one aggregate; the stop test comes out of the same job.
     """
-    edges = edges.select("upstream", "downstream").distinct()
+    if not written:
+        edges = edges.select("upstream", "downstream").distinct()
     degree = materialize(degrees(edges).select("node", "out_degree"), "degree")
     links = materialize(
         edges.join(degree, F.col("upstream") == F.col("node")).select(
@@ -242,23 +265,25 @@ def node_features(edges: DataFrame) -> DataFrame:
     """The eleven graph features of every node, in fixed order.
 
     The four loops do not depend on each other, so their jobs run side by side: the
-    short rounds of one fill the cores that the others leave idle.
+    short rounds of one fill the cores that the others leave idle. They see nodes as numbers
+    and share one table of edges.
     """
-    edges = materialize(build_graph(edges).select("upstream", "downstream"), "edges")
+    edges, codes = numbered(materialize(build_graph(edges).select("upstream", "downstream"), "edges"))
 
     def paths() -> tuple[DataFrame, DataFrame]:
-        levels = shortest_paths(edges)
-        return betweenness(edges, levels), reach_counts(closure(levels))
+        levels = shortest_paths(edges, written=True)
+        return betweenness(edges, levels, written=True), reach_counts(closure(levels))
 
     with ThreadPoolExecutor(4) as pool:
-        loops = [pool.submit(paths)] + [
-            pool.submit(loop, edges) for loop in (pagerank, depths, components)]
+        loops = [pool.submit(paths), pool.submit(pagerank, edges, written=True),
+                 pool.submit(depths, edges, written=True), pool.submit(components, edges)]
         (between, reach), rank, depth, component = [loop.result() for loop in loops]
     out = (
         degrees(edges).join(between, "node").join(rank, "node").join(reach, "node", "left")
-        .join(depth, "node").join(component_sizes(component), "node"))
+        .join(depth, "node").join(component_sizes(component), "node")
+        .join(codes, F.col("node") == F.col("code")))
     return out.select(
-        "node",
+        F.col("name").alias("node"),
         *[F.col(c).alias(f"graph_{c}") for c in (
             "in_degree", "out_degree", "total_degree", "is_root", "is_leaf", "betweenness",
             "pagerank")],

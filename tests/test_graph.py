@@ -121,3 +121,27 @@ def test_depth_of_detached_cycles(spark):
     reached = spark.createDataFrame([("a", "c"), ("c", "d"), ("d", "c")], df.schema)
     with pytest.raises(ValueError):
         G.layout(reached).count()
+
+
+def test_loops_of_node_features_see_numbers_and_one_table_of_edges(spark, monkeypatch):
+    seen, written = [], []
+    for name in ("shortest_paths", "pagerank", "depths", "components"):
+        loop = getattr(G, name)
+        monkeypatch.setattr(G, name, lambda edges, loop=loop, **options: (
+            seen.append(dict(edges.dtypes)["upstream"]), loop(edges, **options))[1])
+    write = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    rows = [("a", "b"), ("b", "c"), ("a", "b"), ("x", "y"), ("x", "z")]
+    edges = spark.createDataFrame(rows, "upstream string, downstream string")
+    got = {r.node: r for r in G.node_features(edges).collect()}
+    assert set(got) == set("abcxyz") and got["c"].graph_upstream_count == 2
+    assert got["c"].graph_depth == 2 and got["z"].graph_component_size == 3
+    assert seen == ["bigint"] * 4 and written.count("edges") == 2
+
+
+def test_numbered_edges_keep_missing_ends(spark):
+    edges = spark.createDataFrame([("a", "b"), (None, "b"), ("c", None)], "upstream string, downstream string")
+    numbers, codes = G.numbered(edges)
+    name = {r.code: r.name for r in codes.collect()} | {None: None}
+    got = {(name[r.upstream], name[r.downstream]) for r in numbers.collect()}
+    assert got == {("a", "b"), (None, "b"), ("c", None)}
