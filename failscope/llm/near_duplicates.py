@@ -16,9 +16,10 @@ to the majority of its sketches, as copies of one text differ more from each oth
 A member is then what tells it from the pivot (the shingles that only one of the two has), and
 the overlap of two such differences says exactly whether two members are linked. Pairs that are
 linked whatever their overlap is all have a link with one member, so a star holds them. For all
-others a least overlap is known, so they share one of the rarest shingles of both differences:
-members are joined on those, apart for each range of the partner's distance. Members far from
-the pivot are compared with the near ones, and get a pivot of their own among themselves.
+others a least overlap is known. A member that, for all it lacks and all additions it shares,
+cannot reach it with any partner's distance is left out. The rest share one of the rarest shingles
+of both differences and are joined on those, apart for each range of the partner's distance. Members
+far from the pivot are compared with the near ones, and get a pivot of their own among themselves.
 
 Links join classes into components by contraction in rounds, each one written to the shared
 folder. Nothing of the corpus goes to the driver but counts.
@@ -221,80 +222,116 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(pivot, cid, gap, level, far, apart) of (pivot, cid).
+    """(pivot, cid, gap, level, far, added, gone) of (pivot, cid).
 
-    ``apart``: shingles in one of the two sets only. Members are linked if twice the overlap of
-    theirs, times 100 + ``percent``, is at least the sum of their ``gap``. ``level`` is a range of
-    gaps, twice as wide as the one before it on the way from zero up or down.
+    ``added`` and ``gone``: shingles that only the member, only the pivot has. Members are linked if
+    twice the overlap of theirs, times 100 + ``percent``, is at least the sum of their ``gap``.
+    ``level`` is a range of gaps, twice as wide as the one before it on the way from zero up or down.
     """
     base = sets.join(rows.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi")
     both = rows.join(sets, "cid").join(base.select(
         F.col("cid").alias("pivot"), F.col("items").alias("base")), "pivot")
-    parts = both.select("pivot", "cid", F.size("items").alias("n"), F.concat(
-        F.array_except("items", "base"), F.array_except("base", "items")).alias("apart"))
-    gap = (F.size("apart") * (100 + percent) - F.col("n") * (100 - percent)).cast("long")
+    parts = both.select("pivot", "cid", F.size("items").alias("n"), F.array_except("items", "base").alias("added"),
+                        F.array_except("base", "items").alias("gone"))
+    apart = F.size("added") + F.size("gone")
+    gap = (apart * (100 + percent) - F.col("n") * (100 - percent)).cast("long")
     steps = F.floor(F.col("gap") / (2 * (100 + percent)))
     level = F.when(steps >= 0, F.length(F.bin(steps + 1)) - 1).otherwise(-F.length(F.bin(-steps)))
     return saved(parts.withColumn("gap", gap).select(
-        "pivot", "cid", "gap", level.alias("level"), (F.size("apart") * 2 > F.col("n")).alias("far"),
-        "apart"), "differences")
+        "pivot", "cid", "gap", level.alias("level"), (apart * 2 > F.col("n")).alias("far"),
+        "added", "gone"), "differences")
 
 
-def _rarest(members: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(pivot, cid, inner, far, level, to, e): the rarest shingles e of what tells a member apart,
-    of which it shares one with every member of level ``to`` that it is linked with.
+def _levels(members: DataFrame) -> DataFrame:
+    """(pivot, levels) of (pivot, inner, far, level, gap, reach): of each kind and range of gaps its
+    ``part``, the least gap (low) and the largest ``reach``."""
+    return members.groupBy("pivot", F.struct("inner", "far", "level").alias("part")).agg(
+        F.min("gap").alias("low"), F.max("reach").alias("reach")).groupBy("pivot").agg(
+        F.collect_list(F.struct("part", "low", "reach")).alias("levels"))
 
-    ``shared``: (pivot, e, uses) of those that two members or more have. Two inner members are
-    not to be compared.
+
+def _may_link(at: Column) -> Column:
+    """Some member of ``at`` can be linked with this one: neither gap is over the other's reach."""
+    return ~(F.col("inner") & at["part"]["inner"]) & (at["low"] <= F.col("reach")) & (F.col("gap") <= at["reach"])
+
+
+def _linkable(members: DataFrame, percent: int) -> DataFrame:
+    """(pivot, cid, gap, level, inner, far, apart) of the members that can have a link which is in no star.
+
+    Two members overlap in shingles that both add or that both lack. So a member's overlap is at
+    most all it lacks and those of its additions that another one has too; its ``reach`` is the
+    largest gap of a partner for which that is enough.
+    """
+    adds = members.select("pivot", "cid", F.explode("added").alias("e"))
+    shared = saved(adds.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("uses")).where(
+        "uses > 1").drop("uses"), "shared-additions")
+    most = adds.join(shared, ["pivot", "e"]).groupBy("pivot", "cid").agg(F.count(F.lit(1)).alias("most"))
+    reach = (F.size("gone") + F.coalesce("most", F.lit(0))) * (2 * (100 + percent)) - F.col("gap")
+    reached = saved(members.join(most, ["pivot", "cid"], "left").select(
+        "pivot", "cid", "gap", "level", "inner", "far", F.concat("added", "gone").alias("apart"),
+        reach.alias("reach")), "reaches")
+    return saved(reached.join(_levels(reached), "pivot").where(F.exists("levels", _may_link)).drop(
+        "levels", "reach"), "linkable")
+
+
+def _rarest(members: DataFrame, percent: int) -> DataFrame:
+    """(pivot, cid, gap, part, to, e, rest): the rarest shingles e of what tells a member apart, of
+    which it shares one with every member of part ``to`` that it is linked with; ``rest`` are as
+    rare as e or more frequent ones.
+
+    Only shingles that members to be compared share count: not two inner, not two far ones.
     """
     step = 2 * (100 + percent)
-    own = members.select("pivot", "cid", F.explode("apart").alias("e")).join(
-        shared, ["pivot", "e"]).groupBy("pivot", "cid").agg(
+    each = members.select("pivot", "cid", "inner", "far", F.explode("apart").alias("e"))
+    shared = saved(each.groupBy("pivot", "e").agg(
+        F.count(F.lit(1)).alias("uses"), F.min("inner").alias("inner"), F.min("far").alias("far")).where(
+        "uses > 1 AND NOT inner AND NOT far").select("pivot", "e", "uses"), "shared-shingles")
+    own = each.drop("inner", "far").join(shared, ["pivot", "e"]).groupBy("pivot", "cid").agg(
         F.sort_array(F.collect_list(F.struct("uses", "e"))).alias("own"))
-    rows = members.drop("apart").join(own, ["pivot", "cid"])
-    need = lambda at: F.greatest(F.lit(1), F.ceil((F.col("gap") + at["low"]) / step))
-    # no more can overlap than the partners of a level, or the member itself, have
-    levels = F.filter("levels", lambda at: (~F.col("inner") | (at["high"] + F.col("least") > 0)) & (
-        need(at) <= F.least(at["longest"], F.size("own"))))
+    rows = saved(members.drop("apart").join(own, ["pivot", "cid"]).withColumn(
+        "reach", F.size("own") * step - F.col("gap")), "own-shingles")
+    need = lambda at: F.greatest(F.lit(1), F.ceil((F.col("gap") + at["low"]) / step)).cast("int")
+    levels = F.filter("levels", lambda at: _may_link(at) & ~(F.col("far") & at["part"]["far"]))
     found = F.flatten(F.transform(levels, lambda at: F.transform(
-        F.slice("own", F.lit(1), (F.size("own") + 1 - need(at)).cast("int")),
-        lambda one: F.struct(at["level"].alias("to"), one["e"].alias("e")))))
-    return rows.select("pivot", "cid", "inner", "far", "level", F.explode(found).alias("one")).select(
-        "*", "one.to", "one.e").drop("one")
+        F.slice("own", F.lit(1), F.size("own") + 1 - need(at)),
+        lambda one, i: F.struct(at["part"].alias("to"), one["e"].alias("e"), (F.size("own") - i).alias("rest")))))
+    return rows.join(_levels(rows), "pivot").select(
+        "pivot", "cid", "gap", F.struct("inner", "far", "level").alias("part"), F.explode(found).alias("one")).select(
+        "pivot", "cid", "gap", "part", "one.to", "one.e", "one.rest")
+
 
+def _met(keys: DataFrame, percent: int) -> DataFrame:
+    """(pivot, x, y) of different members that share one of their rarest shingles.
 
-def _met(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(pivot, x, y) of different members that share one of their rarest shingles."""
-    a, b = a.alias("a"), b.alias("b")
+    At the first one that they share, the overlap is at most what either has left from there on.
+    """
+    a, b = keys.alias("a"), keys.alias("b")
     return a.join(b, (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.e") == F.col("b.e"))
-                  & (F.col("a.to") == F.col("b.level")) & (F.col("a.level") == F.col("b.to"))
-                  & (F.col("a.cid") != F.col("b.cid"))).select("a.pivot", *_ordered("a.cid", "b.cid"))
+                  & (F.col("a.to") == F.col("b.part")) & (F.col("a.part") == F.col("b.to"))
+                  & (F.col("a.cid") < F.col("b.cid"))
+                  & (F.least("a.rest", "b.rest") * (2 * (100 + percent)) >= F.col("a.gap") + F.col("b.gap"))
+                  ).select("a.pivot", F.col("a.cid").alias("x"), F.col("b.cid").alias("y"))
 
 
 def _family_links(rows: DataFrame, sets: DataFrame, percent: int, pivots: int) -> DataFrame:
     """Links (x, y) that connect all linked members (pivot, cid) of a family; ``sets``: (cid, items).
 
     Members far from their pivot go on to the next round, with one of them as their pivot; with the
-    last of ``pivots`` none counts as far, so all pairs are covered whatever a family holds.
+    last of ``pivots`` none counts as far, so all pairs are covered whatever a family holds. In every
+    round members whose difference leaves no partner for a link are left out first.
     """
     found = []
     for left in range(pivots - 1, -1, -1):
         members = _differences(rows, sets, percent)
-        levels = members.groupBy("pivot", "level").agg(
-            F.min(F.struct("gap", "cid")).alias("top"), F.max("gap").alias("high"),
-            F.max(F.size("apart")).alias("longest"))
-        tops = saved(levels.groupBy("pivot").agg(F.min("top").alias("top"), F.collect_list(F.struct(
-            "level", F.col("top.gap").alias("low"), "high", "longest")).alias("levels")).select(
-            "pivot", F.col("top.cid").alias("nearest"), F.col("top.gap").alias("least"), "levels"), "nearest")
+        tops = saved(members.groupBy("pivot").agg(F.min(F.struct("gap", "cid")).alias("top")).select(
+            "pivot", F.col("top.cid").alias("nearest"), F.col("top.gap").alias("least")), "nearest")
         inner = F.col("gap") + F.col("least") <= 0
         members = members.join(tops, "pivot").withColumn("inner", inner).withColumn(
             "far", F.col("far") & ~inner & F.lit(left > 0))
         star = members.where("inner AND cid != nearest").select(*_ordered("cid", "nearest"))
-        shared = saved(members.select("pivot", F.explode("apart").alias("e")).groupBy("pivot", "e").agg(
-            F.count(F.lit(1)).alias("uses")).where("uses > 1"), "shared-shingles")
-        keys = saved(_rarest(members, shared, percent), "rarest-shingles")
-        near = keys.where("NOT inner AND NOT far")
-        met = saved(_met(near, keys).union(_met(keys.where("far"), keys.where("inner"))).distinct(), "met")
+        members = _linkable(members.drop("nearest", "least"), percent)
+        keys = saved(_rarest(members, percent), "rarest-shingles")
+        met = saved(_met(keys, percent).distinct(), "met")
         a = members.select("pivot", F.col("cid").alias("x"), F.col("gap").alias("gx"), F.col("apart").alias("ax"))
         b = members.select("pivot", F.col("cid").alias("y"), F.col("gap").alias("gy"), F.col("apart").alias("ay"))
         overlap = F.size(F.array_intersect("ax", "ay"))

@@ -120,6 +120,35 @@ def test_family_links_connect_what_is_linked(spark):
         assert 1 < len(set(want.values())) < len(sets)
 
 
+def edited_copies(count):
+    """Copies of 300 shingles; each edit replaces five that lie together. About half are no near copies."""
+    rng = random.Random(count)
+    sets = {0: set(range(300))}
+    for i in range(1, count):
+        places = rng.sample(range(60), rng.randint(1, 16))
+        gone = {5 * at + k for at in places for k in range(5)}
+        sets[i] = sets[0] - gone | {1_000 * i + j for j in gone}
+    return sets
+
+
+def test_copies_beyond_the_threshold_are_left_out_before_any_join(spark, monkeypatch):
+    sets, spread, rarest = edited_copies(200), [], N._rarest
+
+    def seen(members, *more):
+        spread.append(members.count())
+        return rarest(members, *more)
+
+    monkeypatch.setattr(N, "_rarest", seen)
+    rows = spark.createDataFrame([(0, c) for c in sets], "pivot long, cid long")
+    items = spark.createDataFrame([(c, sorted(s)) for c, s in sets.items()], "cid long, items array<long>")
+    links = [(r.x, r.y) for r in N._family_links(rows, items, 80, 3).collect()]
+    got = {r.node: r.root for r in N.contract(spark.createDataFrame(links, "x long, y long")).collect()}
+    want = linked_components(sets, 80)
+    assert {x: got.get(x, x) for x in sets} == want
+    assert len(sets) / 4 < len(set(want.values())) < len(sets) * 3 / 4
+    assert sum(spread) < len(sets) / 4  # over all of them were joined on their shingles
+
+
 def test_enough_trees():
     assert 1 - (1 - 0.85**4) ** N.trees_for(0.85, 4, 0.9999) >= 0.9999
     assert N.most_differing(1.0) == 0 < N.most_differing(0.85) < N.BINS
