@@ -512,12 +512,6 @@ def _pieces(model: str, folder: str | None) -> Pieces:
     return Pieces.load(model, folder)
 
 
-@cache
-def _encoder(model: str, folder: str | None, n: int) -> Encoder:
-    """One for each worker process; its caches have a fixed size."""
-    return Encoder(_pieces(model, folder), n)
-
-
 def _text_digest(text: str) -> str:
     return sha256(text.replace(MARK, " ").encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -540,8 +534,12 @@ def _lists(arrays: list[np.ndarray], kind=np.int32) -> pa.ListArray:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], model: str, folder: str | None, n: int) -> Iterator[pa.RecordBatch]:
-    """``encode`` of batches of (doc_id, text), a block of texts at a time."""
-    tool = _encoder(model, folder, n)
+    """``encode`` of batches of (doc_id, text), a block of texts at a time.
+
+    The links' caches end with the task: Spark hands its worker on to other work, which would hold
+    them, and what Arrow keeps free, beside its own memory.
+    """
+    tool = Encoder(_pieces(model, folder), n)
     for batch in batches:
         texts = batch.column(1).fill_null("").to_pylist()
         for at, to in _blocks(texts):
@@ -561,6 +559,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str, folder: str | None,
                 batch.column(0).slice(at, to - at), _lists(best), pa.array(scores, pa.float64()), n_best,
                 pa.array([_text_digest(t) for t in texts[at:to]])],
                 names=["doc_id", "ids", "score", "n_best", "text_sha256"])
+    del tool
+    pa.default_memory_pool().release_unused()
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | None = None,

@@ -87,3 +87,22 @@ def test_stages_hand_over_few_rows_at_once(spark, tmp_path, monkeypatch):
     got = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sum(got) == 3_500 and max(got) <= 1_000
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_stage_called_alone_hands_over_few_rows_at_once(spark, tmp_path, monkeypatch):
+    def sizes(docs):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+        return docs.coalesce(1).mapInArrow(run, "n long")
+
+    monkeypatch.setattr(corpus_pipeline.pieces, "segmentations", sizes)
+    docs = spark.range(3_500).selectExpr("id AS doc_id", "'a text' AS text")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(batch)
+    try:
+        got = [r.n for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset(batch)
+    assert sum(got) == 3_500 and max(got) <= 1_000

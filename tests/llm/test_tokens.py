@@ -164,3 +164,14 @@ def test_segmentations_hold_the_ids_of_all_of_the_n_best(spark):
         assert len({tuple(x) for x in row.n_best_ids}) == len(row.n_best_scores) and row.n_best_ids[0] == want[doc].ids
     assert len(rows[1].n_best_ids) == len(rows[4].n_best_ids) == 4
     assert all(P.Pieces.load("piece_bpe_32k.model", None).decode(x) == cases.prose(1, 40) for x in rows[1].n_best_ids)
+
+
+def test_a_workers_caches_end_with_the_task():
+    import gc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words of a text", None]})
+    assert sum(b.num_rows for b in P._encoded(iter([batch]), "piece_bpe_32k.model", None, 4)) == 2
+    gc.collect()
+    assert not [x for x in gc.get_objects() if isinstance(x, P.Encoder)]
