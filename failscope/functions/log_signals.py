@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failscope import constants as K
-from failscope.functions.text import LINE_BREAK, SPACES, clean_text, unicode_aware
+from failscope.functions.text import clean_text, line_breaks, unicode_aware, words_between_spaces
 
 SIGNALS = [
     "has_error_type", "error_type_hash", "has_http_error", "http_status_code",
@@ -57,7 +57,7 @@ def with_signals(df: DataFrame, error_log: str = "error_log") -> DataFrame:
     rows = df.withColumn("_text", clean_text(F.col(error_log)))
     rows = rows.withColumn("_lower", F.lower(text))
     rows = rows.withColumns({
-        "_words": F.split(lower, SPACES),
+        "_words": words_between_spaces(lower),
         "_type": F.regexp_extract(text, unicode_aware(K.P_ERROR_TYPE), 1),
         "_status": F.coalesce(
             _number(F.regexp_extract(text, unicode_aware(K.P_HTTP_STATUS), 1), "int"), F.lit(0)),
@@ -98,8 +98,7 @@ def with_signals(df: DataFrame, error_log: str = "error_log") -> DataFrame:
         "numeric_count_in_log": F.regexp_count(text, F.lit(unicode_aware(K.P_COUNTED))),
         "log_length": F.length(text),
         "word_count": F.when(empty, 0).otherwise(F.size(words)),
-        "log_line_count": F.when(empty, 0).otherwise(
-            F.regexp_count(text, F.lit(LINE_BREAK)) + 1),
+        "log_line_count": F.when(empty, 0).otherwise(line_breaks(text) + 1),
         **{name: F.size(F.array_intersect(_literals(vocabulary), F.col("_hits")))
            for name, vocabulary in _SCORES.items()},
         "keyword_score_missing_data": phrases,

@@ -36,6 +36,10 @@ def unicode_aware(pattern: str) -> str:
     if pattern.startswith(r"\b"):
         # All of these go on with a digit: testing that first skips most positions.
         pattern = rf"(?=\d)(?<!{WORD})" + pattern[2:]
+    if pattern.startswith(r"(\d+"):
+        # No digit may follow the digits of these, so a match begins with a run of digits and takes
+        # all of it: nothing is tried again from the middle of a run, or with a part of one.
+        pattern = r"(?=\d)(?<!\d)" + pattern.replace(r"\d+", r"\d++")
     return (
         pattern.replace(r"\b", boundary)
         .replace(r"[\w", f"[{WORD_INNER}")
@@ -46,6 +50,17 @@ def unicode_aware(pattern: str) -> str:
     )
 
 
+def line_breaks(text: Column) -> Column:
+    """How many there are; a text of printable ASCII, with none, is told by a simpler pattern."""
+    return F.when(F.rlike(text, F.lit("[^ -~]")), F.regexp_count(text, F.lit(LINE_BREAK))).otherwise(0)
+
+
+def words_between_spaces(text: Column) -> Column:
+    """Split at runs of white space. ``split`` builds its pattern anew for each row, unless it is one
+    character."""
+    return F.split(F.regexp_replace(text, SPACES, " "), " ")
+
+
 def stripped(text: Column) -> Column:
     """Text without leading and trailing white space (null stays null)."""
     return F.btrim(text, F.lit(WS_CHARS))

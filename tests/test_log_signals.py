@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 from failscope import constants as K
 from failscope.functions.log_signals import SIGNALS, signals
 from failscope.functions.text import (
-    clean_text, grams, placeholder_text, tokens, unicode_aware, vector_text, with_grams,
+    LINE_BREAK, SPACES, clean_text, grams, line_breaks, placeholder_text, tokens, unicode_aware,
+    vector_text, with_grams, words_between_spaces,
 )
 
 CASES = [
@@ -99,3 +101,37 @@ def test_grams(spark):
 def test_clean_text(spark):
     df = spark.createDataFrame([(" 　a b\x1f",), (None,), ("\t",)], "t string")
     assert [r[0] for r in df.select(clean_text(F.col("t"))).collect()] == ["a b", "", ""]
+
+
+COUNTED = [
+    "1.5.5 rows", "12.34x 5 row6 rows", "5%7%", "007 s", "9s9s 9sx 9 s", "1.2.3%", "12 columnsx", "3 seconds4 sec 5secs",
+    "a1 keys", "1" * 40 + " duplicates", "1 2 3 rows", "1.", ".5 s", "12 34s", "",
+]
+
+
+def test_numbers_are_found_as_from_any_place(spark):
+    df = spark.createDataFrame(list(enumerate(COUNTED)), "i int, t string")
+    got = df.select(
+        "i", F.regexp_count("t", F.lit(unicode_aware(K.P_COUNTED))).alias("n"),
+        F.regexp_extract("t", unicode_aware(K.P_TIMEOUT), 1).alias("s")).collect()
+    for r in got:
+        t = COUNTED[r["i"]]
+        assert r["n"] == len(re.findall(K.P_COUNTED, t)), t
+        assert r["s"] == (re.findall(K.P_TIMEOUT, t) or [""])[0], t
+
+
+def test_long_runs_of_digits_are_read_once(spark):
+    df = spark.createDataFrame([("1" * 200_000 + "x",)], "t string")
+    for pattern in (K.P_COUNTED, K.P_TIMEOUT):
+        began = time.time()
+        assert df.select(F.regexp_count("t", F.lit(unicode_aware(pattern)))).first()[0] == 0
+        assert time.time() - began < 10
+
+
+def test_words_and_line_breaks(spark):
+    texts = ["one two", "a\t\tb c", "a\r\nb\rc\x85d e", "x\x0by\x1cz\n", "größe ü", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", words_between_spaces(F.col("t")).alias("w"), F.split("t", SPACES).alias("v"),
+                    line_breaks(F.col("t")).alias("n"), F.regexp_count("t", F.lit(LINE_BREAK)).alias("m")).collect()
+    assert all(r["w"] == r["v"] and r["n"] == r["m"] for r in got)
+    assert [r["n"] for r in got] == [0, 0, 4, 3, 0, 0]
