@@ -13,6 +13,8 @@ from failscope.session import new_path, ship, write_observed
 BROADCAST_ROWS = 300_000
 #: Rows that a task writes, where a bound of them is known.
 TASK_ROWS = 100_000
+#: Asking blocks that a task keeps while candidate blocks pass by them.
+BLOCKS_KEPT = 16
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +45,22 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` in ``parts`` partitions; rows move only if there are fewer."""
+    return df.coalesce(parts) if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+
+
+def tiles(blocks: DataFrame, asked: DataFrame, n_asked: int) -> DataFrame:
+    """Each row of ``blocks`` beside each row of ``asked`` (blocks that ask, counted).
+
+    A task reads a part of both tables, the asking one up to ``BLOCKS_KEPT`` rows, and forms its
+    pairs itself: no pair is shuffled, and neither side goes through the driver, however small
+    the written blocks look to the planner.
+    """
+    parts = -(-n_asked // BLOCKS_KEPT) or 1
+    return blocks.crossJoin(asked.repartition(parts).hint("shuffle_replicate_nl"))
+
+
 def sampled(docs: DataFrame, rows: int) -> DataFrame:
     """Up to ``rows`` of ``docs``, chosen by a hash of doc_id: ids are picked before texts move."""
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(rows)

@@ -2,12 +2,14 @@
 
 A component is floor(scale * x). Candidate rows are packed into blocks: for every term
 (dimension) the postings of a block are the rows where the component is not 0, with their
-weights. Query rows are packed into blocks as well and sent to every candidate block, a stated
+weights. Query rows are packed into blocks as well and meet every candidate block, a stated
 query set against all rows. There, a dense array of scores (queries x rows) is filled term by
 term: a query's weight times the postings is scattered into its row. The highest scores are
-picked by partition selection, ties by the smaller vec_id, and the blocks' winners are merged.
+picked by partition selection, ties by the smaller vec_id, and the blocks' winners are merged,
+those of one task in the task.
 
-The block size bounds the memory of a task whatever the tables' sizes. Scores are exact: they
+The block size bounds the memory of a task whatever the tables' sizes, and the driver gets none
+of the blocks. Scores are exact: they
 are summed in float32 or float64 while no sum can leave the exact range, else in whole numbers
 of any size, and are cut to the range of a long.
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from failscope.llm.common import counted, saved
+from failscope.llm.common import counted, dealt, tiles
 
 _PACK = "ids binary, terms int, weights binary"
 
@@ -113,23 +115,43 @@ def select(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.nd
     return ids[best], scores[best]
 
 
-def _search(k: int):
+def _winners(scores: np.ndarray, ids: np.ndarray, owners: np.ndarray, k: int) -> tuple:
+    """``select`` for each query as arrays (queries x k): is there an entry, its score as a long, its id."""
     low, high = -(1 << 63), (1 << 63) - 1
+    there = np.zeros((len(owners), k), bool)
+    top, found = np.zeros((len(owners), k), np.int64), np.zeros((len(owners), k), np.int64)
+    for q, own in enumerate(owners.tolist()):
+        best, values = select(scores[q], ids, own, k)
+        there[q, : len(best)], found[q, : len(best)] = True, best
+        top[q, : len(best)] = [min(max(int(v), low), high) for v in values]
+    return there, top, found
+
+
+def merged(one: tuple, other: tuple) -> tuple:
+    """Winners of the same queries among two sets of rows as those among both."""
+    there, top, found = (np.concatenate(pair, axis=1) for pair in zip(one, other))
+    order = np.lexsort((found, ~top, ~there), axis=1)[:, : one[0].shape[1]]
+    return tuple(np.take_along_axis(x, order, 1) for x in (there, top, found))
 
+
+def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
         for batch in batches:
             for at in range(batch.num_rows):
-                query_ids, queries = _unpack(*[batch.column(i)[at] for i in range(3)])
-                ids, rows = _unpack(*[batch.column(i)[at] for i in range(3, 6)])
-                scores = accumulate(queries, rows)
-                found: list[list] = [[], [], []]
-                for q, own in enumerate(query_ids.tolist()):
-                    best, values = select(scores[q], ids, own, k)
-                    found[0] += [own] * len(best)
-                    found[1] += best.tolist()
-                    found[2] += [min(max(int(v), low), high) for v in values]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
+                asking = batch.column(0)[at].as_py()
+                owners, queries = _unpack(*[batch.column(i)[at] for i in range(1, 4)])
+                ids, rows = _unpack(*[batch.column(i)[at] for i in range(4, 7)])
+                best = _winners(accumulate(queries, rows), ids, owners, k)
+                if asking in held:
+                    held[asking] = owners.copy(), merged(held[asking][1], best)
+                else:
+                    held[asking] = owners.copy(), best
+        for owners, (there, top, found) in held.values():
+            lines = np.repeat(owners, there.sum(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lines), pa.array(found[there]), pa.array(top[there])],
+                names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -147,16 +169,12 @@ def exact_top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 2
             "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     usable, n = counted(usable, "vectors")
     asking = usable.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks, n_blocks = counted(_packed(
-        usable.coalesce(-(-n // block_rows) or 1), scale, block_rows), "vector-blocks")
-    # a slot is one candidate block on average, and every query block goes to every slot
-    slots = max(n_blocks, 1)
-    asked = saved(_packed(asking.coalesce(-(-n // (every * block_queries)) or 1), scale, block_queries)
-                  .toDF("q_ids", "q_terms", "q_weights"), "query-blocks")
-    everywhere = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    blocks = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    met = everywhere.join(blocks, "slot")
-    found = met.select("q_ids", "q_terms", "q_weights", "ids", "terms", "weights").mapInArrow(
+    blocks = counted(_packed(dealt(usable, -(-n // block_rows) or 1), scale, block_rows), "vector-blocks")[0]
+    asked, n_asked = counted(
+        _packed(asking.coalesce(-(-n // (every * block_queries)) or 1), scale, block_queries)
+        .toDF("q_ids", "q_terms", "q_weights").withColumn("asking", F.monotonically_increasing_id()), "query-blocks")
+    met = tiles(blocks, asked, n_asked)
+    found = met.select("asking", "q_ids", "q_terms", "q_weights", "ids", "terms", "weights").mapInArrow(
         _search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(

@@ -37,6 +37,27 @@ def test_top_k_equals_brute_force(spark):
     assert S.exact_top_k(df.limit(0)).collect() == []
 
 
+def test_blocks_are_paired_in_tasks_not_by_broadcast(spark):
+    """The files of blocks are small, all their pairs are not."""
+    df = spark.range(400).selectExpr("id AS vec_id", "array(cast(id % 7 AS float), 1f) AS embedding")
+    plan = S.exact_top_k(df, block_rows=20, block_queries=2)._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" in plan
+
+
+def test_winners_of_parts_are_those_of_all():
+    rng = np.random.default_rng(2)
+    scores, ids = rng.integers(-3, 3, (7, 30)).astype(object), np.arange(30) * 2
+    scores[0, :5], scores[1, :5] = -(1 << 70), 1 << 70  # cut to the range of a long
+    owners = np.arange(7) * 2
+    for k in (4, 20, 40):
+        there, top, found = S._winners(scores, ids, owners, k)
+        some = S._winners(scores[:, :4], ids[:4], owners, k)
+        for part in (slice(4, 11), slice(11, 30)):
+            some = S.merged(some, S._winners(scores[:, part], ids[part], owners, k))
+        assert np.array_equal(some[0], there) and there.sum() == 7 * min(k, 29)
+        assert np.array_equal(some[1][there], top[there]) and np.array_equal(some[2][there], found[there])
+
+
 def test_scores_stay_exact_beyond_doubles():
     big = np.array([[2.0**40, 1.0]])
     assert S.accumulate(big, big)[0, 0] == 2**80 + 1
