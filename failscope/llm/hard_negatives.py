@@ -14,7 +14,8 @@ inside the window that the positive's score gives. Heaps hold a fixed number of
 merge: tiles of one task merge in the task, those of different tasks by a ranked window that
 also cuts before its shuffle. So no label, however frequent, is a key of any shuffle.
 
-Memory of a task is set by the block sizes and ``HELD``, whatever the tables' sizes.
+Memory of a task is set by the block sizes and ``HELD``, whatever the tables' sizes; no block
+goes through the driver.
 
 Defined results: rows with a null id, label or vector, or with a null or non-finite component
 (or one that scaling makes so) take no part. Vectors of different lengths share the components
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from failscope.llm.common import counted, saved
+from failscope.llm.common import counted, dealt, saved, tiles
 
 #: A side of a product that is not halved any further.
 LEAF = 32
@@ -172,7 +173,7 @@ class _Block:
         return self.numbers[name]
 
 
-def _tiles(asked: DataFrame, blocks: DataFrame, slots: int, columns: list[str], k: int,
+def _tiles(asked: DataFrame, n_asked: int, blocks: DataFrame, columns: list[str], k: int,
            heap: Callable[[_Block, _Block, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(row, place, vec_id, score): heaps of every anchor block over all candidate blocks.
 
@@ -206,10 +207,7 @@ def _tiles(asked: DataFrame, blocks: DataFrame, slots: int, columns: list[str],
                     held, anchors_held = {}, 0
         yield from rows_of(held)
 
-    everywhere = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    placed = blocks.withColumn("slot", F.pmod(F.xxhash64("c_vec_id"), F.lit(slots)).cast("int"))
-    met = everywhere.join(placed, "slot").drop("slot")
-    found = met.mapInArrow(run, "row long, place int, vec_id long, score long")
+    found = tiles(blocks, asked, n_asked).mapInArrow(run, "row long, place int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row", "place").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -260,13 +258,12 @@ def hard_negatives(vectors: DataFrame, positives: int = 5, negatives: int = 3, l
     usable, n = counted(usable.withColumn("row", F.monotonically_increasing_id()), "vectors")
     anchors, n_anchors = counted(usable.where(F.pmod("vec_id", F.lit(every)) == 0), "anchors")
     anchors = anchors.coalesce(-(-n_anchors // block_anchors) or 1)
-    blocks, n_blocks = counted(_packed(
-        usable.coalesce(-(-n // block_rows) or 1), ["vec_id", "label"], scale, block_rows, "c_"), "candidate-blocks")
-    slots = max(n_blocks, 1)  # one candidate block on average; every anchor block goes to every slot
+    blocks = saved(_packed(
+        dealt(usable, -(-n // block_rows) or 1), ["vec_id", "label"], scale, block_rows, "c_"), "candidate-blocks")
 
     columns = ["vec_id", "row", "label"]
-    asked = saved(_packed(anchors, columns, scale, block_anchors, "a_"), "anchor-blocks")
-    found = saved(_tiles(asked, blocks, slots, columns, positives, _positive_heap(positives)).select(
+    asked, n_asked = counted(_packed(anchors, columns, scale, block_anchors, "a_"), "anchor-blocks")
+    found = saved(_tiles(asked, n_asked, blocks, columns, positives, _positive_heap(positives)).select(
         "row", (F.col("rank") - 1).alias("place"), F.col("vec_id").alias("positive_id"),
         F.col("score").alias("positive_score")), "positives")
 
@@ -277,8 +274,8 @@ def hard_negatives(vectors: DataFrame, positives: int = 5, negatives: int = 3, l
         *columns, *[F.coalesce(p, F.lit(NONE)).alias(p) for p in places], "embedding"), "anchors-with-positives")
     paired = paired.coalesce(-(-n_anchors // block_anchors) or 1)
     columns = [*columns, *places]
-    asked = saved(_packed(paired, columns, scale, block_anchors, "a_"), "anchor-blocks")
-    mined = _tiles(asked, blocks, slots, columns, negatives, _window_heap(positives, negatives, low, high))
+    asked, n_asked = counted(_packed(paired, columns, scale, block_anchors, "a_"), "anchor-blocks")
+    mined = _tiles(asked, n_asked, blocks, columns, negatives, _window_heap(positives, negatives, low, high))
     mined = mined.select("row", "place", "rank", F.col("vec_id").alias("negative_id"),
                          F.col("score").alias("negative_score"))
     return mined.join(found, ["row", "place"]).join(

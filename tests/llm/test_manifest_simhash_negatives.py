@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from failscope.llm.components import components
+from failscope.llm import hard_negatives as hard_negatives_module
+from failscope.llm.common import tiles
 from failscope.llm.hard_negatives import best, hard_negatives, merged, multiply, scores
 from failscope.llm.merkle import manifest, verify
 from failscope.llm.queries import ORACLES, QUERIES
@@ -254,3 +256,18 @@ def test_hard_negatives_equal_brute_force(spark):
     assert got == plain_negatives(rows, 5, 3, 50, 95, 8, 10)
     assert len(got) > 200
     assert hard_negatives(frame.limit(0)).count() == 0
+
+
+def test_anchor_blocks_are_paired_in_tasks_not_by_broadcast(spark, monkeypatch):
+    plans = []
+
+    def seen(*sides):
+        plans.append(tiles(*sides))
+        return plans[-1]
+
+    monkeypatch.setattr(hard_negatives_module, "tiles", seen)
+    frame = spark.range(400).selectExpr(
+        "id AS vec_id", "id % 3 AS label", "array(cast(id % 7 AS float), 1f) AS embedding")
+    assert hard_negatives(frame, every=10, block_rows=20, block_anchors=2).count() > 0
+    texts = [p._jdf.queryExecution().toString() for p in plans]
+    assert len(texts) == 2 and all("CartesianProduct" in t and "Broadcast" not in t for t in texts)
