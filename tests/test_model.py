@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from failscope import constants as K
 from failscope.operators import attribution as A
+from failscope.operators import forest
 from failscope.operators import metrics as M
 from failscope.operators import model as MM
 from failscope.operators.feature_engineer import FIXED, FeatureEngineer, FeatureModel
@@ -68,6 +69,86 @@ def test_same_seed_same_predictions(fitted):
     assert again.select(pick).exceptAll(scored.select(pick)).count() == 0
 
 
+def _no_scan_per_node(*args):
+    raise AssertionError("MLlib scans all rows once for every few nodes")
+
+
+@pytest.mark.parametrize("count_bytes", [1 << 25, 1 << 16])
+def test_forest_on_many_rows_grows_by_levels(spark, fitted, tmp_path, monkeypatch, count_bytes):
+    _, _, features, names, few, _ = fitted
+    monkeypatch.setattr(MM, "LEVEL_ROWS", 100)
+    monkeypatch.setattr(forest, "COUNT_BYTES", count_bytes)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 97)
+    monkeypatch.setattr(RandomForestClassifier, "fit", _no_scan_per_node)
+    model, scored = MM.split_train_evaluate(features, names, n_trees=8, partitions=3)
+    assert M.overall_metrics(M.class_report(M.confusion_matrix(scored))).first()["accuracy"] > 0.9
+    assert model.trees.getNumTrees == 8 and model.trees.getMaxDepth() == K.TREE_PARAMS["max_depth"]
+    assert all(1 <= t.depth <= 6 for t in model.trees.trees)
+    n = scored.count()
+    rows = features.count() - n
+    for tree in A.tree_nodes(model.trees).values():
+        for node in tree.values():
+            if node["left"] >= 0:
+                sides = [tree[node[s]]["stats"] for s in ("left", "right")]
+                assert np.allclose(np.sum(sides, axis=0), node["stats"])
+        assert 0.7 < sum(tree[0]["stats"]) / rows / K.TREE_PARAMS["subsample"] < 1.3
+
+    pick = ["event_id", "predicted_root_cause", "confidence"]
+    _, again = MM.split_train_evaluate(features.repartition(5), names, n_trees=8, partitions=3)
+    assert again.select(pick).exceptAll(scored.select(pick)).count() == 0
+    artifacts.save_model(model, str(tmp_path), artifacts.evaluation(scored), rows, "2024-01-31T00:00:00+00:00")
+    loaded = artifacts.load_model(spark, str(tmp_path)).score(features.join(scored.select("event_id"), "event_id"))
+    assert loaded.select(pick).exceptAll(scored.select(pick)).count() == 0
+    explained = A.attributions(model, features, all_classes=True).join(
+        model.score(features).select("event_id", F.explode("probabilities").alias("root_cause", "p")),
+        ["event_id", "root_cause"])
+    total = F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x)
+    assert explained.where(F.abs(total - F.col("p")) > 1e-9).count() == 0
+
+
+def test_forest_on_many_rows_refuses_missing_values(spark, monkeypatch):
+    monkeypatch.setattr(MM, "LEVEL_ROWS", 10)
+    df = spark.range(60).selectExpr("id AS event_id", "if(id % 2 = 0, 'a', 'b') AS root_cause",
+                                    "if(id = 7, NULL, cast(id % 5 AS double)) AS x")
+    with pytest.raises(Exception, match="null or NaN"):
+        MM.train(df, ["x"], n_trees=2)
+
+
+def test_best_split_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        bins, labels = rng.integers(0, 4, (3, 40)), rng.integers(0, 3, 40)
+        times, weights = rng.integers(0, 3, 40), rng.random(3) + 0.1
+        feature, place = np.repeat(np.arange(3), 3), np.tile(np.arange(3), 3)
+        left = np.array([[times[(labels == c) & (bins[f] <= p)].sum() for f, p in zip(feature, place)] for c in range(3)])
+        counts = np.bincount(labels, times, 3).astype(int)
+        order = rng.permutation(3)[:2]
+
+        def impurity(rows):
+            w = np.array([times[rows & (labels == c)].sum() * weights[c] for c in range(3)])
+            return (1 - ((w / w.sum()) ** 2).sum(), w.sum()) if w.sum() else (0.0, 0.0)
+
+        want = (0.0, 0)
+        for f, p in zip(feature, place):
+            low = bins[f] <= p
+            if f in order and min(times[low].sum(), times[~low].sum()) >= 3:
+                (whole, n), (a, x), (b, y) = impurity(labels >= 0), impurity(low), impurity(~low)
+                want = max(want, (whole - a * x / n - b * y / n, 0))
+        at, gain = forest.best_split(left, counts, weights, feature, order, 3)
+        assert gain == pytest.approx(max(want[0], 0.0), abs=1e-12)
+        assert at < 0 or feature[at] in order
+
+
+def test_sample_counts_and_thresholds():
+    table = forest._poisson_table(0.8)
+    assert [np.mean(table == k) for k in range(4)] == pytest.approx(
+        [math.exp(-0.8) * 0.8 ** k / math.factorial(k) for k in range(4)], abs=1e-4)
+    assert forest.thresholds(np.array([3.0, 1.0, 1.0, 2.0]), np.ones(4)).tolist() == [1.5, 2.5]
+    assert forest.thresholds(np.full(5, 2.0), np.ones(5)).tolist() == []
+    many = forest.thresholds(np.arange(1000.0), np.ones(1000))
+    assert len(many) == 31 and np.abs(many - 1000 / 32 * np.arange(1, 32)).max() < 2
+
+
 def test_importances_sum_to_one(fitted):
     rows = fitted[4].importances().collect()
     assert sum(r["importance"] for r in rows) == pytest.approx(1)
