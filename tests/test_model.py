@@ -69,6 +69,30 @@ def test_same_seed_same_predictions(fitted):
     assert again.select(pick).exceptAll(scored.select(pick)).count() == 0
 
 
+def test_contributions_take_only_leaves_of_the_class(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, cls = rng.integers(0, 5, (200, 6)).astype(float), rng.choice([0, 2], 200)
+    leaves = []
+    for _ in range(30):
+        f = rng.choice(6, rng.integers(1, 5), replace=False)
+        low = np.where(rng.random(len(f)) < 0.5, -math.inf, 1.5)
+        high = np.where((rng.random(len(f)) < 0.5) & np.isfinite(low), math.inf, 3.5)
+        leaves.append((f, low, high, A._leaf_table(rng.random(len(f))), np.eye(3)[rng.integers(0, 3)] * 0.1))
+    want = np.zeros((200, 6))
+    for at in range(200):
+        for f, low, high, table, value in leaves:
+            pattern = sum(int(low[j] < x[at, f[j]] <= high[j]) << j for j in range(len(f)))
+            want[at, f] += table[pattern] * value[cls[at]]
+    assert np.array_equal(A.contributions(leaves, x, cls), want)
+    taken = []
+    take = np.take
+    monkeypatch.setattr(A.np, "take", lambda a, at, **how: (taken.append(len(at)), take(a, at, **how))[1])
+    A.contributions(leaves, x, cls)
+    n = np.bincount(cls, minlength=3)
+    assert sum(taken) == sum(n[np.flatnonzero(leaf[-1])].sum() for leaf in leaves)
+    assert A.contributions(leaves, x[:0], cls[:0]).shape == (0, 6)
+
+
 def _no_scan_per_node(*args):
     raise AssertionError("MLlib scans all rows once for every few nodes")
 
